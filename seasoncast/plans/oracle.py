@@ -124,3 +124,75 @@ ORACLE["demand_gap"] = with_panel("""
 SELECT "ID", year, num_week_iso, life_cycle_length * weekly_demand AS total_demand,
        life_cycle_length * weekly_demand - "Production" AS production_gap
 FROM panel""")
+
+
+# --- cleaning and profiling -------------------------------------------------
+CLEAN_SQL = """
+f AS (SELECT * FROM panel WHERE "ID" IS NOT NULL
+      AND (weekly_sales IS NULL OR weekly_sales >= 0) AND (weekly_demand IS NULL OR weekly_demand >= 0)
+      AND ("Production" IS NULL OR "Production" >= 0)),
+clean AS (SELECT * FROM f WHERE "Production" <= (SELECT quantile_cont("Production", 0.995) FROM f))"""
+ORACLE["clean_panel"] = with_panel(f", {CLEAN_SQL}\nSELECT * FROM clean".replace("\n, ", ", ", 1))
+ORACLE["clean_panel"] = f"WITH panel AS ({PANEL_SQL}), {CLEAN_SQL}\nSELECT * FROM clean"
+
+ORACLE["value_counts"] = with_panel('SELECT "ID", count(*) AS count FROM panel GROUP BY "ID"')
+ORACLE["top_values"] = with_panel(
+    "SELECT family, count(*) AS count FROM panel GROUP BY family ORDER BY count DESC, family LIMIT 10")
+ORACLE["top_products"] = with_panel(
+    'SELECT "ID", coalesce(sum(weekly_demand), 0.0) AS target_demand FROM panel WHERE "ID" IS NOT NULL '
+    'GROUP BY "ID" ORDER BY target_demand DESC, "ID" LIMIT 20')
+ORACLE["shape"] = with_panel(f"SELECT count(*) AS n_rows, {len(PANEL_COLUMNS)} AS n_cols FROM panel")
+
+ORACLE["distinct_counts"] = with_panel("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT \"{c}\") AS n_unique FROM panel" for c in PANEL_COLUMNS))
+
+
+def _constant_sql(c: str) -> str:
+    return f'(SELECT max(n) = 1 FROM (SELECT count(DISTINCT "{c}") AS n FROM panel GROUP BY "ID"))'
+
+
+ORACLE["constant_per_key"] = with_panel("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {_constant_sql(c)} AS \"is_constant_per_ID\"" for c in PANEL_COLUMNS))
+
+_SPARK_TYPE = ("CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+               "WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' "
+               "WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(any_value(typeof({c}))) END")
+ORACLE["column_profile"] = with_panel("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {_SPARK_TYPE.format(c=chr(34) + c + chr(34))} AS dtype, "
+    f"CAST(count_if(\"{c}\" IS NULL) AS BIGINT) AS missing, count(DISTINCT \"{c}\") AS \"unique\", "
+    f"arg_min(CAST(\"{c}\" AS VARCHAR), (year, num_week_iso, \"ID\")) FILTER (WHERE \"{c}\" IS NOT NULL) AS example, "
+    f"{_constant_sql(c)} AS \"is_constant_per_ID\" FROM panel" for c in PANEL_COLUMNS))
+
+NUMERIC_PANEL = ["ID", "year", "num_week_iso", "id_season", "weekly_sales", "weekly_demand", "Production",
+                 "price", "num_stores", "num_sizes", "life_cycle_length", "vec_id"]
+
+
+def numeric_profile_sql(cols, src="panel", quantiles=(0.25, 0.5, 0.75)) -> str:
+    parts = []
+    for c in cols:
+        x = f'CAST("{c}" AS DOUBLE)'
+        qs = ", ".join(f"quantile_cont({x}, {q}) AS q{int(round(q * 100)):02d}" for q in quantiles)
+        parts.append(
+            f"SELECT '{c}' AS \"column\", count(\"{c}\") AS count, CAST(count_if(\"{c}\" IS NULL) AS BIGINT) AS missing, "
+            f"round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS std, min({x}) AS min, "
+            f"max({x}) AS max, CAST(count_if(\"{c}\" = 0) AS BIGINT) AS zeros, "
+            f"CAST(count_if(\"{c}\" < 0) AS BIGINT) AS negatives, {qs} "
+            f"FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["numeric_profile"] = with_panel(numeric_profile_sql(NUMERIC_PANEL))
+
+_SPLIT = ('l AS (SELECT DISTINCT "ID" FROM panel WHERE year < 2000), '
+          'r AS (SELECT DISTINCT "ID" FROM panel WHERE year >= 2000)')
+ORACLE["key_overlap"] = f"""WITH panel AS ({PANEL_SQL}), {_SPLIT}
+SELECT count(l."ID") AS n_left, count(r."ID") AS n_right,
+       CAST(count_if(l."ID" IS NOT NULL AND r."ID" IS NOT NULL) AS BIGINT) AS n_both,
+       CAST(count_if(l."ID" IS NOT NULL AND r."ID" IS NULL) AS BIGINT) AS n_left_only,
+       CAST(count_if(l."ID" IS NULL AND r."ID" IS NOT NULL) AS BIGINT) AS n_right_only
+FROM l FULL OUTER JOIN r ON l."ID" = r."ID\""""
+ORACLE["keys_intersect"] = f'WITH panel AS ({PANEL_SQL}), {_SPLIT}\nSELECT "ID" FROM l INTERSECT SELECT "ID" FROM r'
+ORACLE["keys_except"] = f"""WITH panel AS ({PANEL_SQL}), {_SPLIT}
+(SELECT "ID", 'left_only' AS side FROM (SELECT "ID" FROM l EXCEPT SELECT "ID" FROM r))
+UNION ALL
+(SELECT "ID", 'right_only' AS side FROM (SELECT "ID" FROM r EXCEPT SELECT "ID" FROM l))"""

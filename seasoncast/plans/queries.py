@@ -78,3 +78,75 @@ def q_demand_gap(spark, sf_dir):
     return panel(spark, sf_dir).select(
         "ID", "year", "num_week_iso", total.alias("total_demand"),
         production_gap(total).alias("production_gap"))
+
+
+# --- cleaning and profiling -------------------------------------------------
+from seasoncast.operators import clean, profile  # noqa: E402
+
+SPLIT_YEAR = 2000  # earlier seasons play "train", later seasons "test" in key comparisons
+
+
+def train_test_keys(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return p.where(F.col("year") < SPLIT_YEAR), p.where(F.col("year") >= SPLIT_YEAR)
+
+
+@query("clean_panel")
+def q_clean_panel(spark, sf_dir):
+    return clean.clean_panel(panel(spark, sf_dir))
+
+
+@query("value_counts")
+def q_value_counts(spark, sf_dir):
+    return profile.value_counts(panel(spark, sf_dir), "ID")
+
+
+@query("top_values")
+def q_top_values(spark, sf_dir):
+    return profile.top_values(panel(spark, sf_dir), "family", 10)
+
+
+@query("top_products")
+def q_top_products(spark, sf_dir):
+    pt = agg.season_target(panel(spark, sf_dir))
+    return profile.head(pt, 20, [F.desc("target_demand"), F.asc("ID")])
+
+
+@query("shape")
+def q_shape(spark, sf_dir):
+    return profile.shape(panel(spark, sf_dir))
+
+
+@query("distinct_counts")
+def q_distinct_counts(spark, sf_dir):
+    return profile.distinct_counts(panel(spark, sf_dir))
+
+
+@query("constant_per_key")
+def q_constant_per_key(spark, sf_dir):
+    return profile.constant_per_key(panel(spark, sf_dir), "ID")
+
+
+@query("column_profile")
+def q_column_profile(spark, sf_dir):
+    return profile.column_profile(panel(spark, sf_dir))
+
+
+@query("numeric_profile")
+def q_numeric_profile(spark, sf_dir):
+    return profile.numeric_profile(panel(spark, sf_dir))
+
+
+@query("key_overlap")
+def q_key_overlap(spark, sf_dir):
+    return profile.key_overlap(*train_test_keys(spark, sf_dir))
+
+
+@query("keys_intersect")
+def q_keys_intersect(spark, sf_dir):
+    return profile.keys_intersect(*train_test_keys(spark, sf_dir))
+
+
+@query("keys_except")
+def q_keys_except(spark, sf_dir):
+    return profile.keys_except(*train_test_keys(spark, sf_dir))

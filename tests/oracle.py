@@ -25,6 +25,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "float": "FLOAT", "array<double>": "DOUBLE[]",
+                 "array<float>": "FLOAT[]", "timestamp_ntz": "TIMESTAMP", "array<bigint>": "BIGINT[]",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def _norm(v, digits=None):
     if v is None:
         return None
@@ -68,6 +74,10 @@ def compare(spark, query, sql: str, sf_dir: str, con=None) -> dict:
         "duck_types": [str(t) for t in rel.types],
         "spark_sec": round(t1 - t0, 2),
     }
+    sp = dict(zip(scols, res["spark_types"]))
+    dk = dict(zip(dcols, res["duck_types"]))
+    res["type_diff"] = {c: (sp[c], dk.get(c)) for c in scols
+                        if c in dk and SPARK_TO_DUCK.get(sp[c], sp[c].upper()) != dk[c]}
     res["exact"] = res["cols_match"] and _rows(scols, srows) == _rows(dcols, drows)
     res["close"] = res["cols_match"] and _rows(scols, srows, 9) == _rows(dcols, drows, 9)
     if not res["close"] and res["cols_match"]:
@@ -106,7 +116,8 @@ def main(argv):
         ok = r["exact"]
         bad += not ok
         print(f"{n:28s} {'EXACT' if ok else ('close' if r['close'] else 'MISMATCH')} "
-              f"rows {r['spark_rows']}/{r['duck_rows']} {r['spark_sec']}s")
+              f"rows {r['spark_rows']}/{r['duck_rows']} {r['spark_sec']}s"
+              + (f" TYPES {r['type_diff']}" if r["type_diff"] else ""))
         if not ok:
             print("   ", {k: v for k, v in r.items() if k not in ("exact", "close")})
     print("bad:", bad)
