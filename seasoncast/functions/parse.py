@@ -41,7 +41,7 @@ def parse_date(c, formats=DATE_FORMATS) -> Column:
     Date-typed input passes through unchanged.
     """
     s = col_of(c)
-    return F.coalesce(*[F.try_to_date(s.cast("string"), F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s.cast("string"), f) for f in formats])
 
 
 def days_since(d: Column, origin: Column) -> Column:

@@ -34,10 +34,10 @@ ORACLE["product_first"] = with_panel(
 
 _PT_ATTRS = [c for c in PANEL_COLUMNS
              if c not in ("ID", "year", "num_week_iso", "weekly_demand", "weekly_sales")]
-ORACLE["product_table"] = with_panel(
-    "SELECT \"ID\", " + ", ".join(first_sql(c) for c in _PT_ATTRS)
-    + ', coalesce(sum(weekly_demand), 0.0) AS target_demand'
-    + ' FROM panel WHERE "ID" IS NOT NULL GROUP BY "ID"')
+PRODUCT_TABLE_SQL = ("SELECT \"ID\", " + ", ".join(first_sql(c) for c in _PT_ATTRS)
+                     + ', coalesce(sum(weekly_demand), 0.0) AS target_demand'
+                     + ' FROM panel WHERE "ID" IS NOT NULL GROUP BY "ID"')
+ORACLE["product_table"] = with_panel(PRODUCT_TABLE_SQL)
 
 _RGB = ", ".join(f"coalesce(TRY_CAST(split_part(color_rgb, ',', {i + 1}) AS INTEGER), 0) AS {n}"
                  for i, n in enumerate("rgb"))
@@ -196,3 +196,58 @@ ORACLE["keys_except"] = f"""WITH panel AS ({PANEL_SQL}), {_SPLIT}
 (SELECT "ID", 'left_only' AS side FROM (SELECT "ID" FROM l EXCEPT SELECT "ID" FROM r))
 UNION ALL
 (SELECT "ID", 'right_only' AS side FROM (SELECT "ID" FROM r EXCEPT SELECT "ID" FROM l))"""
+
+
+# --- feature specs ----------------------------------------------------------
+PRODUCTS_SQL = ("SELECT *, substr(md5(concat(CAST(\"ID\" AS VARCHAR), ':42')), 1, 8) < 'cccccccc' AS is_train "
+                f"FROM ({PRODUCT_TABLE_SQL}) t0")
+
+
+def products_ctes() -> str:
+    return f"WITH panel AS ({PANEL_SQL}), pt AS ({PRODUCTS_SQL})\n"
+
+
+CATS = ["aggregated_family", "family", "category", "color_name", "color_rgb"]
+DICT_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan') AS v FROM pt WHERE is_train)" for c in CATS)
+
+ORACLE["split_holdout"] = products_ctes() + 'SELECT "ID", is_train FROM pt'
+ORACLE["label_dictionary"] = products_ctes() + DICT_SQL
+
+
+def _encoded(c: str, clamp: bool = False) -> str:
+    n = f"(SELECT count(*) FROM dict WHERE \"column\" = '{c}')"
+    unk = f"(SELECT max(code) FROM dict WHERE \"column\" = '{c}' AND value = 'UNKNOWN')"
+    code = (f"coalesce((SELECT code FROM dict WHERE \"column\" = '{c}' "
+            f"AND value = coalesce(CAST(pt.{c} AS VARCHAR), 'nan')), {unk}, {n})")
+    return f"CAST(least({code}, {n} - 1) AS INTEGER)" if clamp else f"CAST({code} AS INTEGER)"
+
+
+ORACLE["label_encode_unseen"] = (
+    f"WITH panel AS ({PANEL_SQL}), pt AS ({PRODUCTS_SQL}), dict AS ({DICT_SQL})\n"
+    "SELECT \"ID\", " + ", ".join(f"{_encoded(c)} AS {c}" for c in CATS)
+    + f", {_encoded('color_rgb', True)} AS color_rgb_clamped FROM pt")
+
+ORACLE["date_offsets"] = products_ctes() + """SELECT "ID",
+  CAST(coalesce(date_diff('day', (SELECT min(phase_in) FROM pt WHERE is_train), phase_in), 0) AS DOUBLE) AS phase_in,
+  CAST(coalesce(date_diff('day', (SELECT min(phase_out) FROM pt WHERE is_train), phase_out), 0) AS DOUBLE) AS phase_out
+FROM pt"""
+
+ORACLE["calendar_features"] = products_ctes() + """SELECT "ID",
+  CAST(month(phase_in) AS INTEGER) AS phase_in_month, CAST(week(phase_in) AS INTEGER) AS phase_in_week,
+  CAST(month(phase_out) AS INTEGER) AS phase_out_month, CAST(week(phase_out) AS INTEGER) AS phase_out_week,
+  date_diff('day', phase_in, phase_out) / 7.0 AS season_weeks
+FROM pt"""
+
+SCALED = ["price", "num_stores", "num_sizes", "life_cycle_length", "target_demand"]
+_STATS = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
+                   for c in SCALED)
+ORACLE["zscore"] = (products_ctes().rstrip("\n") + f", st AS (SELECT {_STATS} FROM pt WHERE is_train)\n"
+                    + "SELECT \"ID\", " + ", ".join(
+                        f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS {c}"
+                        for c in SCALED) + " FROM pt, st")
+
+ORACLE["recency_weight"] = products_ctes() + """SELECT "ID",
+  round(exp(-0.2 * greatest(date_diff('day', phase_out, DATE '2002-01-01') / 30.0, 0.0)), 9) AS sample_weight
+FROM pt"""

@@ -150,3 +150,67 @@ def q_keys_intersect(spark, sf_dir):
 @query("keys_except")
 def q_keys_except(spark, sf_dir):
     return profile.keys_except(*train_test_keys(spark, sf_dir))
+
+
+# --- feature specs ----------------------------------------------------------
+from seasoncast.functions.measures import season_weeks  # noqa: E402
+from seasoncast.operators import encode  # noqa: E402
+
+CATS = ["aggregated_family", "family", "category", "color_name", "color_rgb"]
+DATES = ["phase_in", "phase_out"]
+SCALED = ["price", "num_stores", "num_sizes", "life_cycle_length", "target_demand"]
+
+
+def products(spark, sf_dir):
+    """Product table with the hold-out flag (train = 80% of product keys by hash)."""
+    return encode.split_holdout(agg.product_table(panel(spark, sf_dir)))
+
+
+@query("split_holdout")
+def q_split_holdout(spark, sf_dir):
+    return products(spark, sf_dir).select("ID", "is_train")
+
+
+@query("label_dictionary")
+def q_label_dictionary(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    return encode.fit_label_dictionary(pt.where("is_train"), CATS)
+
+
+@query("label_encode_unseen")
+def q_label_encode_unseen(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    spec = encode.fit_label_dictionary(pt.where("is_train"), CATS)
+    enc = encode.apply_label_dictionary(pt, spec, ["color_rgb"], policy="clamp", suffix="_clamped")
+    enc = encode.apply_label_dictionary(enc, spec, CATS, policy="append")
+    return enc.select("ID", *CATS, "color_rgb_clamped")
+
+
+@query("date_offsets")
+def q_date_offsets(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    spec = encode.fit_date_origins(pt.where("is_train"), DATES)
+    return encode.apply_date_origins(pt, spec, DATES).select("ID", *DATES)
+
+
+@query("calendar_features")
+def q_calendar_features(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    return pt.select("ID",
+                     F.month("phase_in").alias("phase_in_month"), F.weekofyear("phase_in").alias("phase_in_week"),
+                     F.month("phase_out").alias("phase_out_month"), F.weekofyear("phase_out").alias("phase_out_week"),
+                     season_weeks("phase_in", "phase_out").alias("season_weeks"))
+
+
+@query("zscore")
+def q_zscore(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    spec = encode.fit_scaler(pt.where("is_train"), SCALED)
+    return encode.apply_scaler(pt, spec, SCALED, digits=6).select("ID", *SCALED)
+
+
+@query("recency_weight")
+def q_recency_weight(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    return encode.recency_weights(pt, "phase_out", as_of="2002-01-01", lam=0.2, digits=9).select(
+        "ID", "sample_weight")
