@@ -251,3 +251,59 @@ ORACLE["zscore"] = (products_ctes().rstrip("\n") + f", st AS (SELECT {_STATS} FR
 ORACLE["recency_weight"] = products_ctes() + """SELECT "ID",
   round(exp(-0.2 * greatest(date_diff('day', phase_out, DATE '2002-01-01') / 30.0, 0.0)), 9) AS sample_weight
 FROM pt"""
+
+
+# --- similarity and blending --------------------------------------------------
+KNN_CTES = f"""WITH panel AS ({PANEL_SQL}), pt AS ({PRODUCTS_SQL}),
+items AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS vec, pt.target_demand AS target, pt.family,
+                 pt.is_train FROM embeddings e JOIN pt ON pt."ID" = e.vec_id),
+pairs AS (SELECT q.id AS query_id, c.id AS neighbor_id, list_cosine_similarity(q.vec, c.vec) AS sim
+          FROM items q JOIN items c ON c.is_train AND c.id <> q.id),
+topk AS (SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(sim, 9) AS similarity FROM (
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbor_id) AS rank FROM pairs)
+         WHERE rank <= 10),
+wts AS (SELECT *, round(greatest(similarity, 1e-6) / sum(greatest(similarity, 1e-6)) OVER (PARTITION BY query_id), 9)
+          AS weight FROM topk),
+knn AS (SELECT query_id, round(sum(weight * i.target), 6) AS knn_pred FROM wts JOIN items i ON i.id = wts.neighbor_id
+        GROUP BY query_id),
+fam AS (SELECT family, sum(target) / count(target) AS family_mean FROM items WHERE is_train GROUP BY family),
+gm AS (SELECT sum(target) / count(target) AS global_mean FROM items WHERE is_train),
+bf AS (SELECT i.id, i.target, i.family, i.is_train, knn.knn_pred,
+              coalesce(fam.family_mean, gm.global_mean) AS family_mean, gm.global_mean
+       FROM items i JOIN knn ON knn.query_id = i.id LEFT JOIN fam ON fam.family = i.family, gm),
+grid AS (SELECT alpha, round(avg(abs(target - (alpha * family_mean + (1 - alpha) * knn_pred))), 6) AS mae
+         FROM bf, (SELECT i / 20.0 AS alpha FROM range(0, 21) t(i)) a WHERE is_train GROUP BY alpha)
+"""
+
+ORACLE["knn_topk"] = KNN_CTES + "SELECT * FROM topk"
+ORACLE["knn_weights"] = KNN_CTES + "SELECT query_id, neighbor_id, weight FROM wts"
+ORACLE["knn_forecast"] = KNN_CTES + "SELECT * FROM knn"
+ORACLE["forecast_mean"] = KNN_CTES + (
+    'SELECT id AS "ID", round((knn_pred + family_mean + global_mean) / 3, 6) AS "Production" FROM bf')
+ORACLE["blend_grid"] = KNN_CTES + "SELECT * FROM grid"
+ORACLE["blend_best"] = KNN_CTES + "SELECT * FROM grid ORDER BY mae, alpha LIMIT 1"
+ORACLE["uplift_clip"] = KNN_CTES + """, best AS (SELECT alpha FROM grid ORDER BY mae, alpha LIMIT 1)
+SELECT id AS "ID", round(greatest((best.alpha * family_mean + (1 - best.alpha) * knn_pred) * 1.1, 0.0), 6)
+  AS "Production" FROM bf, best WHERE NOT is_train"""
+ORACLE["quantile_band"] = KNN_CTES + """, q AS (
+  SELECT query_id, round(quantile_cont(i.target, 0.5), 6) AS p50, round(quantile_cont(i.target, 0.9), 6) AS p90
+  FROM topk JOIN items i ON i.id = topk.neighbor_id GROUP BY query_id)
+SELECT query_id AS "ID", p50, p90, round(0.7 * p50 + 0.3 * p90, 6) AS "Production" FROM q"""
+ORACLE["metrics_table"] = KNN_CTES + """, ho AS (
+  SELECT target, knn_pred, family_mean, global_mean, (knn_pred + family_mean + global_mean) / 3 AS mean3
+  FROM bf WHERE NOT is_train),
+long AS (UNPIVOT ho ON knn_pred, family_mean, global_mean, mean3 INTO NAME model VALUE p)
+SELECT model, count(*) AS n, round(avg(abs(target - p)), 6) AS mae, round(sqrt(avg((target - p) * (target - p))), 6)
+  AS rmse, round(avg(greatest(0.8 * (target - p), (0.8 - 1) * (target - p))), 6) AS pinball
+FROM long GROUP BY model"""
+ORACLE["ridge_stack"] = KNN_CTES + """, s AS (
+  SELECT count(*) AS n, avg(target) AS my, avg(knn_pred) AS m1, avg(family_mean) AS m2,
+         covar_pop(knn_pred, knn_pred) * count(*) AS a, covar_pop(knn_pred, family_mean) * count(*) AS b,
+         covar_pop(family_mean, family_mean) * count(*) AS c,
+         covar_pop(knn_pred, target) * count(*) AS p, covar_pop(family_mean, target) * count(*) AS q
+  FROM bf WHERE is_train),
+beta AS (SELECT ((c + 1.0) * p - b * q) / ((a + 1.0) * (c + 1.0) - b * b) AS b1,
+                ((a + 1.0) * q - b * p) / ((a + 1.0) * (c + 1.0) - b * b) AS b2, my, m1, m2 FROM s)
+SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 6) AS coef FROM beta
+UNION ALL SELECT 'knn_pred', round(b1, 6) FROM beta
+UNION ALL SELECT 'family_mean', round(b2, 6) FROM beta"""

@@ -214,3 +214,108 @@ def q_recency_weight(spark, sf_dir):
     pt = products(spark, sf_dir)
     return encode.recency_weights(pt, "phase_out", as_of="2002-01-01", lam=0.2, digits=9).select(
         "ID", "sample_weight")
+
+
+# --- similarity and blending --------------------------------------------------
+from seasoncast.operators import blend, similarity  # noqa: E402
+from seasoncast.sources.tables import table  # noqa: E402
+
+K = 10
+
+
+def knn_items(spark, sf_dir):
+    """One item per embedding row, joined to the product with the same key.
+
+    Target = season demand of that product; corpus = items in the training split."""
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    pt = products(spark, sf_dir).select(F.col("ID").alias("id"), F.col("target_demand").alias("target"),
+                                        "family", "is_train")
+    return emb.join(pt, "id")
+
+
+def knn_pairs(spark, sf_dir):
+    items = knn_items(spark, sf_dir)
+    return similarity.knn_join(items, items.where("is_train"), k=K, exclude_self=True)
+
+
+@query("knn_topk")
+def q_knn_topk(spark, sf_dir):
+    return knn_pairs(spark, sf_dir)
+
+
+@query("knn_weights")
+def q_knn_weights(spark, sf_dir):
+    return similarity.neighbor_weights(knn_pairs(spark, sf_dir)).select("query_id", "neighbor_id", "weight")
+
+
+def knn_forecast(spark, sf_dir):
+    items = knn_items(spark, sf_dir)
+    w = similarity.neighbor_weights(knn_pairs(spark, sf_dir))
+    return similarity.knn_regress(w, items)
+
+
+@query("knn_forecast")
+def q_knn_forecast(spark, sf_dir):
+    return knn_forecast(spark, sf_dir)
+
+
+def blend_frame(spark, sf_dir):
+    """Per item: truth, kNN forecast, family mean and global mean of the training items."""
+    items = knn_items(spark, sf_dir)
+    train = items.where("is_train")
+    fam = train.groupBy("family").agg((F.sum("target") / F.count("target")).alias("family_mean"))
+    glob = train.select(F.sum("target") / F.count("target")).scalar()
+    knn = knn_forecast(spark, sf_dir).withColumnRenamed("query_id", "id")
+    return (items.select("id", "target", "family", "is_train")
+            .join(knn, "id")
+            .join(fam, "family", "left")
+            .withColumn("global_mean", glob)
+            .withColumn("family_mean", F.coalesce("family_mean", "global_mean")))
+
+
+@query("forecast_mean")
+def q_forecast_mean(spark, sf_dir):
+    bf = blend_frame(spark, sf_dir)
+    fc = {n: bf.select(F.col("id").alias("ID"), F.col(c).alias("Production"))
+          for n, c in (("knn", "knn_pred"), ("family", "family_mean"), ("global", "global_mean"))}
+    wide = blend.join_forecasts(fc)
+    return blend.mean_forecast(wide, [f"Production_{n}" for n in fc])
+
+
+@query("blend_grid")
+def q_blend_grid(spark, sf_dir):
+    return blend.blend_grid(blend_frame(spark, sf_dir).where("is_train"), "family_mean", "knn_pred", "target")
+
+
+@query("blend_best")
+def q_blend_best(spark, sf_dir):
+    return blend.best_alpha(q_blend_grid(spark, sf_dir))
+
+
+@query("uplift_clip")
+def q_uplift_clip(spark, sf_dir):
+    from seasoncast.functions.measures import uplift
+    bf = blend_frame(spark, sf_dir)
+    alpha = blend.best_alpha(blend.blend_grid(bf.where("is_train"), "family_mean", "knn_pred", "target")).first()
+    out = blend.apply_blend(bf.where(~F.col("is_train")), "family_mean", "knn_pred", alpha["alpha"], "blend")
+    return out.select(F.col("id").alias("ID"), F.round(uplift("blend", 1.1, 0.0), 6).alias("Production"))
+
+
+@query("quantile_band")
+def q_quantile_band(spark, sf_dir):
+    items = knn_items(spark, sf_dir)
+    qs = similarity.neighbor_quantiles(knn_pairs(spark, sf_dir), items, (0.5, 0.9))
+    return blend.quantile_band(qs).select(F.col("query_id").alias("ID"), "p50", "p90", "Production")
+
+
+@query("metrics_table")
+def q_metrics_table(spark, sf_dir):
+    bf = blend_frame(spark, sf_dir).where(~F.col("is_train"))
+    bf = bf.withColumn("mean3", (F.col("knn_pred") + F.col("family_mean") + F.col("global_mean")) / 3)
+    return blend.metrics_table(bf, "target", ["knn_pred", "family_mean", "global_mean", "mean3"], alpha=0.8)
+
+
+@query("ridge_stack")
+def q_ridge_stack(spark, sf_dir):
+    return blend.ridge_fit(blend_frame(spark, sf_dir).where("is_train"), "target",
+                           ["knn_pred", "family_mean"], alpha=1.0)
