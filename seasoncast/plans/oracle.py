@@ -307,3 +307,30 @@ beta AS (SELECT ((c + 1.0) * p - b * q) / ((a + 1.0) * (c + 1.0) - b * b) AS b1,
 SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 6) AS coef FROM beta
 UNION ALL SELECT 'knn_pred', round(b1, 6) FROM beta
 UNION ALL SELECT 'family_mean', round(b2, 6) FROM beta"""
+
+
+# --- sequences and I/O --------------------------------------------------------
+ORACLE["week_position"] = with_panel(
+    'SELECT "ID", year, num_week_iso, CAST(row_number() OVER (PARTITION BY "ID" ORDER BY year, num_week_iso) '
+    'AS INTEGER) AS week_pos FROM panel')
+
+ORACLE["week_sequence"] = with_panel(f""", s AS (
+  SELECT "ID", CAST(count(*) AS INTEGER) AS seq_len,
+         list({ORDER_KEY} ORDER BY year, num_week_iso) AS week_keys,
+         list(CAST(weekly_sales AS DOUBLE) ORDER BY year, num_week_iso) AS weekly_sales_seq,
+         list(CAST(weekly_demand AS DOUBLE) ORDER BY year, num_week_iso) AS weekly_demand_seq,
+         {first_sql("Production", "target")}
+  FROM panel GROUP BY "ID")
+SELECT *, list_concat(weekly_sales_seq, list_transform(range((SELECT max(seq_len) FROM s) - seq_len),
+                      lambda x: 0.0)) AS weekly_sales_padded,
+          list_concat(weekly_demand_seq, list_transform(range((SELECT max(seq_len) FROM s) - seq_len),
+                      lambda x: 0.0)) AS weekly_demand_padded
+FROM s""")
+
+ORACLE["csv_roundtrip"] = ORACLE["product_table"]
+ORACLE["forecast_files"] = ORACLE["forecast_mean"]
+ORACLE["spec_roundtrip"] = (
+    products_ctes().rstrip("\n") + f", dict AS ({DICT_SQL})\n"
+    "SELECT 'label_dictionary' AS spec, \"column\", value, code, CAST(NULL AS DATE) AS origin FROM dict\n"
+    "UNION ALL SELECT 'date_origins', 'phase_in', NULL, NULL, (SELECT min(phase_in) FROM pt WHERE is_train)\n"
+    "UNION ALL SELECT 'date_origins', 'phase_out', NULL, NULL, (SELECT min(phase_out) FROM pt WHERE is_train)")

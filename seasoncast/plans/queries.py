@@ -319,3 +319,53 @@ def q_metrics_table(spark, sf_dir):
 def q_ridge_stack(spark, sf_dir):
     return blend.ridge_fit(blend_frame(spark, sf_dir).where("is_train"), "target",
                            ["knn_pred", "family_mean"], alpha=1.0)
+
+
+# --- sequences and I/O --------------------------------------------------------
+from seasoncast.operators import sequence  # noqa: E402
+from seasoncast.sources import io  # noqa: E402
+
+
+@query("week_position")
+def q_week_position(spark, sf_dir):
+    return sequence.week_position(panel(spark, sf_dir)).select("ID", "year", "num_week_iso", "week_pos")
+
+
+@query("week_sequence")
+def q_week_sequence(spark, sf_dir):
+    return sequence.week_sequences(panel(spark, sf_dir), ["weekly_sales", "weekly_demand"])
+
+
+PRODUCT_SCHEMA = ("ID bigint, id_season int, Production double, price double, num_stores int, num_sizes int, "
+                  "has_plus_sizes boolean, aggregated_family string, family string, category string, "
+                  "color_name string, color_rgb string, phase_in date, phase_out date, life_cycle_length int, "
+                  "vec_id bigint, target_demand double")
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    path = io.write_delimited(agg.product_table(panel(spark, sf_dir)), io.scratch_path(spark, "products"), sep=";")
+    return io.read_delimited(spark, path, PRODUCT_SCHEMA, sep=";")
+
+
+@query("forecast_files")
+def q_forecast_files(spark, sf_dir):
+    fc = q_forecast_mean(spark, sf_dir).select(F.col("ID").alias("id"), F.col("Production").alias("production"))
+    path = io.write_delimited(fc, io.scratch_path(spark, "forecasts"), sep=",")
+    return io.read_forecasts(spark, path)
+
+
+@query("spec_roundtrip")
+def q_spec_roundtrip(spark, sf_dir):
+    pt = products(spark, sf_dir)
+    train = pt.where("is_train")
+    root = io.scratch_path(spark, "specs")
+    io.save_spec(encode.fit_label_dictionary(train, CATS), root, "label_dictionary")
+    io.save_spec(encode.fit_date_origins(train, DATES), root, "date_origins")
+    labels = io.load_spec(spark, root, "label_dictionary")
+    dates = io.load_spec(spark, root, "date_origins")
+    return (labels.select(F.lit("label_dictionary").alias("spec"), "column", "value", "code",
+                          F.lit(None).cast("date").alias("origin"))
+            .unionByName(dates.select(F.lit("date_origins").alias("spec"), "column",
+                                      F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("code"),
+                                      "origin")))

@@ -27,7 +27,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                  "date": "DATE", "boolean": "BOOLEAN", "float": "FLOAT", "array<double>": "DOUBLE[]",
-                 "array<float>": "FLOAT[]", "timestamp_ntz": "TIMESTAMP", "array<bigint>": "BIGINT[]",
+                 "array<float>": "FLOAT[]", "array<int>": "INTEGER[]", "timestamp_ntz": "TIMESTAMP", "array<bigint>": "BIGINT[]",
                  "smallint": "SMALLINT", "tinyint": "TINYINT"}
 
 
