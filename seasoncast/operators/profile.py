@@ -50,10 +50,18 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
 
 
 def constant_per_key(df: DataFrame, key: str = "ID", cols: Sequence[str] | None = None) -> DataFrame:
-    """Is every column constant inside each key? (A8): max distinct count per key == 1."""
+    """Is every column constant inside each key?
+
+    "max over keys of the distinct count == 1" holds exactly when no key has
+    two different non-null values (min != max) and some key has a value, so
+    one min/max/count aggregate per key replaces per-column distinct counts
+    (no row expansion, fully partial-aggregated)."""
     cols = [c for c in (cols or df.columns)]
-    per_key = df.groupBy(F.col(key).alias("_key")).agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
-    wide = per_key.agg(*[(F.max(c) == 1).alias(c) for c in cols])
+    per_key = df.groupBy(F.col(key).alias("_key")).agg(
+        *[F.struct((F.min(c) != F.max(c)).alias("multi"), (F.count(c) > 0).alias("seen")).alias(c)
+          for c in cols])
+    wide = per_key.agg(*[(~F.bool_or(F.coalesce(F.col(f"`{c}`.multi"), F.lit(False)))
+                          & F.bool_or(F.col(f"`{c}`.seen"))).alias(c) for c in cols])
     return wide.unpivot([], cols, "column", "is_constant_per_ID")
 
 
