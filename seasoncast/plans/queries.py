@@ -369,3 +369,107 @@ def q_spec_roundtrip(spark, sf_dir):
             .unionByName(dates.select(F.lit("date_origins").alias("spec"), "column",
                                       F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("code"),
                                       "origin")))
+
+
+# --- models (rows-only checks: no SQL form exists for tree fitting) -----------
+from seasoncast.operators.models import boosting, mllib, stacking  # noqa: E402
+from seasoncast.operators.models.features import PCAProjection, assemble  # noqa: E402
+
+MODEL_CATS = ["aggregated_family", "family", "category", "color_name"]
+TABULAR = ["id_season", *MODEL_CATS, "phase_in", "phase_out", "life_cycle_length", "num_stores", "num_sizes",
+           "has_plus_sizes", "price"]
+
+
+def model_frame(spark, sf_dir, embedding: bool = True):
+    """Product rows with encoded specs fitted on the training split, plus the embedding."""
+    pt = products(spark, sf_dir)
+    train = pt.where("is_train")
+    pt = encode.apply_label_dictionary(pt, encode.fit_label_dictionary(train, MODEL_CATS), MODEL_CATS)
+    pt = encode.apply_date_origins(pt, encode.fit_date_origins(train, DATES), DATES)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pt = (pt.join(emb, "vec_id")
+          .withColumn("has_plus_sizes", F.col("has_plus_sizes").cast("int"))
+          .withColumn("is_val", ~F.col("is_train"))
+          .withColumn("label", F.col("target_demand")))
+    return assemble(pt, TABULAR, "embedding" if embedding else None)
+
+
+@query("gbt_quantile")
+def q_gbt_quantile(spark, sf_dir):
+    frame = model_frame(spark, sf_dir)
+    model = boosting.fit_quantile_boosting(frame, alpha=0.8, n_rounds=15, learning_rate=0.1, max_depth=5,
+                                           validation_col="is_val", patience=5)
+    path = io.scratch_path(spark, "gbt_quantile")
+    model.save(path)
+    loaded = boosting.QuantileBoostingModel.load(path)
+    return loaded.transform(frame).select("ID", F.col("prediction").alias("Production"))
+
+
+@query("gbt_weighted")
+def q_gbt_weighted(spark, sf_dir):
+    frame = model_frame(spark, sf_dir, embedding=False)
+    dates = products(spark, sf_dir).select("ID", F.col("phase_out").alias("phase_out_date"))
+    frame = encode.recency_weights(frame.join(dates, "ID"), "phase_out_date", as_of="2002-01-01", lam=0.2)
+    model = boosting.fit_quantile_boosting(frame, alpha=0.65, n_rounds=10, learning_rate=0.1, max_depth=5,
+                                           validation_col="is_val", weight_col="sample_weight", patience=5)
+    return model.transform(frame).select("ID", F.col("prediction").alias("Production"))
+
+
+@query("gbt_squared")
+def q_gbt_squared(spark, sf_dir):
+    frame = model_frame(spark, sf_dir)
+    model = mllib.fit_gbt_squared(frame, max_iter=30, max_depth=5, step_size=0.1, validation_col="is_val")
+    return mllib.score(model, frame)
+
+
+@query("gbt_categorical")
+def q_gbt_categorical(spark, sf_dir):
+    pt = products(spark, sf_dir).withColumn("is_val", ~F.col("is_train")).withColumn("label", F.col("target_demand"))
+    cats = encode.categorical_columns(pt.drop("color_rgb"), extra=["id_season"])
+    pt = encode.stringify_categoricals(pt, cats, token="NA")
+    pipe = mllib.categorical_pipeline(cats, ["price", "num_stores", "num_sizes", "life_cycle_length"],
+                                      max_iter=30, max_depth=6, validation_col="is_val")
+    return mllib.score(pipe.fit(pt), pt)
+
+
+@query("fm_mixed")
+def q_fm_mixed(spark, sf_dir):
+    frame = model_frame(spark, sf_dir, embedding=False)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
+    pca = PCAProjection(k=12, input_col="emb", output_col="emb_pca")
+    train_emb = frame.where("is_train").select("vec_id").join(emb, "vec_id")
+    frame = pca.fit(train_emb).transform(frame.join(emb, "vec_id"))
+    fm = mllib.ShiftedFM(MODEL_CATS, ["price", "num_stores", "num_sizes", "life_cycle_length", "phase_in"],
+                         embedding="emb_pca", alpha=0.8, max_iter=50)
+    fm.fit(frame.where("is_train"))
+    return fm.transform(frame).select("ID", F.col("prediction").alias("Production"))
+
+
+@query("pca_embedding")
+def q_pca_embedding(spark, sf_dir):
+    pt = products(spark, sf_dir).select("ID", "vec_id", "is_train")
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = pt.join(emb, "vec_id")
+    pca = PCAProjection(k=12).fit(rows.where("is_train"))
+    return pca.transform(rows).select("ID", "pca")
+
+
+@query("trial_table")
+def q_trial_table(spark, sf_dir):
+    return mllib.trial_table(model_frame(spark, sf_dir), [(0.05, 3), (0.1, 5)], max_iter=20)
+
+
+@query("stacked")
+def q_stacked(spark, sf_dir):
+    frame = model_frame(spark, sf_dir)
+
+    def gbt_base(train):
+        m = mllib.fit_gbt_squared(train, max_iter=15, max_depth=4)
+        return lambda x: m.transform(x)
+
+    def quantile_base(train):
+        m = boosting.fit_quantile_boosting(train, alpha=0.8, n_rounds=5, patience=None)
+        return lambda x: m.transform(x)
+
+    predict, _ = stacking.fit_stack(frame, {"gbt": gbt_base, "quantile": quantile_base}, holdout_col="is_val")
+    return predict(frame).select("ID", F.col("stacked").alias("Production"))
