@@ -334,3 +334,14 @@ ORACLE["spec_roundtrip"] = (
     "SELECT 'label_dictionary' AS spec, \"column\", value, code, CAST(NULL AS DATE) AS origin FROM dict\n"
     "UNION ALL SELECT 'date_origins', 'phase_in', NULL, NULL, (SELECT min(phase_in) FROM pt WHERE is_train)\n"
     "UNION ALL SELECT 'date_origins', 'phase_out', NULL, NULL, (SELECT min(phase_out) FROM pt WHERE is_train)")
+
+
+# --- remaining scalar operators -------------------------------------------------
+ORACLE["life_cycle_projection"] = (
+    f"WITH panel AS ({PANEL_SQL}), ps AS ({PRODUCT_SEASON_SQL})\n"
+    "SELECT \"ID\", season_year, date_diff('day', phase_in_first, phase_out_first) / 7.0 * weekly_demand_mean"
+    " AS projected_demand FROM ps")
+ORACLE["category_widths"] = (
+    products_ctes().rstrip("\n") + f", dict AS ({DICT_SQL})\n"
+    "SELECT \"column\", CAST(count(*) AS INTEGER) AS n_classes, "
+    "CAST(least(50, floor(count(*) / 2) + 1) AS INTEGER) AS factor_width FROM dict GROUP BY \"column\"")

@@ -473,3 +473,21 @@ def q_stacked(spark, sf_dir):
 
     predict, _ = stacking.fit_stack(frame, {"gbt": gbt_base, "quantile": quantile_base}, holdout_col="is_val")
     return predict(frame).select("ID", F.col("stacked").alias("Production"))
+
+
+# --- remaining scalar operators -------------------------------------------------
+from seasoncast.functions.measures import embedding_width, life_cycle_projection  # noqa: E402
+
+
+@query("life_cycle_projection")
+def q_life_cycle_projection(spark, sf_dir):
+    ps = agg.product_season(panel(spark, sf_dir))
+    return ps.select("ID", "season_year", life_cycle_projection("phase_in_first", "phase_out_first",
+                                                                "weekly_demand_mean").alias("projected_demand"))
+
+
+@query("category_widths")
+def q_category_widths(spark, sf_dir):
+    spec = encode.fit_label_dictionary(products(spark, sf_dir).where("is_train"), CATS)
+    sizes = spec.groupBy("column").agg(F.count(F.lit(1)).cast("int").alias("n_classes"))
+    return sizes.withColumn("factor_width", embedding_width("n_classes"))

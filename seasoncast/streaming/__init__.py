@@ -1,0 +1,9 @@
+"""Streaming operators.
+
+The reference runs every script as a one-shot batch: it has no watermark,
+event-time window, state store or late-data handling (SURVEY §2.10), so no
+streaming operator is defined here.  All batch operators are plain
+DataFrame -> DataFrame functions without actions on their input, so the
+row-wise ones (parsing, encoding with a fitted spec, scoring) also apply
+unchanged to a streaming DataFrame inside ``foreachBatch``.
+"""
