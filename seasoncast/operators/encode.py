@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from seasoncast.functions.measures import months_between_days, recency_weight, unzscore, zscore
 from seasoncast.functions.parse import fill_category, parse_date
+from seasoncast.session import cut_lineage
 
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "UNKNOWN"  # fixed value: label given to unseen categories
@@ -65,8 +66,11 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str], missing_token: str
     before = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", "column",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), ["_pid", "column"])  # partitions x columns rows
+    spec = (numbered.join(F.broadcast(offsets), ["_pid", "column"])  # partitions x columns rows
             .select("column", "value", (F.col("_off") + F.col("_local")).cast("int").alias("code")))
+    # A fitted spec is used several times (sizes, broadcast check, one join per
+    # column): materialise it once in the shared checkpoint folder.
+    return cut_lineage(spec)
 
 
 def apply_label_dictionary(df: DataFrame, spec: DataFrame, cols: Sequence[str],

@@ -68,19 +68,21 @@ def constant_per_key(df: DataFrame, key: str = "ID", cols: Sequence[str] | None
 def column_profile(df: DataFrame, key: str = "ID", order: Sequence[str] = ("year", "num_week_iso")) -> DataFrame:
     """dtype, missing, unique, first non-null example and constant-per-key flag.
 
-    Missing / unique / example come from one aggregate; the constant-per-key test
-    needs a second (per-key) aggregate; both are joined on the column name (one
-    row per column, so the join is tiny)."""
+    Three aggregates — plain (missing, example), distinct counts, per-key
+    constancy — joined on the column name (one row per column each).  Kept
+    apart on purpose: fused, the distinct rewrite would replicate the plain
+    aggregates' buffers once per distinct column."""
     cols = df.columns
     ok = order_key(tuple(order) + (key,))  # total order: the first row of the table
-    stats = df.agg(*[F.struct(
+    plain = df.agg(*[F.struct(
         F.lit(f.dataType.simpleString()).alias("dtype"),
         F.count_if(F.col(f.name).isNull()).alias("missing"),
-        F.count_distinct(F.col(f.name)).alias("unique"),
         F.min_by(F.col(f.name).cast("string"), F.when(F.col(f.name).isNotNull(), ok)).alias("example"),
     ).alias(f.name) for f in df.schema.fields])
-    long = stats.unpivot([], cols, "column", "s").select("column", "s.*")
-    return long.join(constant_per_key(df, key, cols), "column")
+    long = plain.unpivot([], cols, "column", "s").select("column", "s.dtype", "s.missing", "s.example")
+    uniq = distinct_counts(df, cols).withColumnRenamed("n_unique", "unique")
+    return (long.join(uniq, "column").join(constant_per_key(df, key, cols), "column")
+            .select("column", "dtype", "missing", "unique", "example", "is_constant_per_ID"))
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None,
