@@ -138,9 +138,24 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
     cur = cut_lineage(cur)  # fixed rows and sample hash for the whole fit
     init = exact_quantile(cur.where(~F.col("_val")), label, alpha)
     cur = cur.withColumn("_f", F.lit(float(init))).persist(StorageLevel.MEMORY_AND_DISK)
+    previous = cur
     model = QuantileBoostingModel(alpha=alpha, learning_rate=learning_rate, init=init, features_col=features)
+    loss_expr = pinball_loss(F.col(label), F.col("_f"), alpha)
     best, best_round, since = float("inf"), 0, 0
-    previous = cur
+
+    def record(rounds: int, losses: dict) -> bool:
+        """Log the loss of the model with ``rounds`` trees; True when patience ran out."""
+        nonlocal best, best_round, since
+        tl, vl = losses.get(False), losses.get(True)
+        model.history.append((rounds, tl, vl))
+        score = vl if vl is not None else tl
+        if score is not None and score < best - 1e-12:
+            best, best_round, since = score, rounds, 0
+        else:
+            since += 1
+        return patience is not None and since >= patience
+
+    stopped = False
     for m in range(n_rounds):
         grad = F.when(F.col(label) > F.col("_f"), F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
         work = cur.withColumn("_g", grad)
@@ -154,12 +169,24 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
         if weight_col:
             dt.setWeightCol(weight_col)
         tree = dt.fit(train)
-        leafed = tree.transform(work.where(~F.col("_val"))).withColumn("_res", F.col(label) - F.col("_f"))
+        leafed = tree.transform(work).withColumn("_res", F.col(label) - F.col("_f"))
+        # One job per round: leaf quantiles of the new tree (training rows) and
+        # the loss of the model so far (all rows), by (split, leaf): <= 2 x 2^depth rows.
+        stats = leafed.groupBy("_val", "_leaf").agg(
+            F.percentile_approx("_res", alpha, 10000).alias("v"),
+            F.sum(loss_expr).alias("loss"), F.count(F.lit(1)).alias("n")).collect()
+        sums: dict = {}
+        for r in stats:
+            acc = sums.setdefault(r["_val"], [0.0, 0])
+            acc[0] += r["loss"]
+            acc[1] += r["n"]
+        if record(m, {k: v[0] / v[1] for k, v in sums.items()}):
+            stopped = True
+            break
         if weight_col:
-            values = _weighted_leaf_quantile(leafed, alpha, weight_col)
+            values = _weighted_leaf_quantile(leafed.where(~F.col("_val")), alpha, weight_col)
         else:
-            values = {int(r["_leaf"]): r["v"] for r in leafed.groupBy("_leaf").agg(
-                F.percentile_approx("_res", alpha, 10000).alias("v")).collect()}   # <= 2^depth rows
+            values = {int(r["_leaf"]): r["v"] for r in stats if not r["_val"]}
         model.trees.append(tree)
         model.leaf_values.append(values)
         nxt = model.contribution(cur, m)
@@ -168,21 +195,13 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
             nxt = cut_lineage(nxt)
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        loss = nxt.groupBy("_val").agg(F.avg(pinball_loss(F.col(label), F.col("_f"), alpha)).alias("l")).collect()
-        losses = {r["_val"]: r["l"] for r in loss}
-        tl, vl = losses.get(False), losses.get(True)
-        model.history.append((m + 1, tl, vl))
         previous.unpersist()
         previous = cur = nxt
-        score = vl if vl is not None else tl
-        if score < best - 1e-12:
-            best, best_round, since = score, m + 1, 0
-        else:
-            since += 1
-            if patience is not None and since >= patience:
-                break
+    if not stopped:
+        final = cur.groupBy("_val").agg(F.avg(loss_expr).alias("l")).collect()
+        record(len(model.trees), {r["_val"]: r["l"] for r in final})
     cur.unpersist()
-    if patience is not None and best_round:
+    if patience is not None:
         model.trees = model.trees[:best_round]
         model.leaf_values = model.leaf_values[:best_round]
     return model

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seasoncast.functions.measures import planned_total_demand, production_gap
 from seasoncast.operators import aggregate as agg
+from seasoncast.session import cut_lineage
 from seasoncast.sources.panel import product_week_panel
 
 REGISTRY: dict = {}
@@ -161,9 +162,13 @@ DATES = ["phase_in", "phase_out"]
 SCALED = ["price", "num_stores", "num_sizes", "life_cycle_length", "target_demand"]
 
 
-def products(spark, sf_dir):
-    """Product table with the hold-out flag (train = 80% of product keys by hash)."""
-    return encode.split_holdout(agg.product_table(panel(spark, sf_dir)))
+def products(spark, sf_dir, materialize: bool = False):
+    """Product table with the hold-out flag (train = 80% of product keys by hash).
+
+    ``materialize=True`` writes it once to the shared checkpoint folder, for
+    plans that fit several specs on it (each fit is an action)."""
+    pt = encode.split_holdout(agg.product_table(panel(spark, sf_dir)))
+    return cut_lineage(pt) if materialize else pt
 
 
 @query("split_holdout")
@@ -228,8 +233,8 @@ def knn_items(spark, sf_dir):
 
     Target = season demand of that product; corpus = items in the training split."""
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    pt = products(spark, sf_dir).select(F.col("ID").alias("id"), F.col("target_demand").alias("target"),
-                                        "family", "is_train")
+    pt = products(spark, sf_dir, materialize=True).select(
+        F.col("ID").alias("id"), F.col("target_demand").alias("target"), "family", "is_train")
     return emb.join(pt, "id")
 
 
@@ -382,7 +387,7 @@ TABULAR = ["id_season", *MODEL_CATS, "phase_in", "phase_out", "life_cycle_length
 
 def model_frame(spark, sf_dir, embedding: bool = True):
     """Product rows with encoded specs fitted on the training split, plus the embedding."""
-    pt = products(spark, sf_dir)
+    pt = products(spark, sf_dir, materialize=True)
     train = pt.where("is_train")
     pt = encode.apply_label_dictionary(pt, encode.fit_label_dictionary(train, MODEL_CATS), MODEL_CATS)
     pt = encode.apply_date_origins(pt, encode.fit_date_origins(train, DATES), DATES)

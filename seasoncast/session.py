@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine relies on.  AQE re-plans joins and coalesces shuffle
@@ -58,4 +59,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     plans (boosting rounds) from growing without bound.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    # Persist first: otherwise the checkpoint write recomputes the whole lineage
+    # a second time after the job that materialises it.
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
