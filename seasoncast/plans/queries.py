@@ -238,8 +238,8 @@ def knn_items(spark, sf_dir):
     return emb.join(pt, "id")
 
 
-def knn_pairs(spark, sf_dir):
-    items = knn_items(spark, sf_dir)
+def knn_pairs(spark, sf_dir, items=None):
+    items = items if items is not None else knn_items(spark, sf_dir)
     return similarity.knn_join(items, items.where("is_train"), k=K, exclude_self=True)
 
 
@@ -253,9 +253,9 @@ def q_knn_weights(spark, sf_dir):
     return similarity.neighbor_weights(knn_pairs(spark, sf_dir)).select("query_id", "neighbor_id", "weight")
 
 
-def knn_forecast(spark, sf_dir):
-    items = knn_items(spark, sf_dir)
-    w = similarity.neighbor_weights(knn_pairs(spark, sf_dir))
+def knn_forecast(spark, sf_dir, items=None):
+    items = items if items is not None else knn_items(spark, sf_dir)
+    w = similarity.neighbor_weights(knn_pairs(spark, sf_dir, items))
     return similarity.knn_regress(w, items)
 
 
@@ -270,7 +270,7 @@ def blend_frame(spark, sf_dir):
     train = items.where("is_train")
     fam = train.groupBy("family").agg((F.sum("target") / F.count("target")).alias("family_mean"))
     glob = train.select(F.sum("target") / F.count("target")).scalar()
-    knn = knn_forecast(spark, sf_dir).withColumnRenamed("query_id", "id")
+    knn = knn_forecast(spark, sf_dir, items).withColumnRenamed("query_id", "id")
     return (items.select("id", "target", "family", "is_train")
             .join(knn, "id")
             .join(fam, "family", "left")
@@ -309,7 +309,7 @@ def q_uplift_clip(spark, sf_dir):
 @query("quantile_band")
 def q_quantile_band(spark, sf_dir):
     items = knn_items(spark, sf_dir)
-    qs = similarity.neighbor_quantiles(knn_pairs(spark, sf_dir), items, (0.5, 0.9))
+    qs = similarity.neighbor_quantiles(knn_pairs(spark, sf_dir, items), items, (0.5, 0.9))
     return blend.quantile_band(qs).select(F.col("query_id").alias("ID"), "p50", "p90", "Production")
 
 
