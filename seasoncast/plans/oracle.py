@@ -345,3 +345,29 @@ ORACLE["category_widths"] = (
     products_ctes().rstrip("\n") + f", dict AS ({DICT_SQL})\n"
     "SELECT \"column\", CAST(count(*) AS INTEGER) AS n_classes, "
     "CAST(least(50, floor(count(*) / 2) + 1) AS INTEGER) AS factor_width FROM dict GROUP BY \"column\"")
+
+
+# --- profile report parts and the pseudo-target ridge -------------------------------
+ORACLE["numeric_histogram"] = with_panel(""", mm AS (SELECT min(price) AS lo, max(price) AS hi FROM panel)
+SELECT CAST(least(floor((price - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n
+FROM panel, mm WHERE price IS NOT NULL GROUP BY 1""")
+
+_PAIRS = ["weekly_sales", "weekly_demand", "price", "num_stores", "Production"]
+ORACLE["correlations"] = with_panel("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr(\"{a}\", \"{b}\"), 6) AS corr FROM panel"
+    for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1:]))
+
+ORACLE["ridge_pseudo"] = KNN_CTES + """, zs AS (
+  SELECT avg(knn_pred) AS m1, stddev_pop(knn_pred) AS s1, avg(family_mean) AS m2, stddev_pop(family_mean) AS s2
+  FROM bf),
+z AS (SELECT (knn_pred - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END AS x1,
+             (family_mean - m2) / CASE WHEN s2 = 0 THEN 1.0 ELSE s2 END AS x2,
+             (knn_pred + family_mean) / 2 AS y FROM bf, zs),
+s AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2,
+             covar_pop(x1, x1) * count(*) AS a, covar_pop(x1, x2) * count(*) AS b, covar_pop(x2, x2) * count(*) AS c,
+             covar_pop(x1, y) * count(*) AS p, covar_pop(x2, y) * count(*) AS q FROM z),
+beta AS (SELECT ((c + 1.0) * p - b * q) / ((a + 1.0) * (c + 1.0) - b * b) AS b1,
+                ((a + 1.0) * q - b * p) / ((a + 1.0) * (c + 1.0) - b * b) AS b2, my, m1, m2 FROM s)
+SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 6) AS coef FROM beta
+UNION ALL SELECT 'knn_pred', round(b1, 6) FROM beta
+UNION ALL SELECT 'family_mean', round(b2, 6) FROM beta"""

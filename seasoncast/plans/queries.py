@@ -496,3 +496,27 @@ def q_category_widths(spark, sf_dir):
     spec = encode.fit_label_dictionary(products(spark, sf_dir).where("is_train"), CATS)
     sizes = spec.groupBy("column").agg(F.count(F.lit(1)).cast("int").alias("n_classes"))
     return sizes.withColumn("factor_width", embedding_width("n_classes"))
+
+
+# --- profile report parts and the pseudo-target ridge -------------------------------
+PROFILE_PAIRS = ["weekly_sales", "weekly_demand", "price", "num_stores", "Production"]
+
+
+@query("numeric_histogram")
+def q_numeric_histogram(spark, sf_dir):
+    return profile.histogram(panel(spark, sf_dir), "price", bins=20)
+
+
+@query("correlations")
+def q_correlations(spark, sf_dir):
+    return profile.correlations(panel(spark, sf_dir), PROFILE_PAIRS)
+
+
+@query("ridge_pseudo")
+def q_ridge_pseudo(spark, sf_dir):
+    """Ridge on standardised forecasts against their own mean (D9): no ground truth used."""
+    bf = blend_frame(spark, sf_dir)
+    cols = ["knn_pred", "family_mean"]
+    pseudo = bf.withColumn("pseudo", (F.col("knn_pred") + F.col("family_mean")) / 2)
+    z = encode.apply_scaler(pseudo, encode.fit_scaler(pseudo, cols), cols)
+    return blend.ridge_fit(z, "pseudo", cols, alpha=1.0)
