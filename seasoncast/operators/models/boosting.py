@@ -24,6 +24,8 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+import numpy as np
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +50,19 @@ class QuantileBoostingModel:
     leaf_values: list = field(default_factory=list)    # {leaf index: value} per round
     history: list = field(default_factory=list)        # (round, train_loss, val_loss)
     features_col: str = "features"
+    feature_subsets: list = field(default_factory=list)  # per round: feature indices, or None for all
 
     def contribution(self, df: DataFrame, i: int) -> DataFrame:
         tree = self.trees[i].copy()
-        tree.setFeaturesCol(self.features_col).setPredictionCol(f"_p{i}").setLeafCol(f"_leaf{i}")
+        subset = self.feature_subsets[i] if i < len(self.feature_subsets) else None
+        feats = self.features_col
+        if subset is not None:
+            feats = f"_fs{i}"
+            df = VectorSlicer(inputCol=self.features_col, outputCol=feats, indices=subset).transform(df)
+        tree.setFeaturesCol(feats).setPredictionCol(f"_p{i}").setLeafCol(f"_leaf{i}")
         out = tree.transform(df).drop(f"_p{i}")
+        if subset is not None:
+            out = out.drop(feats)
         step = F.lit(self.learning_rate) * F.coalesce(
             F.element_at(_map_literal(self.leaf_values[i]), F.col(f"_leaf{i}")), F.lit(0.0))
         return out.withColumn("_contrib", step).drop(f"_leaf{i}")
@@ -73,7 +83,8 @@ class QuantileBoostingModel:
             t.write().overwrite().save(f"{path}/tree_{i:05d}")
         meta = {"alpha": self.alpha, "learning_rate": self.learning_rate, "init": self.init,
                 "leaf_values": [{str(k): v for k, v in lv.items()} for lv in self.leaf_values],
-                "history": self.history, "features_col": self.features_col, "n_trees": len(self.trees)}
+                "history": self.history, "features_col": self.features_col, "n_trees": len(self.trees),
+                "feature_subsets": self.feature_subsets}
         from pyspark.sql import SparkSession
         ss = SparkSession.getActiveSession()
         ss.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
@@ -87,7 +98,8 @@ class QuantileBoostingModel:
         trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i:05d}") for i in range(meta["n_trees"])]
         return cls(alpha=meta["alpha"], learning_rate=meta["learning_rate"], init=meta["init"], trees=trees,
                    leaf_values=[{int(k): v for k, v in lv.items()} for lv in meta["leaf_values"]],
-                   history=[tuple(h) for h in meta["history"]], features_col=meta["features_col"])
+                   history=[tuple(h) for h in meta["history"]], features_col=meta["features_col"],
+                   feature_subsets=meta.get("feature_subsets", []))
 
 
 def pinball_loss(y: Column, p: Column, alpha: float) -> Column:
@@ -127,10 +139,15 @@ def _weighted_leaf_quantile(train: DataFrame, alpha: float, weight: str, bins: i
 def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "features",
                           alpha: float = 0.8, n_rounds: int = 50, learning_rate: float = 0.1,
                           max_depth: int = 5, max_bins: int = 64, min_instances: int = 3,
-                          subsample: float = 1.0, patience: int | None = 10,
+                          subsample: float = 1.0, colsample: float = 1.0, patience: int | None = 10,
                           validation_col: str | None = None, weight_col: str | None = None,
                           checkpoint_every: int = 5, seed: int = 42) -> QuantileBoostingModel:
-    """Fit the pinball-loss booster; ``validation_col`` marks hold-out rows (True)."""
+    """Fit the pinball-loss booster; ``validation_col`` marks hold-out rows (True).
+
+    ``subsample`` keeps a hash-chosen share of training rows per round;
+    ``colsample`` a seeded share of the features per tree (kept with the tree)."""
+    n_features = df.select(features).first()[0].size if colsample < 1.0 else 0
+    rng = np.random.default_rng(seed)
     val = F.col(validation_col) if validation_col else F.lit(False)
     base_cols = [features, label] + ([weight_col] if weight_col else [])
     cur = df.select(*base_cols, val.alias("_val"),
@@ -163,13 +180,23 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
         if subsample < 1.0:
             cut = int(subsample * 10_000)
             train = train.where(F.pmod(F.xxhash64("_h", F.lit(m)), F.lit(10_000)) < cut)
-        dt = DecisionTreeRegressor(featuresCol=features, labelCol="_g", maxDepth=max_depth, maxBins=max_bins,
+        subset = None
+        tree_features = features
+        if colsample < 1.0:
+            k = max(1, int(round(colsample * n_features)))
+            subset = sorted(int(i) for i in rng.choice(n_features, size=k, replace=False))
+            tree_features = "_fs"
+            train = VectorSlicer(inputCol=features, outputCol="_fs", indices=subset).transform(train)
+        dt = DecisionTreeRegressor(featuresCol=tree_features, labelCol="_g", maxDepth=max_depth, maxBins=max_bins,
                                    minInstancesPerNode=min_instances, seed=seed + m, leafCol="_leaf",
                                    predictionCol="_pred")
         if weight_col:
             dt.setWeightCol(weight_col)
         tree = dt.fit(train)
-        leafed = tree.transform(work).withColumn("_res", F.col(label) - F.col("_f"))
+        scored = work
+        if subset is not None:
+            scored = VectorSlicer(inputCol=features, outputCol="_fs", indices=subset).transform(work)
+        leafed = tree.transform(scored).withColumn("_res", F.col(label) - F.col("_f"))
         # One job per round: leaf quantiles of the new tree (training rows) and
         # the loss of the model so far (all rows), by (split, leaf): <= 2 x 2^depth rows.
         stats = leafed.groupBy("_val", "_leaf").agg(
@@ -189,6 +216,7 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
             values = {int(r["_leaf"]): r["v"] for r in stats if not r["_val"]}
         model.trees.append(tree)
         model.leaf_values.append(values)
+        model.feature_subsets.append(subset)
         nxt = model.contribution(cur, m)
         nxt = nxt.withColumn("_f", F.col("_f") + F.col("_contrib")).drop("_contrib")
         if checkpoint_every and (m + 1) % checkpoint_every == 0:
@@ -204,4 +232,5 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
     if patience is not None:
         model.trees = model.trees[:best_round]
         model.leaf_values = model.leaf_values[:best_round]
+        model.feature_subsets = model.feature_subsets[:best_round]
     return model

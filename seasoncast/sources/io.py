@@ -36,10 +36,24 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", header: bool = Tru
     return path
 
 
-def read_forecasts(spark: SparkSession, path: str, sep: str = ",", key: str = "ID",
+def read_forecasts(spark: SparkSession, path: str | list[str], sep: str = ",", key: str = "ID",
                    value: str = "Production") -> DataFrame:
-    """Forecast file -> ``(ID, Production)``, header names matched case-insensitively."""
-    df = spark.read.option("sep", sep).option("header", True).csv(path)
+    """Forecast file -> ``(ID, Production)``, header names matched case-insensitively.
+
+    ``path`` may be a list of candidate locations tried in order (the first one
+    that exists is read)."""
+    from pyspark.errors import AnalysisException
+    candidates = [path] if isinstance(path, str) else list(path)
+    df = None
+    for p in candidates:
+        try:
+            df = spark.read.option("sep", sep).option("header", True).csv(p)
+            path = p
+            break
+        except AnalysisException:
+            continue
+    if df is None:
+        raise FileNotFoundError(f"none of the forecast paths exist: {candidates}")
     names = {c.lower(): c for c in df.columns}
     if key.lower() not in names or value.lower() not in names:
         raise ValueError(f"File {path} must contain '{key}' and '{value}' columns")

@@ -65,3 +65,23 @@ def test_exact_quantiles_skewed(spark):
     con = duckdb.connect()
     for q, g in zip((0.1, 0.333, 0.5, 0.995), got):
         assert g == con.sql(f"SELECT quantile_cont(v, {q}) FROM pdf").fetchall()[0][0]
+
+
+def test_feature_subsampled_boosting_reload(spark, regression, tmp_path):
+    m = boosting.fit_quantile_boosting(regression, alpha=0.8, n_rounds=4, max_depth=3, colsample=0.67,
+                                       subsample=0.8, patience=None)
+    assert all(s is not None and len(s) == 2 for s in m.feature_subsets)
+    path = str(tmp_path / "qgb_fs")
+    m.save(path)
+    a = {r["id"]: r["prediction"] for r in m.transform(regression).collect()}
+    b = {r["id"]: r["prediction"] for r in boosting.QuantileBoostingModel.load(path).transform(regression).collect()}
+    assert a == b
+
+
+def test_flags(spark):  # F13
+    from seasoncast.functions.measures import contains_any
+    df = spark.createDataFrame([("Formal wear",), ("CASUAL",), (None,), ("Outer jacket",)], "m string")
+    got = [r[0] for r in df.select(contains_any("m", ("Formal",))).collect()]
+    assert got == [1, 0, 0, 0]
+    got = [r[0] for r in df.select(contains_any("m", ("Coat", "Jacket", "Outer"))).collect()]
+    assert got == [0, 0, 0, 1]
