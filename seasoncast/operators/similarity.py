@@ -101,6 +101,27 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "
     return ranked.select("query_id", "neighbor_id", "rank", sim.alias("similarity"))
 
 
+class KnnIndex:
+    """Fit once, query many times (E9): the corpus is normalised to unit length,
+    tagged with its targets and materialised in the shared checkpoint folder."""
+
+    def __init__(self, k: int = 10, id_col: str = "id", vec_col: str = "vec", block_rows: int = 4096):
+        self.k, self.id_col, self.vec_col, self.block_rows = k, id_col, vec_col, block_rows
+        self.corpus: DataFrame | None = None
+
+    def fit(self, corpus: DataFrame) -> "KnnIndex":
+        from seasoncast.functions.vectors import normalize
+        from seasoncast.session import cut_lineage
+        cols = [F.col(self.id_col).cast("long").alias("id"), normalize(self.vec_col).alias("vec")]
+        self.corpus = cut_lineage(corpus.select(*cols))
+        return self
+
+    def kneighbors(self, queries: DataFrame, exclude_self: bool = False, sim_digits: int | None = 9) -> DataFrame:
+        q = queries.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.vec_col).alias("vec"))
+        return knn_join(q, self.corpus, k=self.k, exclude_self=exclude_self, block_rows=self.block_rows,
+                        sim_digits=sim_digits)
+
+
 def neighbor_weights(pairs: DataFrame, floor: float = 1e-6, digits: int | None = 9) -> DataFrame:
     """Similarities clipped at ``floor`` and normalised to sum 1 per query."""
     s = F.greatest(F.col("similarity"), F.lit(floor))

@@ -432,8 +432,11 @@ def q_gbt_categorical(spark, sf_dir):
     pt = products(spark, sf_dir).withColumn("is_val", ~F.col("is_train")).withColumn("label", F.col("target_demand"))
     cats = encode.categorical_columns(pt.drop("color_rgb"), extra=["id_season"])
     pt = encode.stringify_categoricals(pt, cats, token="NA")
+    # maxBins must cover the largest dictionary (+1 slot for unseen values)
+    largest = profile.distinct_counts(pt, cats).agg(F.max("n_unique")).first()[0]
     pipe = mllib.categorical_pipeline(cats, ["price", "num_stores", "num_sizes", "life_cycle_length"],
-                                      max_iter=30, max_depth=6, validation_col="is_val")
+                                      max_iter=30, max_depth=6, max_bins=max(32, largest + 1),
+                                      validation_col="is_val")
     return mllib.score(pipe.fit(pt), pt)
 
 

@@ -141,3 +141,30 @@ def test_artefact_columns(spark):  # P2, P7
     schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("price", T.DoubleType())])
     out = clean.reindex_columns(df, schema)
     assert out.columns == ["ID", "price"] and out.first()["price"] is None
+
+
+def test_knn_index_matches_join(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    corpus = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(30)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(100 + i, rng.normal(size=5).tolist()) for i in range(7)],
+                                    "id long, vec array<double>")
+    idx = similarity.KnnIndex(k=4, block_rows=8).fit(corpus)
+    a = sorted(tuple(r) for r in idx.kneighbors(queries).collect())
+    b = sorted(tuple(r) for r in similarity.knn_join(queries, corpus, k=4, exclude_self=False).collect())
+    assert a == b and len(a) == 28
+
+
+def test_schema_helpers(spark):  # P1, P3, P4, P5, P8, P10, P11
+    import pytest as _pt
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "ID long, family string, price double")
+    assert clean.drop_if_present(df, ["family", "nope"]).columns == ["ID", "price"]
+    assert clean.keep_existing(df, ["price", "nope", "ID"]).columns == ["price", "ID"]
+    assert clean.select_by_type(df).columns == ["ID", "price"]
+    with _pt.raises(ValueError):
+        clean.require_columns(df, ["ID", "moment"])
+    assert clean.column_difference(df, df.select("ID")) == ["family", "price"]
+    assert clean.rename(df, {"price": "p"}).columns == ["ID", "family", "p"]
+    assert clean.equals(df, "family", "b").count() == 1
+    assert clean.check_vector_width(spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>"),
+                                    "v", 2).count() == 1
