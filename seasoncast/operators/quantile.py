@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, targets: Sequence[tuple[str, float]], buckets: int = 1024,
-                    settle_rows: int = 2048) -> list[float | None]:
+def exact_quantiles(df: DataFrame, targets: Sequence[tuple[str, float]], buckets: int = 4096,
+                    settle_rows: int = 8192) -> list[float | None]:
     """Exact continuous quantiles for ``(column, q)`` pairs, batched per pass."""
     cols = sorted({c for c, _ in targets})
     # Only the value columns are kept across passes (spilling to disk if needed);
