@@ -91,8 +91,6 @@ SELECT ps.*,
     AS is_outerwear
 FROM ps"""
 
-ORACLE["season_features"] = with_panel(f", ps AS ({PRODUCT_SEASON_SQL})\n{SEASON_FEATURES_SQL}"
-                                       .replace("\n, ps", ", ps", 1))
 
 SEASON_HISTORY_SQL = """
 SELECT sf.*,
@@ -132,7 +130,6 @@ f AS (SELECT * FROM panel WHERE "ID" IS NOT NULL
       AND (weekly_sales IS NULL OR weekly_sales >= 0) AND (weekly_demand IS NULL OR weekly_demand >= 0)
       AND ("Production" IS NULL OR "Production" >= 0)),
 clean AS (SELECT * FROM f WHERE "Production" <= (SELECT quantile_cont("Production", 0.995) FROM f))"""
-ORACLE["clean_panel"] = with_panel(f", {CLEAN_SQL}\nSELECT * FROM clean".replace("\n, ", ", ", 1))
 ORACLE["clean_panel"] = f"WITH panel AS ({PANEL_SQL}), {CLEAN_SQL}\nSELECT * FROM clean"
 
 ORACLE["value_counts"] = with_panel('SELECT "ID", count(*) AS count FROM panel GROUP BY "ID"')

@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.functions.measures import planned_total_demand, production_gap
+from seasoncast.functions.measures import (embedding_width, life_cycle_projection, planned_total_demand,
+                                           production_gap, season_weeks, uplift)
 from seasoncast.operators import aggregate as agg
+from seasoncast.operators import blend, clean, encode, profile, sequence, similarity
+from seasoncast.operators.models import boosting, mllib, stacking
+from seasoncast.operators.models.features import PCAProjection, assemble
 from seasoncast.session import cut_lineage
+from seasoncast.sources import io
 from seasoncast.sources.panel import product_week_panel
+from seasoncast.sources.tables import table
 
 REGISTRY: dict = {}
 
@@ -82,7 +88,6 @@ def q_demand_gap(spark, sf_dir):
 
 
 # --- cleaning and profiling -------------------------------------------------
-from seasoncast.operators import clean, profile  # noqa: E402
 
 SPLIT_YEAR = 2000  # earlier seasons play "train", later seasons "test" in key comparisons
 
@@ -154,8 +159,6 @@ def q_keys_except(spark, sf_dir):
 
 
 # --- feature specs ----------------------------------------------------------
-from seasoncast.functions.measures import season_weeks  # noqa: E402
-from seasoncast.operators import encode  # noqa: E402
 
 CATS = ["aggregated_family", "family", "category", "color_name", "color_rgb"]
 DATES = ["phase_in", "phase_out"]
@@ -222,8 +225,6 @@ def q_recency_weight(spark, sf_dir):
 
 
 # --- similarity and blending --------------------------------------------------
-from seasoncast.operators import blend, similarity  # noqa: E402
-from seasoncast.sources.tables import table  # noqa: E402
 
 K = 10
 
@@ -299,7 +300,6 @@ def q_blend_best(spark, sf_dir):
 
 @query("uplift_clip")
 def q_uplift_clip(spark, sf_dir):
-    from seasoncast.functions.measures import uplift
     bf = blend_frame(spark, sf_dir)
     alpha = blend.best_alpha(blend.blend_grid(bf.where("is_train"), "family_mean", "knn_pred", "target")).first()
     out = blend.apply_blend(bf.where(~F.col("is_train")), "family_mean", "knn_pred", alpha["alpha"], "blend")
@@ -327,8 +327,6 @@ def q_ridge_stack(spark, sf_dir):
 
 
 # --- sequences and I/O --------------------------------------------------------
-from seasoncast.operators import sequence  # noqa: E402
-from seasoncast.sources import io  # noqa: E402
 
 
 @query("week_position")
@@ -377,8 +375,6 @@ def q_spec_roundtrip(spark, sf_dir):
 
 
 # --- models (rows-only checks: no SQL form exists for tree fitting) -----------
-from seasoncast.operators.models import boosting, mllib, stacking  # noqa: E402
-from seasoncast.operators.models.features import PCAProjection, assemble  # noqa: E402
 
 MODEL_CATS = ["aggregated_family", "family", "category", "color_name"]
 TABULAR = ["id_season", *MODEL_CATS, "phase_in", "phase_out", "life_cycle_length", "num_stores", "num_sizes",
@@ -484,7 +480,6 @@ def q_stacked(spark, sf_dir):
 
 
 # --- remaining scalar operators -------------------------------------------------
-from seasoncast.functions.measures import embedding_width, life_cycle_projection  # noqa: E402
 
 
 @query("life_cycle_projection")
