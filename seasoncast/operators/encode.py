@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from seasoncast.functions.measures import months_between_days, recency_weight, unzscore, zscore
 from seasoncast.functions.parse import fill_category, parse_date
+from seasoncast.operators.joins import salted_left_join
 from seasoncast.session import cut_lineage
 
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "UNKNOWN"  # fixed value: label given to unseen categories
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast hint only when the (small, already aggregated) frame is proven small."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = df.count() <= max_rows
+    return (F.broadcast(df) if small else df), small
 
 
 # --- E7: hold-out split -----------------------------------------------------
@@ -75,23 +76,29 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str], missing_token: str
 
 def apply_label_dictionary(df: DataFrame, spec: DataFrame, cols: Sequence[str],
                            policy: str = "append", missing_token: str = "nan",
-                           suffix: str = "") -> DataFrame:
+                           suffix: str = "", broadcast_rows: int = BROADCAST_ROWS, salt: int = 32) -> DataFrame:
     """Replace categories by codes.
 
     Unseen values map to ``UNKNOWN``: its code if it is a class, otherwise
     ``N`` (appended last).  ``policy="clamp"`` then limits codes to ``N - 1``.
-    The per-column sizes are one row per column and become literals.
+    The per-column sizes are one row per column and become literals.  A
+    dictionary over ``broadcast_rows`` rows is joined with a salted shuffle
+    join, so a category value holding a large share of the rows is spread
+    over ``salt`` tasks.
     """
     spec = spec.where(F.col("column").isin(list(cols)))
     sizes = {r["column"]: (r["n"], r["unk"]) for r in spec.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("value") == UNKNOWN, F.col("code"))).alias("unk")).collect()}
-    spec = bounded_broadcast(spec)
+    spec, small = bounded_broadcast(spec, broadcast_rows)
     out = df
     for c in cols:
         n, unk = sizes.get(c, (0, None))
         d = spec.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        out = out.join(d, fill_category(c, missing_token) == F.col(f"_v_{c}"), "left")
+        if small:
+            out = out.join(d, fill_category(c, missing_token) == F.col(f"_v_{c}"), "left")
+        else:
+            out = salted_left_join(out, d, fill_category(c, missing_token), f"_v_{c}", salt)
         code = F.coalesce(F.col(f"_c_{c}"), F.lit(unk if unk is not None else n))
         if policy == "clamp":
             code = F.least(code, F.lit(n - 1))

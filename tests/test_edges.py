@@ -168,3 +168,12 @@ def test_schema_helpers(spark):  # P1, P3, P4, P5, P8, P10, P11
     assert clean.equals(df, "family", "b").count() == 1
     assert clean.check_vector_width(spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>"),
                                     "v", 2).count() == 1
+
+
+def test_salted_dictionary_join_matches_broadcast(spark):
+    rows = [(i, "hot" if i % 3 else f"v{i % 17}") for i in range(600)]   # one value holds 2/3 of rows
+    df = spark.createDataFrame(rows, "k long, c string")
+    spec = encode.fit_label_dictionary(df, ["c"])
+    a = sorted(tuple(r) for r in encode.apply_label_dictionary(df, spec, ["c"]).collect())
+    b = sorted(tuple(r) for r in encode.apply_label_dictionary(df, spec, ["c"], broadcast_rows=0, salt=8).collect())
+    assert a == b and len(b) == 600
