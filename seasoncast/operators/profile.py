@@ -130,29 +130,35 @@ def correlations(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFra
                     F.split_part("pair", F.lit("|"), F.lit(2)).alias("right"), "corr"))
 
 
-def key_overlap(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
-    """Key counts: left, right, both, left only, right only.
+def key_sides(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
+    """One row per distinct key with flags for the sides it occurs on.
+
+    A union of the two key columns and one aggregate: duplicates (and a hot key)
+    combine map-side, and there is a single shuffle on the key — no distinct +
+    join or semi/anti-join pairs."""
+    u = (left.select(key, F.lit(True).alias("_l"), F.lit(False).alias("_r"))
+         .unionByName(right.select(key, F.lit(False).alias("_l"), F.lit(True).alias("_r"))))
+    return u.where(F.col(key).isNotNull()).groupBy(key).agg(F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
 
-    One full outer join of the two distinct key sets, then one aggregate."""
-    lk = left.select(key).distinct().withColumn("_l", F.lit(True))
-    rk = right.select(key).distinct().withColumn("_r", F.lit(True))
-    j = lk.join(rk, key, "full_outer")
-    l_, r_ = F.col("_l").isNotNull(), F.col("_r").isNotNull()
-    return j.agg(F.count_if(l_).alias("n_left"), F.count_if(r_).alias("n_right"),
-                  F.count_if(l_ & r_).alias("n_both"), F.count_if(l_ & ~r_).alias("n_left_only"),
-                  F.count_if(~l_ & r_).alias("n_right_only"))
+
+def key_overlap(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
+    """Key counts: left, right, both, left only, right only."""
+    l_, r_ = F.col("_l"), F.col("_r")
+    return key_sides(left, right, key).agg(
+        F.count_if(l_).alias("n_left"), F.count_if(r_).alias("n_right"),
+        F.count_if(l_ & r_).alias("n_both"), F.count_if(l_ & ~r_).alias("n_left_only"),
+        F.count_if(~l_ & r_).alias("n_right_only"))
 
 
 def keys_intersect(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
     """Keys present on both sides."""
-    return left.select(key).intersect(right.select(key))
+    return key_sides(left, right, key).where(F.col("_l") & F.col("_r")).select(key)
 
 
 def keys_except(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
     """Keys on one side only, both directions, labelled by side."""
-    a = left.select(key).subtract(right.select(key)).withColumn("side", F.lit("left_only"))
-    b = right.select(key).subtract(left.select(key)).withColumn("side", F.lit("right_only"))
-    return a.unionByName(b)
+    sides = key_sides(left, right, key).where(F.col("_l") != F.col("_r"))
+    return sides.select(key, F.when(F.col("_l"), F.lit("left_only")).otherwise(F.lit("right_only")).alias("side"))
 
 
 def column_union(*dfs: DataFrame) -> list[str]:
