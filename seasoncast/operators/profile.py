@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seasoncast.operators.aggregate import order_key
-from seasoncast.operators.quantile import exact_quantiles
+from seasoncast.operators.quantile import exact_quantiles, value_columns
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -90,25 +90,33 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None,
     """Describe-style profile of numeric columns, one row per column.
 
     count, missing, mean, population std, min, exact quantiles, max, zeros, negatives.
-    Mean and std are rounded to ``digits`` decimals (their last bits depend on
-    the summation order).  Quantiles come from the distributed exact selection.
+    The numeric columns are cached once (as doubles); the moments and the
+    quantile passes all read that cache, so the input plan runs once.  Mean and
+    std are rounded to ``digits`` decimals (their last bits depend on the
+    summation order).  The result is one row per column.
     """
     cols = [f.name for f in df.schema.fields
             if isinstance(f.dataType, NUMERIC) and (cols is None or f.name in cols)]
-    qv = exact_quantiles(df, [(c, q) for c in cols for q in quantiles])
+    base = value_columns(df, cols)
+    try:
+        qv = exact_quantiles(base, [(c, q) for c in cols for q in quantiles], persisted=True)
+        stats = base.agg(*[F.struct(
+            F.count(c).alias("count"),
+            F.count_if(F.col(c).isNull()).alias("missing"),
+            F.round(F.avg(c), digits).alias("mean"),
+            F.round(F.stddev_pop(c), digits).alias("std"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+            F.count_if(F.col(c) == 0).alias("zeros"),
+            F.count_if(F.col(c) < 0).alias("negatives"),
+        ).alias(c) for c in cols]).first()
+    finally:
+        base.unpersist()
     qnames = [f"q{int(round(q * 100)):02d}" for q in quantiles]
-    stats = df.agg(*[F.struct(
-        F.count(c).alias("count"),
-        F.count_if(F.col(c).isNull()).alias("missing"),
-        F.round(F.avg(F.col(c).cast("double")), digits).alias("mean"),
-        F.round(F.stddev_pop(F.col(c).cast("double")), digits).alias("std"),
-        F.min(F.col(c).cast("double")).alias("min"),
-        F.max(F.col(c).cast("double")).alias("max"),
-        F.count_if(F.col(c) == 0).alias("zeros"),
-        F.count_if(F.col(c) < 0).alias("negatives"),
-        *[F.lit(qv[i * len(quantiles) + j]).cast("double").alias(qn) for j, qn in enumerate(qnames)],
-    ).alias(c) for i, c in enumerate(cols)])
-    return stats.unpivot([], cols, "column", "s").select("column", "s.*")
+    rows = [(c, *stats[c], *qv[i * len(quantiles):(i + 1) * len(quantiles)]) for i, c in enumerate(cols)]
+    schema = ("column string, count bigint, missing bigint, mean double, std double, min double, max double, "
+              "zeros bigint, negatives bigint, " + ", ".join(f"{q} double" for q in qnames))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:

@@ -25,18 +25,27 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, targets: Sequence[tuple[str, float]], buckets: int = 4096,
-                    settle_rows: int = 8192) -> list[float | None]:
-    """Exact continuous quantiles for ``(column, q)`` pairs, batched per pass."""
+                    settle_rows: int = 8192, persisted: bool = False) -> list[float | None]:
+    """Exact continuous quantiles for ``(column, q)`` pairs, batched per pass.
+
+    ``persisted=True`` means ``df`` already holds just the (double) value
+    columns in a cache, as ``value_columns`` returns."""
     cols = sorted({c for c, _ in targets})
-    # Only the value columns are kept across passes (spilling to disk if needed);
-    # the upstream plan runs once instead of once per pass.
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    if persisted:
+        return _quantiles(df, cols, targets, buckets, settle_rows)
+    base = value_columns(df, cols)
     try:
         return _quantiles(base, cols, targets, buckets, settle_rows)
     finally:
         base.unpersist()
 
 
+def value_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Only the value columns, as doubles, kept across passes (spilling to disk if
+    needed), so the upstream plan runs once instead of once per pass."""
+    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _quantiles(base, cols, targets, buckets, settle_rows):
     stats = base.agg(*[e for c in cols for e in (F.count(c), F.min(c), F.max(c))]).first()
     info = {c: (stats[3 * i], stats[3 * i + 1], stats[3 * i + 2]) for i, c in enumerate(cols)}
@@ -89,11 +98,11 @@ def _settle(base: DataFrame, ranges) -> None:
     """Collect the few rows left in each range and pick the ranks directly."""
     entries = [F.when(_in_range(c, lo, hi), F.struct(F.lit(i).alias("r"), F.col(c).alias("x")))
                for i, ((c, lo, hi, _), _) in enumerate(ranges)]
-    rows = (base.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-            .select("e.r", "e.x").collect())
+    tab = (base.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+           .select("e.r", "e.x").toArrow())          # bounded: <= settle_rows per range, Arrow transfer
     values: dict[int, list[float]] = {}
-    for r in rows:
-        values.setdefault(r["r"], []).append(r["x"])
+    for r, x in zip(tab.column("r").to_pylist(), tab.column("x").to_pylist()):
+        values.setdefault(r, []).append(x)
     for i, (_, states) in enumerate(ranges):
         xs = sorted(values.get(i, []))
         for s in states:
@@ -110,10 +119,10 @@ def _narrow(base: DataFrame, ranges, buckets: int) -> None:
     hist = (base.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
             .groupBy("e.r", "e.b")
             .agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx"))
-            .collect())
+            .toArrow())                                # bounded: <= buckets cells per range, Arrow transfer
     cells: dict[int, list] = {}
-    for r in hist:
-        cells.setdefault(r["r"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
+    for r, b, n, mn, mx in zip(*(hist.column(c).to_pylist() for c in ("r", "b", "n", "mn", "mx"))):
+        cells.setdefault(r, []).append((b, n, mn, mx))
     for i, (_, states) in enumerate(ranges):
         cs = sorted(cells.get(i, []))
         for s in states:
