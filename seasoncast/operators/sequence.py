@@ -27,21 +27,27 @@ def _field(name: str):
 
 
 def week_sequences(panel: DataFrame, features: Sequence[str], key: str = "ID", order: Sequence[str] = ORDER,
-                   target: str | None = "Production", pad_to: int | None = None, pad_value: float = 0.0) -> DataFrame:
-    """One row per product: ordered feature arrays, length, right-padded copies.
+                   target: str | None = "Production", pad_to: int | None = None, pad_value: float = 0.0,
+                   static: Sequence[str] = ()) -> DataFrame:
+    """One row per product: static attributes (first non-null), ordered weekly
+    feature arrays, length, right-padded copies (E8, O1, P15).
 
     ``pad_to=None`` pads to the longest sequence in the data (one scalar
     subquery); sequences are never truncated.
     """
     rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in features])))
     aggs = [rows.alias("_rows")]
+    for c in static:
+        first = F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order]))
+        aggs.append(F.min_by(F.col(c), first).alias(c))
     if target:
         ordering = F.when(F.col(target).isNotNull(), F.struct(*[F.col(c) for c in order]))
         aggs.append(F.min_by(F.col(target), ordering).alias("target"))
     g = panel.groupBy(key).agg(*aggs)
     wk = F.transform("_rows", lambda r: r[order[0]] * 100 + r[order[1]]) if len(order) == 2 else \
         F.transform("_rows", lambda r: r[order[0]])
-    cols = [F.col(key), F.size("_rows").cast("int").alias("seq_len"), wk.alias("week_keys")]
+    cols = [F.col(key), *[F.col(c) for c in static], F.size("_rows").cast("int").alias("seq_len"),
+            wk.alias("week_keys")]
     cols += [F.transform("_rows", _field(c)).alias(f"{c}_seq") for c in features]
     if target:
         cols.append("target")

@@ -307,12 +307,13 @@ UNION ALL SELECT 'family_mean', round(b2, 6) FROM beta"""
 
 
 # --- sequences and I/O --------------------------------------------------------
+SEQ_STATIC = ["id_season", "num_sizes", "has_plus_sizes", "price", "life_cycle_length", "vec_id"]
 ORACLE["week_position"] = with_panel(
     'SELECT "ID", year, num_week_iso, CAST(row_number() OVER (PARTITION BY "ID" ORDER BY year, num_week_iso) '
     'AS INTEGER) AS week_pos FROM panel')
 
 ORACLE["week_sequence"] = with_panel(f""", s AS (
-  SELECT "ID", CAST(count(*) AS INTEGER) AS seq_len,
+  SELECT "ID", {", ".join(first_sql(c) for c in SEQ_STATIC)}, CAST(count(*) AS INTEGER) AS seq_len,
          list({ORDER_KEY} ORDER BY year, num_week_iso) AS week_keys,
          list(CAST(weekly_sales AS DOUBLE) ORDER BY year, num_week_iso) AS weekly_sales_seq,
          list(CAST(weekly_demand AS DOUBLE) ORDER BY year, num_week_iso) AS weekly_demand_seq,

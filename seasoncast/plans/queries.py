@@ -334,9 +334,12 @@ def q_week_position(spark, sf_dir):
     return sequence.week_position(panel(spark, sf_dir)).select("ID", "year", "num_week_iso", "week_pos")
 
 
+SEQ_STATIC = ["id_season", "num_sizes", "has_plus_sizes", "price", "life_cycle_length", "vec_id"]
+
+
 @query("week_sequence")
 def q_week_sequence(spark, sf_dir):
-    return sequence.week_sequences(panel(spark, sf_dir), ["weekly_sales", "weekly_demand"])
+    return sequence.week_sequences(panel(spark, sf_dir), ["weekly_sales", "weekly_demand"], static=SEQ_STATIC)
 
 
 PRODUCT_SCHEMA = ("ID bigint, id_season int, Production double, price double, num_stores int, num_sizes int, "
