@@ -54,24 +54,19 @@ def _block_topk(k: int, exclude_self: bool):
         if exclude_self:
             sim[qid[:, None] == cid[None, :]] = -np.inf
         kk = min(k, sim.shape[1])
-        out_q, out_c, out_s = [], [], []
-        for i in range(sim.shape[0]):
-            row = sim[i]
-            if kk < row.size:
-                kth = np.partition(row, row.size - kk)[row.size - kk]
-                cand = np.nonzero(row >= kth)[0]          # keeps every tie at the boundary
-            else:
-                cand = np.arange(row.size)
-            cand = cand[np.isfinite(row[cand])]
-            order = np.lexsort((cid[cand], -row[cand]))[:kk]  # similarity desc, id asc
-            sel = cand[order]
-            out_q.append(np.full(sel.size, qid[i]))
-            out_c.append(cid[sel])
-            out_s.append(row[sel])
-        if not out_q:
-            return pd.DataFrame(columns=["query_id", "neighbor_id", "similarity"])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_c),
-                             "similarity": np.concatenate(out_s)})
+        # k-th largest similarity per row; every candidate tying with it is kept,
+        # then one lexsort (row, similarity desc, id asc) and a rank cut give the
+        # exact per-row top-k without a Python loop over rows.
+        kth = np.partition(sim, sim.shape[1] - kk, axis=1)[:, sim.shape[1] - kk]
+        rows, cols = np.nonzero((sim >= kth[:, None]) & np.isfinite(sim))
+        vals = sim[rows, cols]
+        order = np.lexsort((cid[cols], -vals, rows))
+        rows, cols, vals = rows[order], cols[order], vals[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+        rank = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
+        keep = rank < kk
+        return pd.DataFrame({"query_id": qid[rows[keep]], "neighbor_id": cid[cols[keep]],
+                             "similarity": vals[keep]})
     return run
 
 
