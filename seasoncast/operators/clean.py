@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seasoncast.operators.quantile import exact_quantile
+from seasoncast.session import cut_lineage
 
 
 def drop_if_present(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -102,9 +103,15 @@ MEASURES = ("weekly_sales", "weekly_demand", "Production")
 
 
 def clean_panel(panel: DataFrame, key: str = "ID", measures: Sequence[str] = MEASURES,
-                trim_col: str = "Production", q: float = 0.995) -> DataFrame:
-    """Cleaning of the reference notebook: null keys, negatives, top outliers."""
+                trim_col: str = "Production", q: float = 0.995, materialize: bool = True) -> DataFrame:
+    """Cleaning of the reference notebook: null keys, negatives, top outliers.
+
+    The trim needs the filtered rows twice (quantile, then the filter itself);
+    ``materialize`` writes them once to the shared checkpoint folder instead of
+    running the upstream plan twice."""
     df = non_negative(drop_null_keys(panel, key), measures)
     if trim_col in df.columns:
+        if materialize:
+            df = cut_lineage(df)
         df = trim_upper(df, trim_col, q)
     return df
