@@ -6,17 +6,15 @@ folder named by ``spark.checkpoint.dir`` — never a machine-local folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seasoncast.session import checkpoint_dir
+from seasoncast.session import scratch_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/seasoncast/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, f"seasoncast-{name}")
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
