@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import chat_snapshots, url_reputation
+from seasoncast.llm import chat_snapshots, line_quality, url_reputation
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -28,3 +28,8 @@ def op1(spark, sf_dir):
 @query("op9_chat_snapshots")
 def op9(spark, sf_dir):
     return chat_snapshots.collapse_snapshots(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_line_quality")
+def op6(spark, sf_dir):
+    return line_quality.quality_report(table(spark, sf_dir, "documents"))
