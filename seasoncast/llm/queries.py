@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import chat_snapshots, line_quality, url_reputation
+from seasoncast.llm import chat_snapshots, edit_decontam, line_quality, url_reputation
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -33,3 +33,8 @@ def op9(spark, sf_dir):
 @query("op6_line_quality")
 def op6(spark, sf_dir):
     return line_quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_edit_decontam")
+def op10(spark, sf_dir):
+    return edit_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

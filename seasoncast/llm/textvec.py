@@ -17,6 +17,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+# Folding: ASCII letters to lower case, every other ASCII character but digits to a space.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 _powers = {}
 
 
@@ -113,8 +117,11 @@ class Piece:
         return sums[end] - sums[start]
 
 
-def pieces(column: pa.Array, size: int = PIECE):
-    """Cut a string column into :class:`Piece` objects; a null text counts as empty."""
+def pieces(column: pa.Array, size: int = PIECE, fold: bool = False):
+    """Cut a string column into :class:`Piece` objects; a null text counts as empty.
+
+    ``fold``: lower-case ASCII letters and make punctuation white space (no byte moves).
+    """
     texts = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -125,7 +132,8 @@ def pieces(column: pa.Array, size: int = PIECE):
     while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(texts))
-        yield Piece(first, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+        part = data[offsets[first]:offsets[last]]
+        yield Piece(first, _FOLD[part] if fold else part, offsets[first:last + 1] - offsets[first])
         first = last
 
 
