@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import chat_snapshots, edit_decontam, line_quality, url_reputation
+from seasoncast.llm import chat_snapshots, edit_decontam, line_quality, pii_disclosure, url_reputation
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -38,3 +38,8 @@ def op6(spark, sf_dir):
 @query("op10_edit_decontam")
 def op10(spark, sf_dir):
     return edit_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_pii_disclosure")
+def op7(spark, sf_dir):
+    return pii_disclosure.pii_report(table(spark, sf_dir, "documents"))
