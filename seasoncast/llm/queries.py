@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import chat_snapshots, edit_decontam, line_quality, pii_disclosure, url_reputation
+from seasoncast.llm import chat_snapshots, edit_decontam, line_quality, piece_nbest, pii_disclosure, url_reputation
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -43,3 +43,8 @@ def op10(spark, sf_dir):
 @query("op7_pii_disclosure")
 def op7(spark, sf_dir):
     return pii_disclosure.pii_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_piece_nbest")
+def op3(spark, sf_dir):
+    return piece_nbest.segmentation_report(table(spark, sf_dir, "documents"))
