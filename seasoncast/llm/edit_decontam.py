@@ -274,7 +274,7 @@ def _found(column, index: ItemIndex, most: int = 200_000) -> list:
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: EditRules = EditRules()) -> DataFrame:
     """``doc_id, item_id, distance, item_words`` for each item found in a document, best window.
 
-    Words are compared folded (ASCII case and punctuation do not count).  A
+    Words are compared folded (Latin-1 case and ASCII punctuation do not count).  A
     match is a window as long as the item - shorter only at a text's end -
     within ``max_edits`` word edits.  Null and empty texts or items match
     nothing, items of under ``min_words`` words are left out; repeated rows of

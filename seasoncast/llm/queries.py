@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import chat_snapshots, edit_decontam, line_quality, piece_nbest, pii_disclosure, url_reputation
+from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, pii_disclosure, piece_nbest,
+                            toxicity_ordinal, url_reputation)
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -48,3 +49,9 @@ def op7(spark, sf_dir):
 @query("op3_piece_nbest")
 def op3(spark, sf_dir):
     return piece_nbest.segmentation_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity_ordinal")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_ordinal.severity(docs, toxicity_ordinal.train(docs, table(spark, sf_dir, "labels")))

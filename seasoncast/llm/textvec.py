@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-# Folding: ASCII letters to lower case, every other ASCII character but digits to a space.
+# Folding: ASCII and Latin-1 letters to lower case, every other ASCII character but digits to a space.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
@@ -117,10 +117,17 @@ class Piece:
         return sums[end] - sums[start]
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    out = _FOLD[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) + 1  # U+00C0 to U+00DE but the multiplication sign
+    out[lead] += np.where((data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97), 0x20, 0).astype(np.uint8)
+    return out
+
+
 def pieces(column: pa.Array, size: int = PIECE, fold: bool = False):
     """Cut a string column into :class:`Piece` objects; a null text counts as empty.
 
-    ``fold``: lower-case ASCII letters and make punctuation white space (no byte moves).
+    ``fold``: lower-case ASCII and Latin-1 letters, make ASCII punctuation white space (no byte moves).
     """
     texts = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
@@ -133,7 +140,7 @@ def pieces(column: pa.Array, size: int = PIECE, fold: bool = False):
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(texts))
         part = data[offsets[first]:offsets[last]]
-        yield Piece(first, _FOLD[part] if fold else part, offsets[first:last + 1] - offsets[first])
+        yield Piece(first, _folded(part) if fold else part, offsets[first:last + 1] - offsets[first])
         first = last
 
 

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def fold(text):
-    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub(r"[A-Z]", lambda m: m.group().lower(), text or ""))
+    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub(r"[A-Z\xc0-\xd6\xd8-\xde]", lambda m: m.group().lower(), text or ""))
 
 
 def plain_distance(a, b):
