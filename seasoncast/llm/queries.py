@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, pii_disclosure, piece_nbest,
+from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, lm_hmm, pii_disclosure, piece_nbest,
                             toxicity_ordinal, url_reputation)
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
@@ -55,3 +55,8 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity_ordinal.severity(docs, toxicity_ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_lm_hmm")
+def op8(spark, sf_dir):
+    return lm_hmm.score_documents(table(spark, sf_dir, "documents"))

@@ -21,6 +21,8 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _powers = {}
 
 
@@ -124,10 +126,11 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(column: pa.Array, size: int = PIECE, fold: bool = False):
+def pieces(column: pa.Array, size: int = PIECE, fold: bool | str = False):
     """Cut a string column into :class:`Piece` objects; a null text counts as empty.
 
-    ``fold``: lower-case ASCII and Latin-1 letters, make ASCII punctuation white space (no byte moves).
+    ``fold``: lower-case ASCII and Latin-1 letters, make ASCII punctuation white space (no byte moves);
+    ``fold="lower"``: only lower-case ASCII letters.
     """
     texts = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
@@ -140,7 +143,7 @@ def pieces(column: pa.Array, size: int = PIECE, fold: bool = False):
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(texts))
         part = data[offsets[first]:offsets[last]]
-        yield Piece(first, _folded(part) if fold else part, offsets[first:last + 1] - offsets[first])
+        yield Piece(first, _LOWER[part] if fold == "lower" else _folded(part) if fold else part, offsets[first:last + 1] - offsets[first])
         first = last
 
 
