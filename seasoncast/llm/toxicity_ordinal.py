@@ -31,7 +31,7 @@ class OrdinalRules:
     min_ratio: float = 12.0    # and tells the grades apart by this likelihood ratio
     rounds: int = 300
     rate: float = 0.1
-    toxic_at: float = 0.3      # probability of a grade over 0
+    toxic_at: float = 0.35     # probability of a grade over 0
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -47,6 +47,9 @@ def grades(labels: DataFrame) -> DataFrame:
 PREFIXES = (5, 6, 7, 8)  # bytes; the beginnings of longer words tell inflected and compounded forms
 
 
+TWICE = 0x5851F42D4C957F2D  # marks the feature "more than once"
+
+
 def _features(piece: Piece):
     """Yield ``(document, feature hash)`` arrays: the folded words, then their beginnings of each length."""
     start, end, doc = piece.words()
@@ -65,7 +68,10 @@ def sample_features(docs: DataFrame, graded: DataFrame, rules: OrdinalRules) ->
         for batch in batches:
             for piece in pieces(batch.column(1), fold=True):
                 doc, word = (np.concatenate(x) for x in zip(*_features(piece)))
-                pairs = np.unique(np.stack([doc.astype(np.uint64), word], axis=1), axis=0)
+                pairs, n = np.unique(np.stack([doc.astype(np.uint64), word], axis=1), axis=0, return_counts=True)
+                again = pairs[n > 1] ^ np.array([0, TWICE], np.uint64)
+                pairs = np.concatenate([pairs, again])
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 doc, word = pairs[:, 0].astype(np.int64), np.ascontiguousarray(pairs[:, 1])
                 offsets = np.searchsorted(doc, np.arange(piece.n + 1)).astype(np.int32)
                 words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word.view(np.int64)))
@@ -79,6 +85,9 @@ class OrdinalModel:
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
         self.words, self.weights, self.thresholds = words, weights, thresholds
+        again = words ^ np.uint64(TWICE)
+        at = np.minimum(np.searchsorted(words, again), max(len(words) - 1, 0))
+        self.more = np.where(words[at] == again, weights[at], 0.0) if len(words) else weights
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > j) for every threshold j, by row."""
@@ -92,8 +101,9 @@ class OrdinalModel:
             at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
             hit = self.words[at] == word
             held.append(doc[hit] * len(self.words) + at[hit])
-        held = np.unique(np.concatenate(held))  # a feature counts once a text
-        return np.bincount(held // len(self.words), self.weights[held % len(self.words)], minlength=piece.n)
+        held, n = np.unique(np.concatenate(held), return_counts=True)
+        at = held % len(self.words)
+        return np.bincount(held // len(self.words), self.weights[at] + np.where(n > 1, self.more[at], 0.0), minlength=piece.n)
 
 
 def _telling(flat: np.ndarray, grade: np.ndarray, counts: np.ndarray, rules: OrdinalRules) -> np.ndarray:
