@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seasoncast.llm.textvec import Piece, mix, pieces
 
-GRADES = 3  # 0 harmless, 1 toxic, 2 toxic and of low quality
+GRADES = 3  # 0 harmless, 1 toxic, 2 severely toxic: more telling words than the median toxic document
 
 
 @dataclass(frozen=True)
@@ -27,21 +27,20 @@ class OrdinalRules:
 
     sample: int = 8_000
     min_documents: int = 4     # a word counts as a feature if so many sampled documents hold it
-    ridge: float = 5e-4        # per document, on the weights
-    min_ratio: float = 12.0    # and tells the grades apart by this likelihood ratio
+    ridge: float = 1e-4        # per document, on the weights
+    min_ratio: float = 20.0    # and tells the grades apart by this likelihood ratio
     rounds: int = 300
     rate: float = 0.1
-    toxic_at: float = 0.35     # probability of a grade over 0
+    toxic_at: float = 0.45     # probability of a grade over 0
 
 
-def grades(labels: DataFrame) -> DataFrame:
-    """``(doc_id, grade)``, one row per labelled document; the worst of repeated labels counts.
+def toxic_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, toxic)`` 0/1, one row per labelled document; the worst of repeated labels counts.
 
-    Rows without doc_id or toxic label are left out; a null quality counts as good.
+    Rows without doc_id or toxic label are left out.
     """
-    grade = F.when(F.col("toxic") != 1, 0).when(F.col("quality") == 0, 2).otherwise(1)
     return (labels.where("doc_id is not null and toxic is not null")
-            .groupBy("doc_id").agg(F.max(grade).alias("grade")))
+            .groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
 
 
 PREFIXES = (5, 6, 7, 8)  # bytes; the beginnings of longer words tell inflected and compounded forms
@@ -59,9 +58,9 @@ def _features(piece: Piece):
         yield doc[long], mix(piece.hasher(start[long], start[long] + size) + np.uint64(size))
 
 
-def sample_features(docs: DataFrame, graded: DataFrame, rules: OrdinalRules) -> DataFrame:
-    """``(doc_id, grade, words)`` of the sampled documents, at most ``rules.sample`` (the lowest hashes of the id)."""
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
+def sample_features(docs: DataFrame, labelled: DataFrame, rules: OrdinalRules) -> DataFrame:
+    """``(doc_id, toxic, words)`` of the sampled documents, at most ``rules.sample`` (the lowest hashes of the id)."""
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by rules.sample
 
     def run(batches):
@@ -75,9 +74,9 @@ def sample_features(docs: DataFrame, graded: DataFrame, rules: OrdinalRules) ->
                 doc, word = pairs[:, 0].astype(np.int64), np.ascontiguousarray(pairs[:, 1])
                 offsets = np.searchsorted(doc, np.arange(piece.n + 1)).astype(np.int32)
                 words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), words], ["doc_id", "grade", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), words], ["doc_id", "toxic", "words"])
 
-    return rows.mapInArrow(run, "doc_id long, grade int, words array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, toxic int, words array<bigint>")
 
 
 class OrdinalModel:
@@ -106,34 +105,42 @@ class OrdinalModel:
         return np.bincount(held // len(self.words), self.weights[at] + np.where(n > 1, self.more[at], 0.0), minlength=piece.n)
 
 
-def _telling(flat: np.ndarray, grade: np.ndarray, counts: np.ndarray, rules: OrdinalRules) -> np.ndarray:
-    """Features whose documents differ in grade from all others by the likelihood-ratio statistic."""
+def _telling(flat: np.ndarray, toxic: np.ndarray, counts: np.ndarray, rules: OrdinalRules) -> np.ndarray:
+    """Features that toxic documents hold more often than others, by the likelihood-ratio statistic."""
     words, at = np.unique(flat, return_inverse=True)
-    held = np.stack([np.bincount(at[grade == g], minlength=len(words)) for g in range(GRADES)], axis=1) if len(words) else np.zeros((0, GRADES))
+    held = np.stack([np.bincount(at[toxic == t], minlength=len(words)) for t in (0, 1)], axis=1) if len(words) else np.zeros((0, 2))
     df = held.sum(axis=1, keepdims=True)
     expected = df * (counts / counts.sum())
     rest, rest_expected = np.maximum(counts - held, 1e-9), np.maximum(counts - expected, 1e-9)
     ratio = 2 * (held * np.log(np.maximum(held, 1e-9) / np.maximum(expected, 1e-9)) + rest * np.log(rest / rest_expected)).sum(axis=1)
-    return words[(df[:, 0] >= rules.min_documents) & (ratio >= rules.min_ratio)]
+    return words[(df[:, 0] >= rules.min_documents) & (ratio >= rules.min_ratio) & (held[:, 1] > expected[:, 1])]
 
 
 def fit_ordinal(rows: list, rules: OrdinalRules = OrdinalRules()) -> OrdinalModel:
-    """Fit on ``(grade, word hashes)`` rows by full-batch Adam on the ridge-penalised likelihood.
+    """Fit on ``(toxic, feature hashes)`` rows by full-batch Adam on the ridge-penalised likelihood.
 
-    Thresholds start at the smoothed grade frequencies and stay ordered, as the
-    gaps between them are kept positive.  Without rows the prior says grade 0.
+    Grades come from the label and the number of telling features.  Thresholds
+    start at the smoothed grade frequencies and stay ordered, as the gaps
+    between them are kept positive.  Weights stay at or above 0, so that
+    harmless words never outweigh offending ones in a long text.  Without rows
+    the prior says grade 0.
     """
-    counts = np.bincount([g for g, _ in rows], minlength=GRADES) + np.array([4.0] + [0.5] * (GRADES - 1))
+    toxic = np.array([t for t, _ in rows], np.int64)
+    sizes = [len(w) for _, w in rows]
+    flat = np.concatenate([np.asarray(w, np.int64) for _, w in rows]).view(np.uint64) if rows else np.zeros(0, np.uint64)
+    words = _telling(flat, np.repeat(toxic, sizes), np.bincount(toxic, minlength=2) + np.array([1.0, 0.1]), rules)
+    told = np.bincount(np.repeat(np.arange(len(rows)), sizes)[np.isin(flat, words)], minlength=len(rows))
+    severe = told > np.median(told[toxic == 1]) if toxic.any() else False
+    grade = toxic * (1 + severe)
+    counts = np.bincount(grade, minlength=GRADES) + np.array([4.0] + [0.5] * (GRADES - 1))
     below = np.cumsum(counts)[:-1] / counts.sum()
     thresholds = np.log(below / (1 - below))
-    flat = np.concatenate([np.asarray(w, np.int64) for _, w in rows]).view(np.uint64) if rows else np.zeros(0, np.uint64)
-    words = _telling(flat, np.repeat([g for g, _ in rows], [len(w) for _, w in rows]), counts, rules)
     if not len(words):
         return OrdinalModel(words, np.zeros(0), thresholds)
     row = np.repeat(np.arange(len(rows)), [len(w) for _, w in rows])
     at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
     held = words[at] == flat
-    row, at, grade = row[held], at[held], np.array([g for g, _ in rows])
+    row, at = row[held], at[held]
     gaps = np.concatenate([thresholds[:1], np.log(np.diff(thresholds))])
     state = [np.zeros(len(words) + len(gaps)) for _ in range(3)]  # parameters and Adam's two moments
     state[0][len(words):] = gaps
@@ -157,16 +164,17 @@ def fit_ordinal(rows: list, rules: OrdinalRules = OrdinalRules()) -> OrdinalMode
         state[1] = 0.9 * state[1] + 0.1 * grad
         state[2] = 0.99 * state[2] + 0.01 * grad * grad
         state[0] = state[0] - rules.rate * (state[1] / (1 - 0.9 ** step)) / (np.sqrt(state[2] / (1 - 0.99 ** step)) + 1e-8)
+        np.maximum(state[0][:len(words)], 0, out=state[0][:len(words)])
     w, g = state[0][:len(words)], state[0][len(words):]
     return OrdinalModel(words, w, np.cumsum(np.concatenate([g[:1], np.exp(g[1:])])))
 
 
 def train(docs: DataFrame, labels: DataFrame, rules: OrdinalRules = OrdinalRules()) -> OrdinalModel:
     """Fit on the bounded sample; its features are the only rows that reach the driver."""
-    got = sample_features(docs, grades(labels), rules).toArrow().combine_chunks().sort_by("doc_id")
+    got = sample_features(docs, toxic_labels(labels), rules).toArrow().combine_chunks().sort_by("doc_id")
     words = got["words"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     flat, cuts = words.flatten().to_numpy(), np.cumsum([0, *pa.compute.list_value_length(words).to_pylist()])
-    return fit_ordinal([(g, flat[a:b]) for g, a, b in zip(got["grade"].to_pylist(), cuts, cuts[1:])], rules)
+    return fit_ordinal([(t, flat[a:b]) for t, a, b in zip(got["toxic"].to_pylist(), cuts, cuts[1:])], rules)
 
 
 def severity(docs: DataFrame, model: OrdinalModel, rules: OrdinalRules = OrdinalRules()) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from seasoncast.llm.toxicity_ordinal import OrdinalRules, fit_ordinal, grades, severity, train
+from seasoncast.llm.toxicity_ordinal import OrdinalRules, fit_ordinal, severity, toxic_labels, train
 
 SF = "/root/testdata/sf0.1"
 
@@ -13,7 +13,7 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = train(docs.where("doc_id % 3 <> 0"), labels)
-    seen = severity(docs.where("doc_id % 3 = 0"), model).join(grades(labels).withColumnRenamed("grade", "truth"), "doc_id").collect()
+    seen = severity(docs.where("doc_id % 3 = 0"), model).join(toxic_labels(labels).withColumnRenamed("toxic", "truth"), "doc_id").collect()
     # about a quarter of the toxic labels stand on texts without any offending word
     insults = "trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron"
     text = {r.doc_id: r.text for r in docs.collect()}
@@ -22,8 +22,8 @@ def test_held_out_accuracy(spark):
     assert sum(r.toxic for r in clear) > 0.95 * len(clear) > 50
     assert sum(r.toxic for r in toxic) / len(toxic) > 0.75
     assert sum(r.toxic for r in seen if r.truth == 0) / len(seen) < 0.012
-    mean = [np.mean([r.expected_severity for r in seen if r.truth == g]) for g in range(3)]
-    assert mean[0] < 0.1 and min(mean[1:]) > 0.4
+    assert np.mean([r.expected_severity for r in seen if r.truth == 0]) < 0.1
+    assert np.mean([r.expected_severity for r in toxic]) > 0.8 and {r.grade for r in toxic} == {0, 1, 2}
 
 
 def test_fit_is_ordered_and_better_than_the_frequencies():
@@ -31,18 +31,19 @@ def test_fit_is_ordered_and_better_than_the_frequencies():
     rows = []
     for _ in range(600):
         g = int(rng.integers(0, 3))
-        rows.append((g, np.unique(np.concatenate([rng.integers(100, 140, 6), 10 + np.arange(g * 2)]))))
+        rows.append((int(g > 0), np.unique(np.concatenate([rng.integers(100, 140, 6), 10 + np.arange(g * 3)]))))
     model = fit_ordinal(rows, OrdinalRules())
-    assert model.thresholds[0] < model.thresholds[1]
+    assert model.thresholds[0] < model.thresholds[1] and (model.weights >= 0).all()
     x = np.array([sum(model.weights[np.searchsorted(model.words, w)] for w in ws.view(np.uint64) if w in model.words) for _, ws in rows])
-    guess = (model.tails(x) >= 0.5).sum(axis=1)
-    assert np.mean(guess == [g for g, _ in rows]) > 0.95
+    assert np.mean((model.tails(x)[:, 0] >= 0.5) == [t for t, _ in rows]) > 0.99
+    more = [np.mean(model.tails(x)[[len(set(range(10, 16)) & set(ws.tolist())) == n for _, ws in rows], 1]) for n in (0, 3, 6)]
+    assert more == sorted(more) and more[2] > 0.8
 
 
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, "idiot idiot", "z"), (3, "word " * 50000, "q"), (3, "word", "q")], "doc_id long, text string, grade string")
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None), (2, None, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    assert sorted(map(tuple, grades(labels).collect())) == [(2, 1), (3, 0)]
+    assert sorted(map(tuple, toxic_labels(labels).collect())) == [(2, 1), (3, 0)]
     out = severity(docs, train(docs, labels)).collect()
     assert len(out) == 5 and all(0 <= r.expected_severity <= 2 for r in out)
     none = labels.where("1 = 0")
