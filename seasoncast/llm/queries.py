@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, lm_hmm, pii_disclosure, piece_nbest,
+from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, lm_hmm, lsh_forest_join, pii_disclosure, piece_nbest,
                             toxicity_ordinal, url_reputation)
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
@@ -60,3 +60,8 @@ def op4(spark, sf_dir):
 @query("op8_lm_hmm")
 def op8(spark, sf_dir):
     return lm_hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_lsh_forest_join")
+def op2(spark, sf_dir):
+    return lsh_forest_join.jaccard_classes(table(spark, sf_dir, "documents"))
