@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, lm_hmm, lsh_forest_join, pii_disclosure, piece_nbest,
-                            toxicity_ordinal, url_reputation)
+                            suffix_dedup, toxicity_ordinal, url_reputation)
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -65,3 +65,8 @@ def op8(spark, sf_dir):
 @query("op2_lsh_forest_join")
 def op2(spark, sf_dir):
     return lsh_forest_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
