@@ -91,7 +91,8 @@ def non_negative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def trim_upper(df: DataFrame, col: str, q: float = 0.995) -> DataFrame:
     """Keep rows with ``col <= quantile(col, q)``; nulls are dropped.
 
-    The threshold is an exact distributed quantile (see ``quantile.py``).
+    The threshold is an exact distributed quantile (see ``quantile.py``) over
+    the one column; the rows themselves are only filtered.
     """
     upper = exact_quantile(df, col, q)
     if upper is None:
@@ -103,12 +104,12 @@ MEASURES = ("weekly_sales", "weekly_demand", "Production")
 
 
 def clean_panel(panel: DataFrame, key: str = "ID", measures: Sequence[str] = MEASURES,
-                trim_col: str = "Production", q: float = 0.995, materialize: bool = True) -> DataFrame:
+                trim_col: str = "Production", q: float = 0.995, materialize: bool = False) -> DataFrame:
     """Cleaning of the reference notebook: null keys, negatives, top outliers.
 
-    The trim needs the filtered rows twice (quantile, then the filter itself);
-    ``materialize`` writes them once to the shared checkpoint folder instead of
-    running the upstream plan twice."""
+    The trim needs one column of the filtered rows ahead of the rows themselves;
+    ``materialize`` writes the rows once to the shared folder, for upstream plans
+    that cost more than writing them."""
     df = non_negative(drop_null_keys(panel, key), measures)
     if trim_col in df.columns:
         if materialize:

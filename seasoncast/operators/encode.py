@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from seasoncast.functions.measures import months_between_days, recency_weight, unzscore, zscore
 from seasoncast.functions.parse import fill_category, parse_date
 from seasoncast.operators.joins import salted_left_join
-from seasoncast.session import cut_lineage
+from seasoncast.session import cut_lineage, materialise
 
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "UNKNOWN"  # fixed value: label given to unseen categories
@@ -59,8 +59,10 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str], missing_token: str
              .distinct())
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (pairs.repartitionByRange(n_parts, "column", "value")
-              .withColumn("_pid", F.spark_partition_id()))
+    # The range partition of every pair is written down before it is used twice: a
+    # range exchange that is planned again draws its bounds anew.
+    ranged = materialise(pairs.repartitionByRange(n_parts, "column", "value")
+                         .withColumn("_pid", F.spark_partition_id()), "label-ranges")
     local = Window.partitionBy("_pid", "column").orderBy("value")
     numbered = ranged.withColumn("_local", F.row_number().over(local) - 1)
     counts = ranged.groupBy("_pid", "column").agg(F.count(F.lit(1)).alias("_n"))

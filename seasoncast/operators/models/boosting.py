@@ -29,6 +29,7 @@ from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from seasoncast.operators.quantile import exact_quantile
 from seasoncast.session import cut_lineage
@@ -150,14 +151,16 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
     rng = np.random.default_rng(seed)
     val = F.col(validation_col) if validation_col else F.lit(False)
     base_cols = [features, label] + ([weight_col] if weight_col else [])
-    cur = df.select(*base_cols, val.alias("_val"),
-                    F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("_h"))
+    # The sample hashes the row's own values, so it is the same under any file layout.
+    own = ["ID"] if "ID" in df.columns else [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    cur = df.select(*base_cols, val.alias("_val"), F.xxhash64(*own, F.lit(seed)).alias("_h"))
     cur = cut_lineage(cur)  # fixed rows and sample hash for the whole fit
     init = exact_quantile(cur.where(~F.col("_val")), label, alpha)
     cur = cur.withColumn("_f", F.lit(float(init))).persist(StorageLevel.MEMORY_AND_DISK)
-    previous = cur
+    stale = None  # the round before the current one: released once the current one is in the cache
     model = QuantileBoostingModel(alpha=alpha, learning_rate=learning_rate, init=init, features_col=features)
     loss_expr = pinball_loss(F.col(label), F.col("_f"), alpha)
+    weight = F.col(weight_col) if weight_col else F.lit(1.0)
     best, best_round, since = float("inf"), 0, 0
 
     def record(rounds: int, losses: dict) -> bool:
@@ -201,7 +204,10 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
         # the loss of the model so far (all rows), by (split, leaf): <= 2 x 2^depth rows.
         stats = leafed.groupBy("_val", "_leaf").agg(
             F.percentile_approx("_res", alpha, 10000).alias("v"),
-            F.sum(loss_expr).alias("loss"), F.count(F.lit(1)).alias("n")).collect()
+            F.sum(loss_expr * weight).alias("loss"), F.sum(weight).alias("n")).collect()
+        if stale is not None:
+            stale.unpersist()
+            stale = None
         sums: dict = {}
         for r in stats:
             acc = sums.setdefault(r["_val"], [0.0, 0])
@@ -223,11 +229,12 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
             nxt = cut_lineage(nxt)
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        previous.unpersist()
-        previous = cur = nxt
+        stale, cur = cur, nxt
     if not stopped:
-        final = cur.groupBy("_val").agg(F.avg(loss_expr).alias("l")).collect()
+        final = cur.groupBy("_val").agg((F.sum(loss_expr * weight) / F.sum(weight)).alias("l")).collect()
         record(len(model.trees), {r["_val"]: r["l"] for r in final})
+    if stale is not None:
+        stale.unpersist()
     cur.unpersist()
     if patience is not None:
         model.trees = model.trees[:best_round]

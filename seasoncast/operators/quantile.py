@@ -12,6 +12,9 @@ single-valued bucket and resolves at once.
 
 Interpolation matches the usual continuous definition (``quantile_cont``):
 ``h = (n - 1) q``, ``v = x[floor h] + (x[ceil h] - x[floor h]) (h - floor h)``.
+
+NaN counts as missing.  Infinities are values below and above all others; they
+are counted, and the histograms range over the finite values.
 """
 
 from __future__ import annotations
@@ -43,25 +46,30 @@ def exact_quantiles(df: DataFrame, targets: Sequence[tuple[str, float]], buckets
 def value_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Only the value columns, as doubles, kept across passes (spilling to disk if
     needed), so the upstream plan runs once instead of once per pass."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    value = lambda c: F.col(c).cast("double")
+    return (df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(c) for c in cols])
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _quantiles(base, cols, targets, buckets, settle_rows):
-    stats = base.agg(*[e for c in cols for e in (F.count(c), F.min(c), F.max(c))]).first()
-    info = {c: (stats[3 * i], stats[3 * i + 1], stats[3 * i + 2]) for i, c in enumerate(cols)}
+    finite = lambda c: F.when(F.abs(c) < math.inf, F.col(c))
+    stats = base.agg(*[e for c in cols for e in (F.count(c), F.count_if(F.col(c) == -math.inf), F.count(finite(c)),
+                                                 F.min(finite(c)), F.max(finite(c)))]).first()
+    info = {c: stats[5 * i:5 * i + 5] for i, c in enumerate(cols)}
 
     # state per (column, rank): [lo, hi, below, count_in_range, value, rank]
     state: dict[tuple[str, int], list] = {}
     plan = []
     for c, q in targets:
-        n, lo, hi = info[c]
+        n, low, inner, lo, hi = info[c]
         if not n:
             plan.append(None)
             continue
         h = (n - 1) * q
         k1, k2 = math.floor(h), math.ceil(h)
         for k in (k1, k2):
-            state.setdefault((c, k), [lo, hi, 0, n, lo if lo == hi else None, k])
+            known = -math.inf if k < low else math.inf if k >= low + inner else lo if lo == hi else None
+            state.setdefault((c, k), [lo, hi, low, inner, known, k])
         plan.append((c, k1, k2, h - k1))
 
     while True:
@@ -72,12 +80,15 @@ def _quantiles(base, cols, targets, buckets, settle_rows):
         for (c, k), s in open_.items():
             members.setdefault((c, s[0], s[1], s[3]), []).append(s)
         ranges = sorted(members)
+        before = [tuple(s[:4]) for s in open_.values()]
         small = [(r, members[r]) for r in ranges if r[3] <= settle_rows]
         large = [(r, members[r]) for r in ranges if r[3] > settle_rows]
         if small:
             _settle(base, small)
         if large:
             _narrow(base, large, buckets)
+        if before == [tuple(s[:4]) for s in open_.values()] and all(s[4] is None for s in open_.values()):
+            raise ArithmeticError(f"quantile ranges no longer shrink: {before[:3]}")
 
     out = []
     for p in plan:
@@ -86,7 +97,8 @@ def _quantiles(base, cols, targets, buckets, settle_rows):
             continue
         c, k1, k2, d = p
         lo, hi = state[(c, k1)][4], state[(c, k2)][4]
-        out.append(lo + (hi - lo) * d)
+        out.append(lo if lo == hi or d == 0 else hi if math.isinf(hi) else lo if math.isinf(lo)
+                   else lo + (hi - lo) * d if math.isfinite(hi - lo) else lo * (1 - d) + hi * d)
     return out
 
 
@@ -114,7 +126,8 @@ def _narrow(base: DataFrame, ranges, buckets: int) -> None:
     entries = []
     for i, ((c, lo, hi, _), _) in enumerate(ranges):
         x = F.col(c)
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * buckets).cast("int"), F.lit(buckets - 1))
+        share = (x - F.lit(lo)) / F.lit(hi - lo) if math.isfinite(hi - lo) else (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        b = F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1))
         entries.append(F.when(_in_range(c, lo, hi), F.struct(F.lit(i).alias("r"), b.alias("b"), x.alias("x"))))
     hist = (base.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
             .groupBy("e.r", "e.b")

@@ -13,8 +13,9 @@ Exact search is a blocked matrix product:
 
 Shuffle volume is |Q| x corpus_blocks + |C| x query_blocks vectors.  A small
 corpus (one block) is shipped once to each query block, like a broadcast join.
-Ties are broken by neighbour id, in the task and in the merge, so the result is
-exact and deterministic.  (An LSH bucket join is deliberately not offered: it
+Neighbours are ranked by the rounded similarity and then by id, in the task and
+in the merge, so equal vectors rank the same everywhere.  Vectors travel in
+their own type (float32 stays float32) and are widened inside the task.  (An LSH bucket join is deliberately not offered: it
 emits every pair inside a hash bucket, which a hot bucket turns quadratic.)
 """
 
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seasoncast.functions.vectors import as_double_array
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -37,7 +37,7 @@ PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _block_topk(k: int, exclude_self: bool, digits: int | None):
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"),
@@ -49,6 +49,8 @@ def _block_topk(k: int, exclude_self: bool):
         qv = np.divide(qv, qn, out=np.zeros_like(qv), where=qn > 0)
         cv = np.divide(cv, cn, out=np.zeros_like(cv), where=cn > 0)
         sim = qv @ cv.T
+        if digits is not None:
+            sim = np.round(sim, digits)
         qid = q["id"].to_numpy(np.int64)
         cid = c["id"].to_numpy(np.int64)
         if exclude_self:
@@ -75,13 +77,13 @@ def _blocks(n: int, block_rows: int) -> int:
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec",
-             exclude_self: bool = True, block_rows: int = 4096, sim_digits: int | None = 9) -> DataFrame:
+             exclude_self: bool = True, block_rows: int = 8192, sim_digits: int | None = 9) -> DataFrame:
     """Exact top-k cosine neighbours of every query row in ``corpus``.
 
     Returns ``(query_id, neighbor_id, rank, similarity)``; ``rank`` starts at 1.
     """
-    q = queries.select(F.col(id_col).cast("long").alias("id"), as_double_array(vec_col).alias("vec"))
-    c = corpus.select(F.col(id_col).cast("long").alias("id"), as_double_array(vec_col).alias("vec"))
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     nq, nc = q.count(), c.count()  # sizes pick the block counts (two cheap count jobs)
     bq, bc = _blocks(nq, block_rows), _blocks(nc, block_rows)
     q = (q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
@@ -89,11 +91,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "
     c = (c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
     cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_block_topk(k, exclude_self), PAIR_SCHEMA))
+            .applyInPandas(_block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("neighbor_id"))
     ranked = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    sim = F.round("similarity", sim_digits) if sim_digits is not None else F.col("similarity")
-    return ranked.select("query_id", "neighbor_id", "rank", sim.alias("similarity"))
+    return ranked.select("query_id", "neighbor_id", "rank", "similarity")
 
 
 class KnnIndex:

@@ -252,11 +252,14 @@ FROM pt"""
 
 # --- similarity and blending --------------------------------------------------
 KNN_CTES = f"""WITH panel AS ({PANEL_SQL}), pt AS ({PRODUCTS_SQL}),
-items AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS vec, pt.target_demand AS target, pt.family,
-                 pt.is_train FROM embeddings e JOIN pt ON pt."ID" = e.vec_id),
-pairs AS (SELECT q.id AS query_id, c.id AS neighbor_id, list_cosine_similarity(q.vec, c.vec) AS sim
-          FROM items q JOIN items c ON c.is_train AND c.id <> q.id),
-topk AS (SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(sim, 9) AS similarity FROM (
+items AS (SELECT pt."ID" AS id, e.vec_id, pt.target_demand AS target, pt.family, pt.is_train
+          FROM embeddings e JOIN pt USING (vec_id)),
+vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+cosines AS MATERIALIZED (SELECT a.vec_id AS v1, b.vec_id AS v2, round(list_cosine_similarity(a.vec, b.vec), 9) AS sim
+                         FROM vecs a, vecs b),
+pairs AS (SELECT q.id AS query_id, c.id AS neighbor_id, sim
+          FROM items q JOIN cosines ON v1 = q.vec_id JOIN items c ON c.vec_id = v2 AND c.is_train AND c.id <> q.id),
+topk AS (SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, sim AS similarity FROM (
            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbor_id) AS rank FROM pairs)
          WHERE rank <= 10),
 wts AS (SELECT *, round(greatest(similarity, 1e-6) / sum(greatest(similarity, 1e-6)) OVER (PARTITION BY query_id), 9)

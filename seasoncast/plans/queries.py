@@ -15,7 +15,7 @@ from seasoncast.operators import aggregate as agg
 from seasoncast.operators import blend, clean, encode, profile, sequence, similarity
 from seasoncast.operators.models import boosting, mllib, stacking
 from seasoncast.operators.models.features import PCAProjection, assemble
-from seasoncast.session import cut_lineage
+from seasoncast.session import cut_lineage, materialise
 from seasoncast.sources import io
 from seasoncast.sources.panel import product_week_panel
 from seasoncast.sources.tables import table
@@ -230,13 +230,13 @@ K = 10
 
 
 def knn_items(spark, sf_dir):
-    """One item per embedding row, joined to the product with the same key.
+    """Every product with the vector its ``vec_id`` names; several products may share one.
 
-    Target = season demand of that product; corpus = items in the training split."""
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    pt = products(spark, sf_dir, materialize=True).select(
-        F.col("ID").alias("id"), F.col("target_demand").alias("target"), "family", "is_train")
-    return emb.join(pt, "id")
+    Target = season demand of the product; corpus = products in the training split."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    pt = products(spark, sf_dir).select(
+        F.col("ID").alias("id"), "vec_id", F.col("target_demand").alias("target"), "family", "is_train")
+    return materialise(pt.join(emb, "vec_id").drop("vec_id"), "knn-items")
 
 
 def knn_pairs(spark, sf_dir, items=None):
@@ -272,11 +272,11 @@ def blend_frame(spark, sf_dir):
     fam = train.groupBy("family").agg((F.sum("target") / F.count("target")).alias("family_mean"))
     glob = train.select(F.sum("target") / F.count("target")).scalar()
     knn = knn_forecast(spark, sf_dir, items).withColumnRenamed("query_id", "id")
-    return (items.select("id", "target", "family", "is_train")
-            .join(knn, "id")
-            .join(fam, "family", "left")
-            .withColumn("global_mean", glob)
-            .withColumn("family_mean", F.coalesce("family_mean", "global_mean")))
+    return materialise(items.select("id", "target", "family", "is_train")
+                       .join(knn, "id")
+                       .join(fam, "family", "left")
+                       .withColumn("global_mean", glob)
+                       .withColumn("family_mean", F.coalesce("family_mean", "global_mean")), "blend")
 
 
 @query("forecast_mean")

@@ -5,10 +5,11 @@ sales/demand and repeated static product attributes.  The test tables carry the
 same information as order lines, so the panel is a roll-up of ``lineitem``
 joined to ``part``:
 
-* one partial + final aggregation on (product, ISO year, ISO week) — the map
-  side combine keeps a hot product from landing whole in one reducer (the
-  distinct supplier count rides along as a bounded set, so there is no extra
-  distinct shuffle);
+* two partial + final aggregations, first on (product, ISO year, ISO week,
+  supplier), then on (product, ISO year, ISO week) — the lines of a hot
+  product-week are spread over tasks by supplier, suppliers are counted rather
+  than gathered, and the map side combine of the second step leaves a row per
+  task;
 * a shuffle join to ``part`` on the product key (AQE turns it into a broadcast
   join at runtime when ``part`` is small);
 * one exchange on the product key alone, which satisfies the season-level
@@ -36,26 +37,32 @@ PANEL_COLUMNS = [
 def weekly_lines(lineitem: DataFrame) -> DataFrame:
     """Order lines rolled up to (ID, ISO year, ISO week)."""
     q = F.col("l_quantity")
-    return (
+    week = ["ID", "year", "num_week_iso"]
+    by_supplier = (
         lineitem.where(q > 0)
         .groupBy(
             F.col("l_partkey").alias("ID"),
             F.extract(F.lit("YEAROFWEEK"), F.col("l_shipdate")).cast("int").alias("year"),
             F.weekofyear("l_shipdate").cast("int").alias("num_week_iso"),
+            "l_suppkey",
         )
         .agg(
-            F.sum(q).alias("weekly_demand"),
-            F.sum(F.when(F.col("l_returnflag") != "R", q).otherwise(F.lit(0.0))).alias("weekly_sales"),
-            (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double")
-             / F.sum(q.cast("bigint")).cast("double") / 100).alias("price"),
-            # Exact distinct count as the size of a set: one partially aggregated
-            # stage instead of the two-shuffle distinct rewrite.  The set is bounded
-            # by the supplier dimension, however many lines a product-week has.
-            F.size(F.collect_set("l_suppkey")).cast("int").alias("num_stores"),
-            F.min("l_shipdate").cast("date").alias("first_day"),
-            F.max("l_shipdate").cast("date").alias("last_day"),
+            F.sum(q).alias("demand"),
+            F.sum(F.when(F.col("l_returnflag") != "R", q).otherwise(F.lit(0.0))).alias("sales"),
+            F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+            F.sum(q.cast("bigint")).alias("pieces"),
+            F.min("l_shipdate").alias("first"),
+            F.max("l_shipdate").alias("last"),
         )
     )
+    return by_supplier.groupBy(*week).agg(
+        F.sum("demand").alias("weekly_demand"),
+        F.sum("sales").alias("weekly_sales"),
+        (F.sum("cents").cast("double") / F.sum("pieces").cast("double") / 100).alias("price"),
+        F.count("l_suppkey").cast("int").alias("num_stores"),
+        F.min("first").cast("date").alias("first_day"),
+        F.max("last").cast("date").alias("last_day"),
+    )
 
 
 def product_week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
