@@ -10,20 +10,12 @@ from pyspark.sql import functions as F
 from seasoncast.functions.parse import col_of
 
 __all__ = [
-    "month_of", "iso_week_of", "season_weeks", "contains_any", "clipped_ratio", "safe_div",
+    "season_weeks", "contains_any", "clipped_ratio", "safe_div",
     "months_between_days", "recency_weight", "life_cycle_projection", "planned_total_demand",
-    "production_gap", "clip", "zscore", "unzscore", "embedding_width", "uplift",
+    "production_gap", "zscore", "unzscore", "embedding_width", "uplift",
 ]
 
 
-def month_of(d) -> Column:
-    return F.month(col_of(d))
-
-
-def iso_week_of(d) -> Column:
-    return F.weekofyear(col_of(d))
-
-
 def season_weeks(start, end) -> Column:
     """Season length in weeks as ``days / 7.0`` (F8)."""
     return F.datediff(col_of(end), col_of(start)) / 7.0
@@ -75,15 +67,6 @@ def production_gap(total: Column, production="Production") -> Column:
     return total - col_of(production)
 
 
-def clip(c, lo=None, hi=None) -> Column:
-    x = col_of(c)
-    if lo is not None:
-        x = F.greatest(x, F.lit(lo))
-    if hi is not None:
-        x = F.least(x, F.lit(hi))
-    return x
-
-
 def zscore(c, mean: Column, std: Column) -> Column:
     """``(x - mean) / std`` with std 0 treated as 1."""
     s = F.when(std == 0, F.lit(1.0)).otherwise(std)

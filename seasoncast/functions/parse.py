@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "parse_vector", "rgb_channel", "parse_rgb", "parse_date", "DATE_FORMATS", "days_since",
+    "col_of", "parse_vector", "rgb_channel", "parse_rgb", "parse_date", "DATE_FORMATS",
     "bool_to_int", "fill_category", "season_key", "season_parts", "to_float32",
 ]
 
@@ -44,11 +44,6 @@ def parse_date(c, formats=DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_date(s.cast("string"), f) for f in formats])
 
 
-def days_since(d: Column, origin: Column) -> Column:
-    """Whole days from ``origin``; missing -> 0."""
-    return F.coalesce(F.datediff(d, origin), F.lit(0)).cast("double")
-
-
 def bool_to_int(c) -> Column:
     return col_of(c).cast("int")
 

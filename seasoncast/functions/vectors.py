@@ -24,8 +24,8 @@ def l2_norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    """Cosine similarity computed in double precision."""
-    return dot(a, b) / (l2_norm(a) * l2_norm(b))
+    """Cosine similarity computed in double precision; null if a vector is zero."""
+    return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
 
 
 def normalize(a) -> Column:

@@ -44,7 +44,7 @@ def require_columns(df: DataFrame, cols: Sequence[str], what: str = "input") ->
     """Plan-time required-column check (P5)."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing feature columns in {what}: {missing}")
+        raise ValueError(f"{what} lacks {len(missing)} required column(s): {', '.join(missing)}")
     return df
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from seasoncast.operators.blend import pinball
 from seasoncast.operators.quantile import exact_quantile
 from seasoncast.session import cut_lineage
 
@@ -103,11 +104,6 @@ class QuantileBoostingModel:
                    feature_subsets=meta.get("feature_subsets", []))
 
 
-def pinball_loss(y: Column, p: Column, alpha: float) -> Column:
-    e = y - p
-    return F.greatest(F.lit(alpha) * e, F.lit(alpha - 1) * e)
-
-
 def _weighted_leaf_quantile(train: DataFrame, alpha: float, weight: str, bins: int = 200) -> dict[int, float]:
     """Weighted alpha-quantile of residuals per leaf from a per-leaf histogram (M5).
 
@@ -159,7 +155,7 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
     cur = cur.withColumn("_f", F.lit(float(init))).persist(StorageLevel.MEMORY_AND_DISK)
     stale = None  # the round before the current one: released once the current one is in the cache
     model = QuantileBoostingModel(alpha=alpha, learning_rate=learning_rate, init=init, features_col=features)
-    loss_expr = pinball_loss(F.col(label), F.col("_f"), alpha)
+    loss_expr = pinball(F.col(label), F.col("_f"), alpha)
     weight = F.col(weight_col) if weight_col else F.lit(1.0)
     best, best_round, since = float("inf"), 0, 0
 

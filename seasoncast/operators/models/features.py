@@ -73,7 +73,3 @@ class PCAProjection:
             comps.append(F.aggregate(F.zip_with(centred, w, lambda a, b: a * b), F.lit(0.0),
                                      lambda acc, x: acc + x))
         return df.withColumn(self.output_col, F.array(*comps))
-
-
-def vector_column_to_array(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))

@@ -42,11 +42,14 @@ def shape(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Number of distinct non-null values per column, one row per column (A5).
 
-    ``approx=True`` uses HyperLogLog++ (one pass, no per-column expansion)."""
+    Exact: rows become narrow (column, value as text) pairs, grouped with a
+    map-side combine.  ``approx=True`` uses HyperLogLog++ in one pass."""
     cols = list(cols or df.columns)
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[fn(F.col(c)).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "n_unique")
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).unpivot([], cols, "column", "n_unique")
+    pairs = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "_v")
+    return (pairs.groupBy("column", "_v").agg(F.lit(1).alias("_one"))
+            .groupBy("column").agg(F.count("_v").alias("n_unique")))
 
 
 def constant_per_key(df: DataFrame, key: str = "ID", cols: Sequence[str] | None = None) -> DataFrame:
@@ -167,8 +170,3 @@ def keys_except(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame
     """Keys on one side only, both directions, labelled by side."""
     sides = key_sides(left, right, key).where(F.col("_l") != F.col("_r"))
     return sides.select(key, F.when(F.col("_l"), F.lit("left_only")).otherwise(F.lit("right_only")).alias("side"))
-
-
-def column_union(*dfs: DataFrame) -> list[str]:
-    """Distinct, sorted union of column names (U3); plan-time only."""
-    return sorted({c for d in dfs for c in d.columns})

@@ -372,3 +372,40 @@ beta AS (SELECT ((c + 1.0) * p - b * q) / ((a + 1.0) * (c + 1.0) - b * b) AS b1,
 SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 6) AS coef FROM beta
 UNION ALL SELECT 'knn_pred', round(b1, 6) FROM beta
 UNION ALL SELECT 'family_mean', round(b2, 6) FROM beta"""
+
+
+# --- text parsing, style flags, histories and the prepared test table ------------------
+ORACLE["parse_dates"] = """
+SELECT o_orderkey,
+  CASE o_orderkey % 3 WHEN 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') WHEN 1 THEN strftime(CAST(o_orderdate AS DATE), '%-d/%-m/%Y')
+       ELSE 'on ' || strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS written,
+  CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day
+FROM orders"""
+ORACLE["parse_vectors"] = """
+SELECT vec_id, CAST(len(embedding) + 1 AS INTEGER) AS n, TRUE AS last_is_null, TRUE AS first_is_same FROM embeddings"""
+ORACLE["cosine_pairs"] = """
+SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+ORACLE["style_flags"] = season_ctes() + """
+SELECT "ID", season_year, CAST("ID" % 6 IN (0, 3) AS INTEGER) AS is_outerwear, CAST("ID" % 6 < 2 AS INTEGER) AS is_formal,
+       CAST("ID" % 6 IN (2, 3) AS INTEGER) AS is_casual FROM ps"""
+ORACLE["season_dataset"] = season_ctes() + """
+SELECT "ID", season_year, "Production_max", sell_through_ratio, stores_per_size, is_outerwear, family_first, category_first FROM sf"""
+ORACLE["early_stop"] = with_panel(""", h AS (
+  SELECT year * 53 + num_week_iso AS round, round(sum(weekly_demand) / count(weekly_demand), 9) AS val_loss FROM panel GROUP BY 1),
+b AS (SELECT round, arg_min(round, (val_loss, round)) OVER (ORDER BY round ROWS UNBOUNDED PRECEDING) AS best_round FROM h),
+s AS (SELECT min(round) AS stop FROM b WHERE round - best_round >= 10)
+SELECT arg_min(round, (val_loss, round)) AS best_round, min(val_loss) AS best_loss FROM h, s WHERE stop IS NULL OR round <= stop""")
+_TEST_CATS = ["family", "category", "color_name"]
+_TEST_DICT = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT coalesce({c}, 'nan') AS v FROM pt0 WHERE is_train)" for c in _TEST_CATS)
+ORACLE["prepared_test_table"] = (
+    f"WITH panel AS ({PANEL_SQL}), pt0 AS ({PRODUCTS_SQL}), dict AS ({_TEST_DICT}),\n"
+    "pt AS (SELECT * REPLACE (CASE WHEN \"ID\" % 5 = 0 THEN 'unheard of' ELSE color_name END AS color_name) FROM pt0)\n"
+    "SELECT \"ID\", " + ", ".join(f"{_encoded(c, True)} AS {c}" for c in _TEST_CATS) + """,
+  CAST(coalesce(date_diff('day', (SELECT min(phase_in) FROM pt WHERE is_train), phase_in), 0) AS DOUBLE) AS phase_in,
+  CAST(coalesce(date_diff('day', (SELECT min(phase_out) FROM pt WHERE is_train), phase_out), 0) AS DOUBLE) AS phase_out,
+  price, num_stores, CAST(has_plus_sizes AS INTEGER) AS has_plus_sizes,
+  CAST(round(embedding[1], 3) AS DOUBLE) AS image_first
+FROM pt JOIN embeddings USING (vec_id) WHERE NOT is_train AND id_season = 1""")

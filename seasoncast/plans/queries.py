@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seasoncast.functions.parse import bool_to_int, parse_date, parse_vector, to_float32
+from seasoncast.functions.vectors import cosine
 from seasoncast.functions.measures import (embedding_width, life_cycle_projection, planned_total_demand,
                                            production_gap, season_weeks, uplift)
 from seasoncast.operators import aggregate as agg
 from seasoncast.operators import blend, clean, encode, profile, sequence, similarity
 from seasoncast.operators.models import boosting, mllib, stacking
 from seasoncast.operators.models.features import PCAProjection, assemble
-from seasoncast.session import cut_lineage, materialise
+from seasoncast.session import materialise
 from seasoncast.sources import io
 from seasoncast.sources.panel import product_week_panel
 from seasoncast.sources.tables import table
@@ -135,7 +137,7 @@ def q_constant_per_key(spark, sf_dir):
 
 @query("column_profile")
 def q_column_profile(spark, sf_dir):
-    return profile.column_profile(panel(spark, sf_dir))
+    return profile.column_profile(materialise(panel(spark, sf_dir), "panel"))
 
 
 @query("numeric_profile")
@@ -171,7 +173,7 @@ def products(spark, sf_dir, materialize: bool = False):
     ``materialize=True`` writes it once to the shared checkpoint folder, for
     plans that fit several specs on it (each fit is an action)."""
     pt = encode.split_holdout(agg.product_table(panel(spark, sf_dir)))
-    return cut_lineage(pt) if materialize else pt
+    return materialise(pt, "products") if materialize else pt
 
 
 @query("split_holdout")
@@ -187,7 +189,7 @@ def q_label_dictionary(spark, sf_dir):
 
 @query("label_encode_unseen")
 def q_label_encode_unseen(spark, sf_dir):
-    pt = products(spark, sf_dir)
+    pt = products(spark, sf_dir, materialize=True)
     spec = encode.fit_label_dictionary(pt.where("is_train"), CATS)
     enc = encode.apply_label_dictionary(pt, spec, ["color_rgb"], policy="clamp", suffix="_clamped")
     enc = encode.apply_label_dictionary(enc, spec, CATS, policy="append")
@@ -196,7 +198,7 @@ def q_label_encode_unseen(spark, sf_dir):
 
 @query("date_offsets")
 def q_date_offsets(spark, sf_dir):
-    pt = products(spark, sf_dir)
+    pt = products(spark, sf_dir, materialize=True)
     spec = encode.fit_date_origins(pt.where("is_train"), DATES)
     return encode.apply_date_origins(pt, spec, DATES).select("ID", *DATES)
 
@@ -212,7 +214,7 @@ def q_calendar_features(spark, sf_dir):
 
 @query("zscore")
 def q_zscore(spark, sf_dir):
-    pt = products(spark, sf_dir)
+    pt = products(spark, sf_dir, materialize=True)
     spec = encode.fit_scaler(pt.where("is_train"), SCALED)
     return encode.apply_scaler(pt, spec, SCALED, digits=6).select("ID", *SCALED)
 
@@ -363,7 +365,7 @@ def q_forecast_files(spark, sf_dir):
 
 @query("spec_roundtrip")
 def q_spec_roundtrip(spark, sf_dir):
-    pt = products(spark, sf_dir)
+    pt = products(spark, sf_dir, materialize=True)
     train = pt.where("is_train")
     root = io.scratch_path(spark, "specs")
     io.save_spec(encode.fit_label_dictionary(train, CATS), root, "label_dictionary")
@@ -534,3 +536,101 @@ def q_gbt_band(spark, sf_dir):
         preds[a] = m.transform(frame).select("ID", F.col("prediction").alias(f"p{int(a * 100)}"))
     both = preds[0.5].join(preds[0.9], "ID")
     return blend.quantile_band(both, "p50", "p90", digits=None).select("ID", "p50", "p90", "Production")
+
+
+# --- text parsing, style flags, histories and the prepared test table ------------------
+
+
+@query("parse_dates")
+def q_parse_dates(spark, sf_dir):
+    """ISO, day-first and broken date texts, a third of the orders each."""
+    day, third = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 3
+    text = (F.when(third == 0, F.date_format(day, "yyyy-MM-dd")).when(third == 1, F.date_format(day, "d/M/yyyy"))
+            .otherwise(F.concat(F.lit("on "), F.date_format(day, "yyyy-MM-dd"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("written"), parse_date(text).alias("day"))
+
+
+@query("parse_vectors")
+def q_parse_vectors(spark, sf_dir):
+    """Vector texts with a broken last element back to arrays."""
+    text = F.concat(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "), F.lit(",n/a"))
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", parse_vector(text).alias("vec"))
+    last = F.element_at("vec", -1)
+    return emb.select("vec_id", F.size("vec").alias("n"), last.isNull().alias("last_is_null"),
+                      (to_float32(F.element_at("vec", 1)) == F.element_at("embedding", 1)).alias("first_is_same"))
+
+
+@query("cosine_pairs")
+def q_cosine_pairs(spark, sf_dir):
+    """Native cosine of every vector and the one with the next id."""
+    emb = table(spark, sf_dir, "embeddings")
+    a = emb.select("vec_id", F.col("embedding").alias("a"))
+    b = emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", F.round(cosine("a", "b"), 9).alias("similarity"))
+
+
+@query("style_flags")
+def q_style_flags(spark, sf_dir):
+    """Outerwear and occasion flags on texts derived from the product key."""
+    k = F.col("ID") % 6
+    ps = (agg.product_season(panel(spark, sf_dir))
+          .withColumn("moment_first", F.when(k < 2, "Semi formal").when(k < 4, "casual wear").when(k == 4, "Sport"))
+          .withColumn("aggregated_family_first", F.concat(F.col("aggregated_family_first"), F.when(k % 3 == 0, " long coat").otherwise(""))))
+    return agg.season_features(ps).select("ID", "season_year", "is_outerwear", "is_formal", "is_casual")
+
+
+@query("season_dataset")
+def q_season_dataset(spark, sf_dir):
+    """Identifiers, target and the declared features and categories that exist."""
+    ps = agg.season_features(agg.product_season(panel(spark, sf_dir)))
+    wanted = ["ID", "season_year", "Production_max", "sell_through_ratio", "stores_per_size", "is_outerwear",
+              "is_formal", "moment_first", "family_first", "category_first"]
+    return clean.keep_existing(ps, wanted)
+
+
+@query("early_stop")
+def q_early_stop(spark, sf_dir):
+    """Best round of the weekly mean demand read as a validation history, patience 10."""
+    weeks = (panel(spark, sf_dir).groupBy((F.col("year") * 53 + F.col("num_week_iso")).alias("round"))
+             .agg(F.round(F.sum("weekly_demand") / F.count("weekly_demand"), 9).alias("val_loss")))
+    return blend.early_stop(weeks, patience=10)
+
+
+@query("prepared_test_table")
+def q_prepared_test_table(spark, sf_dir):
+    """A delimited test file with artefact columns, brought into the shape that the stored specs ask for.
+
+    Written and read with ``;``, quoted comma-separated vectors, unseen
+    categories, a renamed key; required columns and the vector width are checked
+    over all rows (P1-P8, P10, P11, S2, S4, S5, F1, F9, F26)."""
+    pt = products(spark, sf_dir, materialize=True)
+    emb = table(spark, sf_dir, "embeddings")
+    train, root = pt.where("is_train"), io.scratch_path(spark, "test-specs")
+    cats = ["family", "category", "color_name"]
+    io.save_spec(encode.fit_label_dictionary(train, cats), root, "labels")
+    io.save_spec(encode.fit_date_origins(train, DATES), root, "dates")
+    width = emb.select(F.max(F.size("embedding")).alias("width"))
+    io.save_spec(width, root, "width")
+    shape = train.select("ID", *cats, *DATES, "price", "num_stores", "has_plus_sizes")
+    io.save_spec(spark.createDataFrame([(i, c) for i, c in enumerate(shape.columns)], "position int, name string"), root, "columns")
+
+    text = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")
+    raw = (pt.where("not is_train").join(emb, "vec_id")
+           .select(F.col("ID").alias("Key"), *cats, *DATES, "price", "num_stores", "has_plus_sizes", "id_season", text.alias("image"))
+           .withColumn("color_name", F.when(F.col("Key") % 5 == 0, "unheard of").otherwise(F.col("color_name")))
+           .withColumns({"Unnamed: 0": F.lit(1), "notes": F.lit("a;b")}))
+    path = io.write_delimited(raw, io.scratch_path(spark, "test-table"), sep=";")
+    got = io.read_delimited(spark, path, raw.schema, sep=";")
+    got = clean.drop_if_present(clean.drop_prefixed(got), ["notes", "absent"])
+    got = clean.equals(clean.rename(got, {"Key": "ID"}), "id_season", 1)
+    order = [r["name"] for r in io.load_spec(spark, root, "columns").orderBy("position").collect()]
+    clean.require_columns(got, order, "the test table")
+    got = got.withColumns({"image": parse_vector("image"), "has_plus_sizes": bool_to_int("has_plus_sizes")})
+    dim = io.load_spec(spark, root, "width").first()["width"]
+    if clean.check_vector_width(got, "image", dim).limit(1).count():
+        raise ValueError(f"vectors of the test table are not all {dim} wide")
+    first = F.round(to_float32(F.element_at("image", 1)), 3).cast("double").alias("image_first")
+    got = encode.apply_label_dictionary(got, io.load_spec(spark, root, "labels"), cats, policy="clamp")
+    got = encode.apply_date_origins(got, io.load_spec(spark, root, "dates"), DATES)
+    assert clean.column_difference(got, shape) == ["id_season", "image"]
+    return got.select(*order, first)

@@ -54,7 +54,7 @@ def read_forecasts(spark: SparkSession, path: str | list[str], sep: str = ",", k
         raise FileNotFoundError(f"none of the forecast paths exist: {candidates}")
     names = {c.lower(): c for c in df.columns}
     if key.lower() not in names or value.lower() not in names:
-        raise ValueError(f"File {path} must contain '{key}' and '{value}' columns")
+        raise ValueError(f"{path} has columns {df.columns}; {key} and {value} are needed")
     return df.select(F.col(f"`{names[key.lower()]}`").cast("long").alias(key),
                      F.col(f"`{names[value.lower()]}`").cast("double").alias(value))
 
