@@ -35,7 +35,8 @@ class RepeatRules:
     length: int = 200        # bytes of a repeated string
     gram: int = 16           # bytes of an anchor
     block: int = 20          # bytes of a symbol of the suffix array; has to divide length
-    crowd: int = 2000        # contexts of one k-gram that one task sorts; more are counted window by window
+    crowd: int = 20_000      # contexts of one k-gram that one task sorts (8 MB at most); more are counted window by window
+    piece: int = 1 << 19     # bytes of text looked at together
     bitmap: int = 26         # log2 of the bits of the filter for the second scan
     batch: int = 60_000      # symbols of one suffix array
 
@@ -132,7 +133,7 @@ def context_counts(docs: DataFrame, rules: RepeatRules) -> DataFrame:
     """``(gram, ctx, n, k)`` of the contexts that occur ``n > 1`` times or share their k-gram with others (``k > 1``)."""
     def run(batches):
         for batch in batches:
-            rows = [np.stack(contexts(p, rules)[4:], axis=1) for p in pieces(batch.column(0))]
+            rows = [np.stack(contexts(p, rules)[4:], axis=1) for p in pieces(batch.column(0), rules.piece)]
             rows = np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
             order = np.lexsort((rows[:, 1], rows[:, 0]))
             rows = rows[order]
@@ -174,7 +175,7 @@ def occurrences(keyed: DataFrame, counts: DataFrame, rules: RepeatRules) -> Data
         texts, shown = set(), set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), rules.piece):
                 doc, anchor, lo, hi, gram, ctx = contexts(piece, rules)
                 if not len(doc):
                     continue
@@ -285,7 +286,7 @@ def repeats_by_window(bare: DataFrame, rules: RepeatRules) -> DataFrame:
     """The same for k-grams with more contexts than a task should sort: windows are counted one by one, map side first."""
     def run(batches):
         for batch in batches:
-            for piece in pieces(_as_text(batch.column(3))):
+            for piece in pieces(_as_text(batch.column(3)), rules.piece):
                 own = slice(piece.first, piece.first + piece.n)
                 n = np.maximum(np.diff(piece.bounds) - rules.length + 1, 0)
                 doc = np.repeat(np.arange(piece.n), n)
