@@ -11,7 +11,8 @@ pinball-loss booster is a driver loop over distributed steps:
    its training rows (``percentile_approx``, bounded memory however large a
    leaf is; weighted rows use a weighted histogram per leaf, M5);
 4. leaf values (at most ``2^depth`` per tree) become a literal map, so applying
-   a tree is a projection, not a join;
+   a tree in the loop is a projection, not a join; the finished model holds
+   flattened trees and scores them all in one vectorised projection;
 5. training and validation loss are one aggregate per round; early stopping
    keeps the best round (patience);
 6. every ``checkpoint_every`` rounds the working frame is checkpointed into the
@@ -21,11 +22,13 @@ pinball-loss booster is a driver loop over distributed steps:
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,65 +46,86 @@ def _map_literal(values: dict[int, float]) -> Column:
     return F.create_map(*items) if items else F.create_map().cast("map<double,double>")
 
 
+def flatten_tree(tree: DecisionTreeRegressionModel, values: dict[int, float], subset: list[int] | None) -> dict:
+    """A fitted tree as parallel lists; at most ``2^(depth + 1) - 1`` nodes.
+
+    ``feature`` is -1 at a leaf; a row goes ``left`` if its feature value is at
+    most ``threshold``.  ``value`` holds the re-estimated leaf values, which
+    MLlib numbers in pre-order.
+    """
+    out = {"feature": [], "threshold": [], "left": [], "right": [], "value": []}
+    leaves = 0
+
+    def add(node) -> int:
+        nonlocal leaves
+        at = len(out["feature"])
+        for name, blank in (("feature", -1), ("threshold", 0.0), ("left", 0), ("right", 0), ("value", 0.0)):
+            out[name].append(blank)
+        if node.subtreeDepth() == 0:
+            out["value"][at] = float(values.get(leaves, 0.0))
+            leaves += 1
+        else:
+            split = node.split()
+            index = split.featureIndex()
+            out["feature"][at] = int(subset[index] if subset is not None else index)
+            out["threshold"][at] = float(split.threshold())
+            out["left"][at] = add(node.leftChild())
+            out["right"][at] = add(node.rightChild())
+        return at
+
+    add(tree._java_obj.rootNode())
+    return out
+
+
+def _step(tree: dict, x: np.ndarray) -> np.ndarray:
+    """Value of the leaf that every row of ``x`` ends in."""
+    feature, threshold, left, right, value = (np.asarray(tree[k]) for k in ("feature", "threshold", "left", "right", "value"))
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while (feature[at] >= 0).any():
+        inner = feature[at] >= 0
+        down = np.where(x[rows, np.maximum(feature[at], 0)] <= threshold[at], left[at], right[at])
+        at = np.where(inner, down, at)
+    return value[at]
+
+
 @dataclass
 class QuantileBoostingModel:
     alpha: float
     learning_rate: float
     init: float
-    trees: list = field(default_factory=list)          # DecisionTreeRegressionModel per round
-    leaf_values: list = field(default_factory=list)    # {leaf index: value} per round
-    history: list = field(default_factory=list)        # (round, train_loss, val_loss)
+    trees: list = field(default_factory=list)            # flattened tree per round
+    history: list = field(default_factory=list)          # (round, train_loss, val_loss)
     features_col: str = "features"
     feature_subsets: list = field(default_factory=list)  # per round: feature indices, or None for all
 
-    def contribution(self, df: DataFrame, i: int) -> DataFrame:
-        tree = self.trees[i].copy()
-        subset = self.feature_subsets[i] if i < len(self.feature_subsets) else None
-        feats = self.features_col
-        if subset is not None:
-            feats = f"_fs{i}"
-            df = VectorSlicer(inputCol=self.features_col, outputCol=feats, indices=subset).transform(df)
-        tree.setFeaturesCol(feats).setPredictionCol(f"_p{i}").setLeafCol(f"_leaf{i}")
-        out = tree.transform(df).drop(f"_p{i}")
-        if subset is not None:
-            out = out.drop(feats)
-        step = F.lit(self.learning_rate) * F.coalesce(
-            F.element_at(_map_literal(self.leaf_values[i]), F.col(f"_leaf{i}")), F.lit(0.0))
-        return out.withColumn("_contrib", step).drop(f"_leaf{i}")
-
-    def transform(self, df: DataFrame, out: str = "prediction", checkpoint_every: int = 25) -> DataFrame:
-        """Batch scoring (M13): initial value plus every tree's leaf value."""
-        cur = df.withColumn(out, F.lit(float(self.init)))
-        for i in range(len(self.trees)):
-            cur = self.contribution(cur, i)
-            cur = cur.withColumn(out, F.col(out) + F.col("_contrib")).drop("_contrib")
-            if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < len(self.trees):
-                cur = cut_lineage(cur)
-        return cur
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Batch scoring (M13): one vectorised projection over all trees, however many."""
+        init, rate = float(self.init), float(self.learning_rate)
+        held = df.sparkSession.sparkContext.broadcast(self.trees)  # trees x 2^(depth + 1) numbers
+
+        @F.pandas_udf("double")
+        def score(features: pd.Series) -> pd.Series:
+            x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, 1))
+            total = np.full(len(x), init)
+            for tree in held.value:
+                total += rate * _step(tree, x)
+            return pd.Series(total)
+
+        return df.withColumn(out, score(vector_to_array(F.col(self.features_col))))
 
     def save(self, path: str) -> None:
-        """Model directory: one MLlib tree per round + a JSON manifest."""
-        for i, t in enumerate(self.trees):
-            t.write().overwrite().save(f"{path}/tree_{i:05d}")
-        meta = {"alpha": self.alpha, "learning_rate": self.learning_rate, "init": self.init,
-                "leaf_values": [{str(k): v for k, v in lv.items()} for lv in self.leaf_values],
-                "history": self.history, "features_col": self.features_col, "n_trees": len(self.trees),
-                "feature_subsets": self.feature_subsets}
+        """Model folder: one JSON manifest with the flattened trees."""
         from pyspark.sql import SparkSession
         ss = SparkSession.getActiveSession()
-        ss.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
+        ss.createDataFrame([(json.dumps(asdict(self)),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/manifest")
 
     @classmethod
     def load(cls, path: str) -> "QuantileBoostingModel":
         from pyspark.sql import SparkSession
-        ss = SparkSession.getActiveSession()
-        meta = json.loads(ss.read.text(f"{path}/manifest").first()[0])
-        trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i:05d}") for i in range(meta["n_trees"])]
-        return cls(alpha=meta["alpha"], learning_rate=meta["learning_rate"], init=meta["init"], trees=trees,
-                   leaf_values=[{int(k): v for k, v in lv.items()} for lv in meta["leaf_values"]],
-                   history=[tuple(h) for h in meta["history"]], features_col=meta["features_col"],
-                   feature_subsets=meta.get("feature_subsets", []))
+        meta = json.loads(SparkSession.getActiveSession().read.text(f"{path}/manifest").first()[0])
+        meta["history"] = [tuple(h) for h in meta["history"]]
+        return cls(**meta)
 
 
 def _weighted_leaf_quantile(train: DataFrame, alpha: float, weight: str, bins: int = 200) -> dict[int, float]:
@@ -216,11 +240,10 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
             values = _weighted_leaf_quantile(leafed.where(~F.col("_val")), alpha, weight_col)
         else:
             values = {int(r["_leaf"]): r["v"] for r in stats if not r["_val"]}
-        model.trees.append(tree)
-        model.leaf_values.append(values)
+        model.trees.append(flatten_tree(tree, values, subset))
         model.feature_subsets.append(subset)
-        nxt = model.contribution(cur, m)
-        nxt = nxt.withColumn("_f", F.col("_f") + F.col("_contrib")).drop("_contrib")
+        step = F.coalesce(F.element_at(_map_literal(values), F.col("_leaf")), F.lit(0.0))
+        nxt = leafed.select(*base_cols, "_val", "_h", (F.col("_f") + F.lit(learning_rate) * step).alias("_f"))
         if checkpoint_every and (m + 1) % checkpoint_every == 0:
             nxt = cut_lineage(nxt)
         else:
@@ -234,6 +257,5 @@ def fit_quantile_boosting(df: DataFrame, label: str = "label", features: str = "
     cur.unpersist()
     if patience is not None:
         model.trees = model.trees[:best_round]
-        model.leaf_values = model.leaf_values[:best_round]
         model.feature_subsets = model.feature_subsets[:best_round]
     return model

@@ -634,3 +634,32 @@ def q_prepared_test_table(spark, sf_dir):
     got = encode.apply_date_origins(got, io.load_spec(spark, root, "dates"), DATES)
     assert clean.column_difference(got, shape) == ["id_season", "image"]
     return got.select(*order, first)
+
+
+# --- ensembles of trained models -----------------------------------------------------
+
+
+@query("ensemble_trained")
+def q_ensemble_trained(spark, sf_dir):
+    """Mean of three trained models: each forecast is written, read back and joined by product (M9 on files)."""
+    frame = materialise(model_frame(spark, sf_dir, embedding=False), "model-frame")
+    booster = boosting.fit_quantile_boosting(frame, alpha=0.65, n_rounds=8, max_depth=4, validation_col="is_val", patience=None)
+    squared = mllib.fit_gbt_squared(frame, max_iter=10, max_depth=4, step_size=0.1, validation_col="is_val")
+    deep = boosting.fit_quantile_boosting(frame, alpha=0.5, n_rounds=6, max_depth=6, validation_col="is_val", patience=None)
+    forecasts = {"band": booster.transform(frame).select("ID", F.col("prediction").alias("Production")),
+                 "squared": mllib.score(squared, frame),
+                 "median": deep.transform(frame).select("ID", F.col("prediction").alias("Production"))}
+    stored = {n: io.read_forecasts(spark, io.write_delimited(f.select("ID", "Production"), io.scratch_path(spark, f"forecast-{n}"), sep=","))
+              for n, f in forecasts.items()}
+    wide = blend.join_forecasts(stored)
+    return wide.join(blend.mean_forecast(wide, [f"Production_{n}" for n in stored]), "ID")
+
+
+@query("blend_booster_knn")
+def q_blend_booster_knn(spark, sf_dir):
+    """The alpha grid between a trained booster and the kNN forecast, chosen on hold-out products."""
+    frame = materialise(model_frame(spark, sf_dir, embedding=False), "model-frame")
+    model = boosting.fit_quantile_boosting(frame, alpha=0.65, n_rounds=8, max_depth=4, validation_col="is_val", patience=None)
+    booster = model.transform(frame).select(F.col("ID").alias("query_id"), "label", "is_val", F.col("prediction").alias("booster"))
+    both = booster.join(knn_forecast(spark, sf_dir), "query_id")
+    return blend.blend_grid(both.where("is_val"), "booster", "knn_pred", "label")

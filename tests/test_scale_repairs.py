@@ -89,3 +89,18 @@ def test_weighted_validation_loss_uses_the_weights(spark):
     want = sum(r.w * loss(r.label, weighted.init) for r in rows) / sum(r.w for r in rows)
     assert math.isclose(weighted.history[0][2], want, rel_tol=1e-9)
     assert not math.isclose(plain.history[0][2], want, rel_tol=1e-6)
+
+
+def test_trained_ensemble_is_the_mean_of_its_files(spark):
+    rows = q.q_ensemble_trained(spark, SF).collect()
+    assert len(rows) == q.products(spark, SF).count()
+    assert all(math.isclose(r.Production, (r.Production_band + r.Production_squared + r.Production_median) / 3, abs_tol=1e-5) for r in rows)
+
+
+def test_long_model_scores_in_one_projection(spark):
+    model = boosting.fit_quantile_boosting(_frame(spark, 2), alpha=0.8, n_rounds=2, max_depth=3, validation_col="is_val", patience=None)
+    model.trees = model.trees * 100
+    out = model.transform(_frame(spark, 2))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    step = [r.prediction for r in out.limit(3).collect()]
+    assert len(step) == 3
