@@ -65,3 +65,57 @@ kept AS (SELECT conv_id, n_copies, n_turns FROM whole WHERE prefix NOT IN (SELEC
 SELECT conv_id, pos // 256 AS part, n_turns, n_copies, string_agg(piece, '' ORDER BY pos) AS rendered
 FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, pos // 256, n_turns, n_copies
 """
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in (
+    "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service",
+    "all rights reserved", "work is licensed under", "sign in to", "subscribe to our"))
+_COUNT = "(length(line) - length(regexp_replace(line, '{0}', '', 'g')))"
+
+ORACLE["op6_line_quality"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM d),
+said AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+grams AS (SELECT r, i, word || chr(1) || lead(word) OVER t || chr(1) || lead(word, 2) OVER t AS gram FROM said WINDOW t AS (PARTITION BY r ORDER BY i)),
+hits AS (SELECT r, i FROM grams WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM hits, range(3) o(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+judged AS (
+  SELECT r, line, strlen(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS ink, len(regexp_extract_all(line, '{_WORD}')) AS n,
+         regexp_extract(line, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+         {_COUNT.format('!')} AS shouts, {_COUNT.format('[|>]')} AS bars, {_COUNT.format('[#*$%&|<>]')} AS symbols, ({_PHRASES}) AS phrase
+  FROM lines WHERE regexp_matches(line, '{_WORD}')),
+failed AS (
+  SELECT r, line, ink, (NOT (last IN ('.', '!', '?', ':', ';', '"', '''', ')', ']', '}}') OR unicode(last) >= 128) AND n < 8)
+         OR shouts > 0.3 * n OR (bars >= 2 AND bars > 0.2 * n) OR symbols > 0.1 * ink OR phrase AS fails FROM judged),
+by_doc AS (SELECT r, count(*) - count(DISTINCT line) AS dup, count_if(fails) AS removed,
+                  sum(CASE WHEN fails THEN ink ELSE 0 END)::DOUBLE / sum(ink)::DOUBLE AS lost FROM failed GROUP BY r),
+figures AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_lines_removed, coalesce(lost, 0.0) AS lost
+  FROM d JOIN words USING (r) LEFT JOIN by_doc USING (r) LEFT JOIN covered USING (r))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.4 AS kept
+FROM figures
+"""
+
+ORACLE["op2_lsh_forest_join"] = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+sets AS MATERIALIZED (SELECT r, doc_id, len(g) AS n, md5(array_to_string(g, chr(10))) AS id FROM s),
+texts AS MATERIALIZED (SELECT id, min(doc_id) AS least, min(r) AS one, any_value(n) AS n, count(*) AS copies FROM sets WHERE n > 0 GROUP BY id),
+e AS MATERIALIZED (SELECT id, unnest(g) AS gram FROM texts JOIN s ON s.r = texts.one),
+common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT x, y FROM common JOIN texts a ON a.id = x JOIN texts b ON b.id = y WHERE 9 * c >= 4 * (a.n + b.n)),
+links AS MATERIALIZED (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(id, other) AS (SELECT id, id FROM texts UNION SELECT reach.id, links.y FROM reach JOIN links ON links.x = reach.other),
+classes AS (SELECT reach.id, min(least) AS class_id FROM reach JOIN texts ON texts.id = reach.other GROUP BY 1),
+counted AS (SELECT x AS id, sum(copies) AS links, count(*) AS n_texts FROM links JOIN texts ON texts.id = y GROUP BY 1)
+SELECT doc_id, CASE WHEN sets.n > 0 THEN class_id ELSE doc_id END AS class_id,
+       CASE WHEN sets.n > 0 THEN coalesce(links, 0) + copies - 1 ELSE 0 END::BIGINT AS n_links,
+       coalesce(n_texts, 0)::BIGINT AS n_text_links, coalesce(copies, 1)::BIGINT AS n_copies
+FROM sets LEFT JOIN texts USING (id) LEFT JOIN classes USING (id) LEFT JOIN counted USING (id)
+"""
