@@ -119,3 +119,19 @@ SELECT doc_id, CASE WHEN sets.n > 0 THEN class_id ELSE doc_id END AS class_id,
        coalesce(n_texts, 0)::BIGINT AS n_text_links, coalesce(copies, 1)::BIGINT AS n_copies
 FROM sets LEFT JOIN texts USING (id) LEFT JOIN classes USING (id) LEFT JOIN counted USING (id)
 """
+
+ORACLE["op5_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS MATERIALIZED (
+  SELECT r, p, md5_number(substr(x, 2 * p::BIGINT + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, strlen(x) // 2 - 199)) AS p FROM d)),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+marked AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS step FROM windows SEMI JOIN again USING (k)),
+runs AS (SELECT r, p, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+spans AS MATERIALIZED (SELECT r, run, min(p) AS lo, max(p) + 200 AS hi FROM runs GROUP BY r, run),
+cuts AS (SELECT r, lo AS stop, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS start FROM spans
+         UNION ALL SELECT d.r, strlen(x) // 2, coalesce(max(hi), 0) FROM d LEFT JOIN spans USING (r) GROUP BY d.r, x),
+kept AS (SELECT r, string_agg(substr(x, 2 * start::BIGINT + 1, 2 * (stop - start)::BIGINT), '' ORDER BY start) AS rest FROM cuts JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(hi - lo) AS n, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
