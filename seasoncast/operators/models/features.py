@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,17 @@ class PCAProjection:
             comps.append(F.aggregate(F.zip_with(centred, w, lambda a, b: a * b), F.lit(0.0),
                                      lambda acc, x: acc + x))
         return df.withColumn(self.output_col, F.array(*comps))
+
+    def spec(self, spark: SparkSession) -> DataFrame:
+        """The fitted projection as a table, a row per input dimension."""
+        rows = [(i, float(m), [float(x) for x in w]) for i, (m, w) in enumerate(zip(self.mean, self.components))]
+        return spark.createDataFrame(rows, "position int, mean double, loadings array<double>")
+
+    @classmethod
+    def from_spec(cls, spec: DataFrame, input_col: str = "embedding", output_col: str = "pca") -> "PCAProjection":
+        """A projection from its stored table (S5): one row per input dimension."""
+        rows = spec.orderBy("position").collect()
+        out = cls(len(rows[0]["loadings"]), input_col, output_col)
+        out.mean = np.array([r["mean"] for r in rows])
+        out.components = np.array([r["loadings"] for r in rows])
+        return out

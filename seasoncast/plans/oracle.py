@@ -409,3 +409,5 @@ ORACLE["prepared_test_table"] = (
   price, num_stores, CAST(has_plus_sizes AS INTEGER) AS has_plus_sizes,
   CAST(round(embedding[1], 3) AS DOUBLE) AS image_first
 FROM pt JOIN embeddings USING (vec_id) WHERE NOT is_train AND id_season = 1""")
+
+ORACLE["zscore_stored"] = ORACLE["zscore"]

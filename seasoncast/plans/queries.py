@@ -663,3 +663,31 @@ def q_blend_booster_knn(spark, sf_dir):
     booster = model.transform(frame).select(F.col("ID").alias("query_id"), "label", "is_val", F.col("prediction").alias("booster"))
     both = booster.join(knn_forecast(spark, sf_dir), "query_id")
     return blend.blend_grid(both.where("is_val"), "booster", "knn_pred", "label")
+
+
+# --- stored scaler and projection -------------------------------------------------------
+
+
+@query("zscore_stored")
+def q_zscore_stored(spark, sf_dir):
+    """Scaling by a stored spec (S4, S5 for the scaler)."""
+    pt = products(spark, sf_dir, materialize=True)
+    root = io.scratch_path(spark, "scaler")
+    io.save_spec(encode.fit_scaler(pt.where("is_train"), SCALED), root, "scaler")
+    return encode.apply_scaler(pt, io.load_spec(spark, root, "scaler"), SCALED, digits=6).select("ID", *SCALED)
+
+
+@query("pca_boost")
+def q_pca_boost(spark, sf_dir):
+    """Twelve components of the embedding plus the tabular columns in a quantile booster (E5, E6, M1);
+    the projection is stored and loaded between fit and use."""
+    frame = materialise(model_frame(spark, sf_dir, embedding=False).drop("features"), "pca-frame")
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
+    rows = frame.join(emb, "vec_id")
+    root = io.scratch_path(spark, "pca")
+    fitted = PCAProjection(k=12, input_col="emb", output_col="emb_pca").fit(rows.where("is_train"))
+    io.save_spec(fitted.spec(spark), root, "pca")
+    pca = PCAProjection.from_spec(io.load_spec(spark, root, "pca"), "emb", "emb_pca")
+    data = assemble(pca.transform(rows).drop("embedding"), TABULAR, "emb_pca", embedding_dim=12)
+    model = boosting.fit_quantile_boosting(data, alpha=0.8, n_rounds=8, max_depth=4, validation_col="is_val", patience=None)
+    return model.transform(data).select("ID", F.col("prediction").alias("Production"))

@@ -104,3 +104,13 @@ def test_long_model_scores_in_one_projection(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     step = [r.prediction for r in out.limit(3).collect()]
     assert len(step) == 3
+
+
+def test_projection_from_its_stored_table_is_the_same(spark):
+    from seasoncast.operators.models.features import PCAProjection
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    fitted = PCAProjection(k=3).fit(emb)
+    again = PCAProjection.from_spec(fitted.spec(spark))
+    a, b = ({r.vec_id: r.pca for r in p.transform(emb).collect()} for p in (fitted, again))
+    assert a == b
+    assert q.q_pca_boost(spark, SF).count() == q.products(spark, SF).count()
