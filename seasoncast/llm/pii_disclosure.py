@@ -169,15 +169,16 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, rules: DisclosureRules,
 
 
 def _with_hints(docs: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``docs`` with ``hints``: the disclosing (entity, term, share) of each document that has some."""
+    """``docs`` and a last column: the disclosing (entity, term, share) of each document that has some."""
     found = materialise(contexts(docs, rules), "contexts")
     terms = disclosing_terms(docs, found, rules)
     kind = "array<struct<entity:bigint,term:bigint,share:double>>"
     if terms is None:
-        return docs.withColumn("hints", F.lit(None).cast(kind))
+        return docs.select("*", F.lit(None).cast(kind).alias("__hints"))
     hints = materialise(found.join(terms, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"))
                         .agg(F.collect_set(F.struct("entity", "term", "share")).alias("hints")), "hints")
-    return docs.join(hints, docs["doc_id"].eqNullSafe(hints["_id"]), "left").drop("_id")
+    whole = docs.select(F.struct("*").alias("row"))  # keeps columns of any name apart from those joined
+    return whole.join(hints, F.col("row.doc_id").eqNullSafe(F.col("_id")), "left").select("row.*", F.col("hints").alias("__hints"))
 
 
 def method_spans(text: str, base: list, hints: list, rules: DisclosureRules) -> list:

@@ -78,6 +78,6 @@ def test_tables_and_extra_columns(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in plain(r.text)).encode()).hexdigest()
     none = spark.createDataFrame([], "doc_id long, text string, hints string")
     assert pii_report(none).count() == 0 and sanitise_documents(none.drop("hints")).count() == 0
-    odd = spark.createDataFrame([(1, "mail x@y.zz now", 4, "k")], "doc_id long, text string, n_chars int, entity string")
-    assert [tuple(r) for r in sanitise_documents(odd).collect()] == [(1, "mail [EMAIL] now", 16, "k")]
+    odd = spark.createDataFrame([(1, "mail x@y.zz now", 4, "k", "h", "i")], "doc_id long, text string, n_chars int, entity string, hints string, _id string")
+    assert [tuple(r) for r in sanitise_documents(odd).collect()] == [(1, "mail [EMAIL] now", 16, "k", "h", "i")]
     assert DisclosureRules().window == 10
