@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 __all__ = [
-    "col_of", "parse_vector", "rgb_channel", "parse_rgb", "parse_date", "DATE_FORMATS",
+    "col_of", "parse_vector", "rgb_channel", "parse_rgb", "parse_date", "date_column", "DATE_FORMATS",
     "bool_to_int", "fill_category", "season_key", "season_parts", "to_float32",
 ]
 
@@ -36,14 +37,19 @@ def parse_rgb(c) -> list[Column]:
 
 
 def parse_date(c, formats=DATE_FORMATS) -> Column:
-    """String -> date trying each fixed format; bad -> null.
-
-    Date-typed input passes through unchanged.
-    """
+    """String -> date trying each fixed format; bad -> null."""
     s = col_of(c)
     return F.coalesce(*[F.try_to_date(s.cast("string"), f) for f in formats])
 
 
+def date_column(df: DataFrame, c: str) -> Column:
+    """A date from a column of any type: dates pass unchanged, timestamps are cut, texts are parsed."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.DateType):
+        return F.col(c)
+    return F.col(c).cast("date") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else parse_date(c)
+
+
 def bool_to_int(c) -> Column:
     return col_of(c).cast("int")
 

@@ -3,8 +3,8 @@
 A fitted spec is an ordinary DataFrame in long form ``(column, key, value)``
 or ``(column, value, code)``; it can be written with ``sources.io.save_spec``
 and applied by a join.  Joins against a spec use a broadcast only after the
-spec's row count has been checked against ``BROADCAST_ROWS``; larger specs
-fall back to a shuffle join (and AQE may still broadcast at runtime).
+bytes of that column's dictionary have been checked against ``BROADCAST_BYTES``;
+larger ones fall back to a salted shuffle join, column by column.
 """
 
 from __future__ import annotations
@@ -15,20 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasoncast.functions.measures import months_between_days, recency_weight, unzscore, zscore
-from seasoncast.functions.parse import fill_category, parse_date
+from seasoncast.functions.parse import date_column, fill_category
 from seasoncast.operators.joins import salted_left_join
 from seasoncast.session import cut_lineage, materialise
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 UNKNOWN = "UNKNOWN"  # fixed value: label given to unseen categories
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only when the (small, already aggregated) frame is proven small."""
-    small = df.count() <= max_rows
-    return (F.broadcast(df) if small else df), small
-
-
 # --- E7: hold-out split -----------------------------------------------------
 
 def holdout_flag(key: str = "ID", seed: int = 42, train_share_hex: str = "cccccccc") -> Column:
@@ -78,27 +72,26 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str], missing_token: str
 
 def apply_label_dictionary(df: DataFrame, spec: DataFrame, cols: Sequence[str],
                            policy: str = "append", missing_token: str = "nan",
-                           suffix: str = "", broadcast_rows: int = BROADCAST_ROWS, salt: int = 32) -> DataFrame:
+                           suffix: str = "", broadcast_bytes: int = BROADCAST_BYTES, salt: int = 32) -> DataFrame:
     """Replace categories by codes.
 
     Unseen values map to ``UNKNOWN``: its code if it is a class, otherwise
     ``N`` (appended last).  ``policy="clamp"`` then limits codes to ``N - 1``.
     The per-column sizes are one row per column and become literals.  A
-    dictionary over ``broadcast_rows`` rows is joined with a salted shuffle
-    join, so a category value holding a large share of the rows is spread
+    dictionary of over ``broadcast_bytes`` is joined with a salted shuffle join, so a category value holding a large share of the rows is spread
     over ``salt`` tasks.
     """
     spec = spec.where(F.col("column").isin(list(cols)))
-    sizes = {r["column"]: (r["n"], r["unk"]) for r in spec.groupBy("column").agg(
+    sizes = {r["column"]: (r["n"], r["unk"], r["bytes"]) for r in spec.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("value") == UNKNOWN, F.col("code"))).alias("unk")).collect()}
-    spec, small = bounded_broadcast(spec, broadcast_rows)
+        F.max(F.when(F.col("value") == UNKNOWN, F.col("code"))).alias("unk"),
+        F.sum(F.octet_length("value") + 16).alias("bytes")).collect()}
     out = df
     for c in cols:
-        n, unk = sizes.get(c, (0, None))
+        n, unk, size = sizes.get(c, (0, None, 0))
         d = spec.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        if small:
-            out = out.join(d, fill_category(c, missing_token) == F.col(f"_v_{c}"), "left")
+        if size <= broadcast_bytes:
+            out = out.join(F.broadcast(d), fill_category(c, missing_token) == F.col(f"_v_{c}"), "left")
         else:
             out = salted_left_join(out, d, fill_category(c, missing_token), f"_v_{c}", salt)
         code = F.coalesce(F.col(f"_c_{c}"), F.lit(unk if unk is not None else n))
@@ -112,7 +105,7 @@ def apply_label_dictionary(df: DataFrame, spec: DataFrame, cols: Sequence[str],
 
 def fit_date_origins(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Minimum parsed date per column (A12) -> spec ``(column, origin)``."""
-    wide = df.agg(*[F.min(parse_date(c)).alias(c) for c in cols])
+    wide = df.agg(*[F.min(date_column(df, c)).alias(c) for c in cols])
     return wide.unpivot([], list(cols), "column", "origin")
 
 
@@ -121,7 +114,7 @@ def apply_date_origins(df: DataFrame, spec: DataFrame, cols: Sequence[str]) -> D
 
     The spec has one row per column; its origins become literals."""
     origin = {r["column"]: r["origin"] for r in spec.collect()}
-    return df.withColumns({c: F.coalesce(F.datediff(parse_date(c), F.lit(origin[c])), F.lit(0)).cast("double")
+    return df.withColumns({c: F.coalesce(F.datediff(date_column(df, c), F.lit(origin[c])), F.lit(0)).cast("double")
                            for c in cols})
 
 
@@ -167,6 +160,6 @@ def recency_weights(df: DataFrame, date_col: str = "phase_out", as_of: str = "20
     """``exp(-lambda * months since date)`` with an explicit ``as_of`` date.
 
     ``digits`` rounds the weight (``exp`` may differ in the last bit between math libraries)."""
-    months = months_between_days(F.to_date(F.lit(as_of)), parse_date(date_col))
+    months = months_between_days(F.to_date(F.lit(as_of)), date_column(df, date_col))
     w = recency_weight(months, lam)
     return df.withColumn(out, F.round(w, digits) if digits is not None else w)

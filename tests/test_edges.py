@@ -175,5 +175,5 @@ def test_salted_dictionary_join_matches_broadcast(spark):
     df = spark.createDataFrame(rows, "k long, c string")
     spec = encode.fit_label_dictionary(df, ["c"])
     a = sorted(tuple(r) for r in encode.apply_label_dictionary(df, spec, ["c"]).collect())
-    b = sorted(tuple(r) for r in encode.apply_label_dictionary(df, spec, ["c"], broadcast_rows=0, salt=8).collect())
+    b = sorted(tuple(r) for r in encode.apply_label_dictionary(df, spec, ["c"], broadcast_bytes=0, salt=8).collect())
     assert a == b and len(b) == 600
