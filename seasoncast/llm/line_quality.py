@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seasoncast.llm.textvec import Piece, pieces, rolling
+from seasoncast.llm.textvec import Piece, pieces, rolling, small
 
 # Phrases that mark a line as boilerplate, lower case.
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service",
@@ -148,7 +148,7 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for piece in pieces(batch.column(at)):
                 got, lines = judge_piece(piece, rules)
                 keep = pa.array(got["kept"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasoncast.llm.textvec import pieces
+from seasoncast.llm.textvec import pieces, small
 from seasoncast.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -107,7 +107,7 @@ def _nearby(text: str, spans: list, window: int):
 def contexts(docs: DataFrame, rules: DisclosureRules) -> DataFrame:
     """``(doc_id, entity, term)``, once a document row; a null term stands for the entity itself."""
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text and (spans := base_spans(text)):
@@ -204,7 +204,7 @@ def pii_report(docs: DataFrame, rules: DisclosureRules = DisclosureRules()) -> D
     rows are returned like others and count as documents; empty table: no rows.
     """
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = {"n_" + k: [] for k in KINDS} | {"base_sha256": [], "spans": [], "n_terms": []}
             for text, hints in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 base = base_spans(text) if text else []
@@ -243,7 +243,7 @@ def sanitise_documents(docs: DataFrame, rules: DisclosureRules = DisclosureRules
     at, hint = names.index("text"), len(names)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, counts = [], batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
             for i, (text, hints) in enumerate(zip(batch.column(at).to_pylist(), batch.column(hint).to_pylist())):
                 if text and (base := base_spans(text)):

@@ -147,6 +147,13 @@ def pieces(column: pa.Array, size: int = PIECE, fold: bool | str = False):
         first = last
 
 
+def small(batches, rows: int = 1000):
+    """The same rows in batches of ``rows`` at most, so Python objects of few texts are alive at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rolling(hashes: np.ndarray, doc: np.ndarray, width: int):
     """Hash of every run of ``width`` words within one text: ``(position of its first word, hash)``."""
     n = len(hashes) - width + 1
