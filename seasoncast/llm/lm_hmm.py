@@ -3,8 +3,10 @@
 Token counts come from all training documents.  The most frequent tokens are
 symbols of the model, all others share one rare symbol inside which a token has
 its smoothed share of the rare counts.  Baum-Welch rounds add up expected
-counts in every task, sum them over the partitions and re-estimate; the scaled
-forward recursion then gives the exact likelihood of every text.
+counts in every task, sum them over the partitions and re-estimate until the
+likelihood has converged: first on a share of the training documents, which
+gives the start, then on all of them.  The scaled forward recursion then gives
+the exact likelihood of every text.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ class HmmRules:
     """Production settings; ``head`` and ``symbols`` bound what is broadcast."""
 
     states: int = 8
-    rounds: int = 3
+    gain: float = 1e-4        # rounds end when one gains less than this share of the log-likelihood
+    rounds: int | None = None  # a fixed number of rounds on all documents instead, for trials
+    start_tokens: int = 4_000_000  # training tokens, about, on which the start of the rounds is found
     symbols: int = 8191       # most frequent tokens with emissions of their own
     head: int = 1 << 18       # most frequent tokens whose counts every task holds; the rest is joined
-    batch_tokens: int = 150_000
+    batch_tokens: int = 300_000
+    held_tokens: int = 3_000_000  # tokens of a task sorted by length at once
     seed: int = 8
 
 
@@ -162,44 +167,44 @@ class Hmm:
         """Scaled forward recursion over rows sorted by falling length; ``alive[t]`` rows reach step t.
 
         Returns the natural log-likelihoods, and with ``keep`` the scaled
-        forward probabilities and the scales.
+        forward probabilities (step, state, row) and the scales.
         """
         n, steps = rows.shape
-        log, a = np.zeros(n), None
-        alphas = np.zeros((steps, n, len(self.start))) if keep else None
-        scales = np.ones((steps, n)) if keep else None
+        seen, emit, move = np.ascontiguousarray(rows.T), np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
+        alphas = np.empty((steps, len(emit), n)) if keep else None
+        scales, a = np.ones((steps, n)), None
         for t in range(steps):
             k = alive[t]
-            a = (self.start[None, :] if a is None else a[:k] @ self.move) * self.emit[rows[:k, t]]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            log[:k] += np.log(scale)
+            a = np.repeat(self.start[:, None], k, axis=1) if a is None else move @ a[:, :k]
+            a *= emit.take(seen[t, :k], axis=1)
+            a /= np.add.reduce(a, axis=0, out=scales[t, :k])
             if keep:
-                alphas[t, :k], scales[t, :k] = a, scale
-        return log, alphas, scales
+                alphas[t, :, :k] = a
+        return np.log(scales).sum(axis=0), alphas, scales
 
     def expect(self, rows: np.ndarray, alive: np.ndarray, counts: np.ndarray) -> float:
         """Add the expected counts of some sequences to ``counts``; returns their log-likelihood."""
-        log, gamma, scales = self.forward(rows, alive, keep=True)
-        n = len(self.start)
-        back = None
-        for t in range(rows.shape[1] - 1, -1, -1):
-            k = alive[t]
-            if t + 1 < rows.shape[1] and alive[t + 1]:
-                m = alive[t + 1]
-                ahead = self.emit[rows[:m, t + 1]] * back[:m] / scales[t + 1, :m, None]
-                counts[1:n + 1] += self.move * (gamma[t, :m].T @ ahead)
-                now = np.ones((k, n))
-                now[:m] = ahead @ self.move.T
-            else:
-                now = np.ones((k, n))
-            gamma[t, :k] *= now  # its forward value is used up by now
+        log, alphas, scales = self.forward(rows, alive, keep=True)
+        n, steps = len(self.start), rows.shape[1]
+        seen, emit = np.ascontiguousarray(rows.T), np.ascontiguousarray(self.emit.T)
+        used = np.concatenate([seen[t, :alive[t]] for t in range(steps)])
+        cuts = np.append(0, np.cumsum(alive))
+        gamma, moves, back = np.empty((n, len(used))), np.zeros((n, n)), None
+        for t in range(steps - 1, -1, -1):
+            k, m = alive[t], alive[t + 1] if t + 1 < steps else 0
+            now = np.ones((n, k))
+            if m:
+                ahead = emit.take(seen[t + 1, :m], axis=1)
+                ahead *= back
+                ahead /= scales[t + 1, :m]
+                moves += alphas[t, :, :m] @ ahead.T
+                now[:, :m] = self.move @ ahead
+            np.multiply(alphas[t, :, :k], now, out=gamma[:, cuts[t]:cuts[t + 1]])
             back = now
-        counts[0] += gamma[0, :alive[0]].sum(axis=0)
-        used = np.concatenate([rows[:alive[t], t] for t in range(rows.shape[1])])
-        held = np.concatenate([gamma[t, :alive[t]] for t in range(rows.shape[1])])
+        counts[0] += gamma[:, :alive[0]].sum(axis=1)
+        counts[1:n + 1] += self.move * moves
         for s in range(n):
-            counts[n + 1:, s] += np.bincount(used, held[:, s], minlength=len(counts) - n - 1)
+            counts[n + 1:, s] += np.bincount(used, gamma[s], minlength=len(counts) - n - 1)
         return float(log.sum())
 
 
@@ -219,35 +224,77 @@ def sequences(column, most: int):
         at += len(pick)
 
 
-def baum_welch(encoded: DataFrame, vocab: Vocabulary, rules: HmmRules) -> tuple[Hmm, list]:
-    """Fit on all rows that are not held out; returns the model and the log-likelihood before each round.
+def _together(batches, column: int, most: int):
+    """Batches joined until they hold about ``most`` tokens: ``(batch, its symbols)``; few long texts then share their steps with others."""
+    held, tokens = [], 0
+    for batch in batches:
+        held.append(batch)
+        tokens += batch.column(column).nbytes // 2
+        if tokens >= most:
+            yield (whole := pa.concat_batches(held)), whole.column(column)
+            held, tokens = [], 0
+    if held:
+        yield (whole := pa.concat_batches(held)), whole.column(column)
+
+
+def expected_counts(training: DataFrame, model: Hmm, size: int, rules: HmmRules) -> tuple[np.ndarray, float]:
+    """Expected counts of the rows of ``training`` under ``model``, and their log-likelihood.
 
     A task emits one row for each symbol and state of the model, whatever it
     has read; sums over the partitions are Spark's.
     """
-    spark, model, likelihoods = encoded.sparkSession, Hmm.initial(vocab, rules), []
-    size, names = vocab.n_symbols + 2 + rules.states, [f"s{s}" for s in range(rules.states)]
-    training = encoded.where("not held_out").select("symbols")
-    for _ in range(rules.rounds):
-        held = spark.sparkContext.broadcast(model)
-
-        def run(batches, held=held):
-            counts, log, read = np.zeros((size, rules.states)), 0.0, 0
-            for batch in batches:
-                read += batch.num_rows
-                for _, rows, alive in sequences(batch.column(0), rules.batch_tokens):
-                    log += held.value.expect(rows, alive, counts)
-            if read:
-                full = np.concatenate([counts, np.array([[log] + [0.0] * (rules.states - 1)])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), *map(pa.array, np.ascontiguousarray(full.T))], ["row", *names])
-
-        sums = (training.mapInArrow(run, "row long, " + ", ".join(n + " double" for n in names))
-                .groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow())
-        held.unpersist()
-        counts = np.zeros((size + 1, rules.states))
-        counts[sums["row"].to_numpy()] = np.stack([sums[n].to_numpy() for n in names], axis=1)
-        likelihoods.append(float(counts[size, 0]))
-        model = Hmm.estimated(counts[:size])
+    held, names = training.sparkSession.sparkContext.broadcast(model), [f"s{s}" for s in range(rules.states)]
+
+    def run(batches):
+        counts, log, read = np.zeros((size, rules.states)), 0.0, 0
+        for batch, symbols in _together(batches, 0, rules.held_tokens):
+            read += batch.num_rows
+            for _, rows, alive in sequences(symbols, rules.batch_tokens):
+                log += held.value.expect(rows, alive, counts)
+        if read:
+            full = np.concatenate([counts, np.array([[log] + [0.0] * (rules.states - 1)])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), *map(pa.array, np.ascontiguousarray(full.T))], ["row", *names])
+
+    sums = (training.mapInArrow(run, "row long, " + ", ".join(n + " double" for n in names))
+            .groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow())
+    held.unpersist()
+    counts = np.zeros((size + 1, rules.states))
+    counts[sums["row"].to_numpy()] = np.stack([sums[n].to_numpy() for n in names], axis=1)
+    return counts[:size], float(counts[size, 0])
+
+
+def converged(likelihoods: list, gain: float) -> bool:
+    """Whether the last round gained at most the share ``gain``, and no more than the one before.
+
+    From a random start the likelihood leaps, then rises slowly and ever faster
+    as the states come apart; a leap before or a growing gain is thus no end.
+    """
+    if len(likelihoods) < 3:
+        return False
+    (before, last), least = np.diff(likelihoods[-3:]), gain * abs(likelihoods[-1])
+    return last <= least and last <= max(before, 0) and before <= 10 * least
+
+
+def baum_welch(encoded: DataFrame, vocab: Vocabulary, rules: HmmRules) -> tuple[Hmm, list]:
+    """Fit on all rows that are not held out; returns the model and the log-likelihood before each round over all of them.
+
+    Rounds go on until they have converged.  Unless the table is small, they
+    start from the model that has converged on a share of the documents (by
+    the hash of the row), so that few rounds over all of them are left.
+    """
+    model, size = Hmm.initial(vocab, rules), vocab.n_symbols + 2 + rules.states
+    training = encoded.where("not held_out")
+    parts = max(1, vocab.total // rules.start_tokens)
+    tables = [training.select("symbols")]
+    if rules.rounds is None and parts > 1:
+        tables.insert(0, materialise(training.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == 0).select("symbols"), "start"))
+    for table in tables:
+        likelihoods = []
+        while not converged(likelihoods, rules.gain) if rules.rounds is None else len(likelihoods) < rules.rounds:
+            counts, log = expected_counts(table, model, size, rules)
+            likelihoods.append(log)
+            if log:  # a share without rows leaves the random start
+                model = Hmm.estimated(counts)
     return model, likelihoods
 
 
@@ -269,9 +316,9 @@ def score_documents(docs: DataFrame, rules: HmmRules = HmmRules()) -> DataFrame:
     fitted = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch, symbols in _together(batches, 1, rules.held_tokens):
             log = np.zeros(batch.num_rows)
-            for pick, rows, alive in sequences(batch.column(1), rules.batch_tokens):
+            for pick, rows, alive in sequences(symbols, rules.batch_tokens):
                 log[pick] = fitted.value.forward(rows, alive)[0] / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log)], ["key", "hmm"])
 

@@ -71,3 +71,19 @@ def test_likelihood_grows_and_empty_tables(spark):
     assert score_documents(none, SMALL).count() == 0
     out = score_documents(spark.createDataFrame([(None, "all held out")], "doc_id long, text string"), SMALL).collect()
     assert out[0].n_known == 0 and out[0].train_tokens == 0 and abs(out[0].base_score) < 1e-9
+
+
+def test_rounds_end_only_when_converged(spark):
+    docs = lm_hmm.marked(spark.read.parquet(f"{SF}/documents.parquet"))
+    rules = HmmRules(states=2, symbols=50, head=400, gain=5e-4)
+    vocab = lm_hmm.vocabulary(lm_hmm.token_counts(docs.where("not held_out")), rules)
+    enc = lm_hmm.materialise(lm_hmm.encode(docs, spark.sparkContext.broadcast(vocab)), "test-encoded")
+    _, log = lm_hmm.baum_welch(enc, vocab, rules)
+    assert len(log) > 3 and log[-1] - log[-2] <= 5e-4 * -log[-1] and log[-1] > log[2]
+    quick = HmmRules(states=2, symbols=50, head=400, gain=5e-4, start_tokens=vocab.total // 3)
+    _, warm = lm_hmm.baum_welch(enc, vocab, quick)  # a start from a third; the last rounds are still over all rows
+    assert warm[-1] - warm[-2] <= 5e-4 * -warm[-1] and warm[-1] > log[2] and warm[0] > log[1]
+    assert HmmRules().rounds is None
+    steps = [.095, .0013, .0014, .0016, .002, .03, .02, .004, .0005]
+    log = list(-5.6 + np.cumsum([0, *steps]))
+    assert [n for n in range(len(log) + 1) if lm_hmm.converged(log[:n], 5e-4)] == [len(log)]
