@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seasoncast.llm.edit_decontam import decontaminate
+from seasoncast.llm.edit_decontam import WHOLE, decontaminate
 from seasoncast.llm.line_quality import clean_documents
 from seasoncast.llm.lsh_forest_join import one_of_each
 from seasoncast.llm.pii_disclosure import sanitise_documents
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), WHOLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

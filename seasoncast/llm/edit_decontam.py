@@ -6,7 +6,8 @@ its length, so that a small edit distance becomes a small Hamming distance;
 sampled positions of the walk are LSH keys, and samplings are repeated until
 items with as many random edits as allowed are found again at the target
 recall.  Windows that share a key with an item are verified by the exact edit
-distance.
+distance: with ``any_length`` to the nearest run of words that begins with the
+window and ends anywhere, up to the allowed edits beyond it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ PAD, OTHER = 0, 1  # past the end of a window; a word that no item has
 
 @dataclass(frozen=True)
 class EditRules:
-    """Production settings; ``max_edits`` is a share of an item's words (edit similarity 0.8 or more)."""
+    """``max_edits`` is a share of an item's words (edit similarity 0.8 or more); ``WHOLE`` are the production settings."""
 
     max_edits: float = 0.2
     min_words: int = 5        # shorter items say too little to convict a document
@@ -34,6 +35,10 @@ class EditRules:
     sample: int = 2           # positions of the walk in a key
     max_keys: int = 40        # keys a walk at most
     seed: int = 20
+    any_length: bool = False  # compare with runs of words of any length, not with windows of the item's length only
+
+
+WHOLE = EditRules(any_length=True)
 
 
 def _embed(symbols: np.ndarray, bits: np.ndarray, upto: int) -> np.ndarray:
@@ -48,15 +53,26 @@ def _embed(symbols: np.ndarray, bits: np.ndarray, upto: int) -> np.ndarray:
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of row pairs; rows of ``b`` end at ``b_len``."""
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of the rows of ``a`` to every beginning of those of ``b``."""
     n, steps = a.shape[1], np.arange(b.shape[1] + 1)
     row = np.broadcast_to(steps, (len(a), len(steps))).copy()
     for i in range(n):
         change = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i:i + 1] != b))
         row = np.concatenate([np.full((len(a), 1), i + 1), change], axis=1) - steps
         row = np.minimum.accumulate(row, axis=1) + steps
-    return row[np.arange(len(a)), b_len]
+    return row
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of row pairs; rows of ``b`` end at ``b_len``."""
+    return _distances(a, b)[np.arange(len(a)), b_len]
+
+
+def nearest_end(a: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Least Levenshtein distance of the rows of ``a`` to a beginning of those of ``b``, up to ``b_len``."""
+    row = _distances(a, b)
+    return np.where(np.arange(row.shape[1]) <= b_len[:, None], row, a.shape[1] + b.shape[1]).min(axis=1)
 
 
 class ItemIndex:
@@ -90,6 +106,10 @@ class ItemIndex:
     def allowed(self, size: int) -> int:
         return int(self.rules.max_edits * size + 1e-9)
 
+    def width(self, size: int) -> int:
+        """Words after the start of a window that an item of ``size`` words may match."""
+        return size + (self.allowed(size) if self.rules.any_length else 0)
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
             return np.full(len(hashes), OTHER, np.int32)
@@ -143,9 +163,10 @@ class ItemIndex:
     def _within_reach(self, symbols: np.ndarray, doc: np.ndarray, last: np.ndarray):
         """For each item size the starts of windows that may be within the allowed edits.
 
-        An edit spoils k runs of k words at most, so a window within reach of an
-        item holds all but k * edits of its runs, for every k; the three-word
-        runs are counted by their different ones.
+        An edit spoils k runs of k words at most, so a run of words within reach
+        of an item holds all but k * edits of its runs, for every k; the
+        three-word runs are counted by their different ones.  Counted are all
+        in the ``width`` words that may match.
         """
         counts = []
         for k, known in enumerate(self.grams, 1):
@@ -159,7 +180,7 @@ class ItemIndex:
             counts.append(np.cumsum(hit))
         need = {size: [size - allowed, size - 1 - 2 * allowed, int(self._triples(items).min()) - 1 - 3 * allowed]
                 for size, (_, items, *_) in self.by_size.items() for allowed in [self.allowed(size)]}
-        widest, least = max(need), [min(n[k] for n in need.values()) for k in range(3)]
+        widest, least = max(self.width(size) for size in need), [min(n[k] for n in need.values()) for k in range(3)]
         everywhere = np.arange(len(symbols))
 
         def held(at, size, k):
@@ -170,18 +191,19 @@ class ItemIndex:
         for size, floors in need.items():
             at = base
             for k in (2, 1, 0):
-                at = at[held(at, size, k) >= floors[k]]
+                at = at[held(at, self.width(size), k) >= floors[k]]
             yield size, at
 
     def windows(self, symbols: np.ndarray, doc: np.ndarray):
-        """``(size, windows, lengths, documents)`` within reach of some item; short windows are padded."""
+        """``(size, windows, lengths, documents)`` within reach of some item, ``width`` words each; short windows are padded."""
         if not len(symbols) or not self.by_size:
             return
         last = np.searchsorted(doc, doc, side="right")  # end of each word's document
         for size, starts in self._within_reach(symbols, doc, last):
             if len(starts):
-                stop = np.minimum(starts + size, last[starts])
-                at = starts[:, None] + np.arange(size)
+                width = self.width(size)
+                stop = np.minimum(starts + width, last[starts])
+                at = starts[:, None] + np.arange(width)
                 yield size, np.where(at < stop[:, None], symbols[np.minimum(at, len(symbols) - 1)], PAD), stop - starts, doc[starts]
 
     def search(self, windows: list) -> list:
@@ -220,7 +242,7 @@ class ItemIndex:
         first, which = first[rich], np.where(rich, np.cumsum(rich) - 1, -1)[which]
         windows, length = windows[first], length[first]
         pairs = []
-        for own, keys in zip(self._keys(size, items, n_keys), self._keys(size, windows, n_keys)):
+        for own, keys in zip(self._keys(size, items, n_keys), self._keys(size, np.ascontiguousarray(windows[:, :size]), n_keys)):
             order = np.argsort(own, kind="stable")
             low, high = (np.searchsorted(own[order], keys, side=s) for s in ("left", "right"))
             hit = np.flatnonzero(high > low)
@@ -232,7 +254,7 @@ class ItemIndex:
         matched = []
         for part in np.array_split(pair := np.unique(np.concatenate(pairs)), len(pair) // 8192 + 1):
             w, i = part // len(ids), part % len(ids)
-            distance = edit_distance(items[i], windows[w], length[w])
+            distance = (nearest_end if self.rules.any_length else edit_distance)(items[i], windows[w], length[w])
             near = np.flatnonzero(distance <= allowed)
             matched += zip(w[near].tolist(), ids[i[near]].tolist(), distance[near].tolist())
         if matched:
@@ -276,7 +298,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: EditRules = EditRules())
 
     Words are compared folded (Latin-1 case and ASCII punctuation do not count).  A
     match is a window as long as the item - shorter only at a text's end -
-    within ``max_edits`` word edits.  Null and empty texts or items match
+    within ``max_edits`` word edits; with ``any_length`` (``WHOLE``) a run of
+    words of any length within them, as when words are only put in or left out.  Null and empty texts or items match
     nothing, items of under ``min_words`` words are left out; repeated rows of
     ``docs`` are reported each; extra columns are ignored.
     """

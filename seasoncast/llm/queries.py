@@ -38,7 +38,7 @@ def op6(spark, sf_dir):
 
 @query("op10_edit_decontam")
 def op10(spark, sf_dir):
-    return edit_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return edit_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edit_decontam.WHOLE)
 
 
 @query("op7_pii_disclosure")

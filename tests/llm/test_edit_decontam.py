@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from seasoncast.llm.edit_decontam import EditRules, decontaminate, edit_distance, leaks
+from seasoncast.llm.edit_decontam import WHOLE, EditRules, decontaminate, edit_distance, leaks, nearest_end
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,45 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g", "x")], "doc_id long, text string, item_id string")
     assert leaks(none, bench).count() == leaks(some, bench).count() == 0
     assert decontaminate(some, bench).collect() == some.collect()
+
+
+def plain_whole(doc, item):
+    """Least distance of the item to any run of words of the document: Sellers' programme, free at both ends."""
+    row = [0] * (len(doc) + 1)
+    for i, x in enumerate(item, 1):
+        old, row[0] = row[:], i
+        for j, y in enumerate(doc, 1):
+            row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+    return min(row)
+
+
+def test_nearest_end_is_exact():
+    rng = np.random.default_rng(2)
+    a, b, n = rng.integers(2, 6, (300, 9)), rng.integers(2, 6, (300, 12)), rng.integers(4, 13, 300)
+    want = [min(plain_distance(x.tolist(), y[:j].tolist()) for j in range(k + 1)) for x, y, k in zip(a, b, n)]
+    assert nearest_end(a, b, n).tolist() == want
+
+
+def test_items_with_words_put_in_or_left_out(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(25)]
+    rows, planted = [], {}
+    for share in (0.1, 0.15, 0.2):
+        for kinds in ((0,), (1,), (0, 1, 2)):
+            for i, text in items:
+                words = text.split()
+                for n in range(int(share * 40)):
+                    at = rng.randrange(len(words))
+                    kind = rng.choice(kinds)
+                    words[at:at + (kind != 0)] = [[f"new{n}"], [], [f"new{n}"]][kind]
+                fill = [f"f{rng.randrange(5000)}" for _ in range(60)]
+                rows.append((len(rows), " ".join(fill[:30] + words + fill[30:])))
+                planted[rows[-1][0]] = (share, kinds, i)
+    want = {(d, i): best for d, t in rows for i, x in items if (best := plain_whole(t.split(), x.split())) <= 8}
+    assert all((d, i) in want for d, (_, _, i) in planted.items())
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in leaks(docs, bench, WHOLE).collect()}
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.995 * len(want)
+    assert {r.doc_id for r in decontaminate(docs, bench, WHOLE).collect()} == {d for d, _ in rows} - {d for d, _ in got}
+    assert len(leaks(docs, bench, EditRules()).collect()) < 0.8 * len(want)  # windows of the item's length miss them
