@@ -1,11 +1,12 @@
 r"""Personal data and the terms that give it away.
 
 Pattern matches (email, ip, card, phone) are the protected entities.  Corpus
-co-occurrence estimates how much a term near an entity discloses it: with
-document frequencies over all documents, PMI(term; entity) / IC(entity) is the
-share of the entity's information that the term reveals.  Terms above
+co-occurrence estimates how much a term in a text with an entity discloses it:
+with document frequencies over all documents, PMI(term; entity) / IC(entity) is
+the share of the entity's information that the term reveals.  In every text
+that holds the entity, wherever they stand in it, terms above
 ``remove_at`` are removed, those above ``generalise_at`` are replaced by their
-kind of word.  Entities that a large share of documents name are public and
+kind of word; texts without the entity keep them.  Entities that a large share of documents name are public and
 have no terms to hide.
 """
 
@@ -40,8 +41,9 @@ _DIGITS = re.compile(r"[^0-9]+")
 class DisclosureRules:
     """Production settings."""
 
+    whole_texts: bool = True     # terms of the whole text that holds an entity; otherwise those in its window
     window: int = 10             # words either side of an entity
-    min_documents: int = 3       # documents that must show a term near an entity
+    min_documents: int = 3       # documents that must show a term with an entity
     min_information: float = 4.0  # bits; entities in more than 1/16 of the documents are public
     generalise_at: float = 0.6
     remove_at: float = 0.85
@@ -87,8 +89,16 @@ def _entity(text: str, start: int, end: int, kind: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _nearby(text: str, spans: list, window: int):
-    """Yield ``(entity, [(term, start, end)])``: folded words near each span, outside all spans; code points."""
+def _entities(text: str, spans: list) -> dict:
+    """The spans of each entity of a text."""
+    out = {}
+    for s, e, kind in spans:
+        out.setdefault(_entity(text, s, e, kind), []).append((s, e))
+    return out
+
+
+def _nearby(text: str, spans: list, entities: dict, rules: DisclosureRules):
+    """``(terms, starts, ends, {entity: places})``: folded words outside all spans that may tell of each entity; code points."""
     (piece,) = pieces(pa.array([text], pa.large_string()), fold=True)
     start, end, _ = piece.words()
     hashes = piece.hasher(start, end).view(np.int64)
@@ -98,28 +108,86 @@ def _nearby(text: str, spans: list, window: int):
     free = end - start >= 3
     for s, e, _ in spans:
         free[np.searchsorted(end, s, side="right"):np.searchsorted(start, e, side="left")] = False
-    for s, e, kind in spans:
-        left, right = np.searchsorted(end, s, side="right"), np.searchsorted(start, e, side="left")
-        near = [k for k in (*range(max(0, left - window), left), *range(right, min(len(start), right + window))) if free[k]]
-        yield _entity(text, s, e, kind), [(int(hashes[k]), int(start[k]), int(end[k])) for k in near]
+    if rules.whole_texts:
+        near = dict.fromkeys(entities, np.flatnonzero(free))
+    else:
+        near = {}
+        for entity, own in entities.items():
+            close = np.zeros(len(start), bool)
+            for s, e in own:
+                left, right = np.searchsorted(end, s, side="right"), np.searchsorted(start, e, side="left")
+                close[max(0, left - rules.window):left] = close[right:right + rules.window] = True
+            near[entity] = np.flatnonzero(close & free)
+    return hashes, start, end, near
+
+
+def entity_rows(docs: DataFrame) -> DataFrame:
+    """``(entity, n)`` over the document rows that hold each entity, added up for each Arrow batch."""
+    def run(batches):
+        for batch in batches:
+            count = Counter()
+            for text in batch.column(0).to_pylist():
+                if text and (spans := base_spans(text)):
+                    count.update(_entities(text, spans).keys())
+            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], ["entity", "n"])
 
+    return docs.select("text").mapInArrow(lambda b: run(small(b)), "entity long, n long")
 
-def contexts(docs: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``(doc_id, entity, term)``, once a document row; a null term stands for the entity itself."""
-    def run(batches):
+
+def _marks(table: DataFrame, code, bitmap: int) -> np.ndarray:
+    """Bitmap of the low bits of ``code``, of fixed size whatever the table holds."""
+    marks = np.zeros(bitmap, bool)
+    marks[[r[0] for r in table.select(code.bitwiseAND(F.lit(bitmap - 1))).distinct().collect()]] = True
+    return marks
+
+
+def contexts(docs: DataFrame, rules: DisclosureRules, entity_marks: np.ndarray, pair_marks: np.ndarray | None = None) -> DataFrame:
+    """``(doc_id, entity, term, n)`` over the marked entities and the terms told with them, once a document row.
+
+    Without ``pair_marks`` doc_id is null and ``n`` counts the rows of many
+    documents; with it, the marked pairs of each document are returned.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((entity_marks, pair_marks))
+    names = ["doc_id", "entity", "term", "n"]
+
+    def pairs(batches):
+        wanted, chosen = held.value
         for batch in small(batches):
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and (spans := base_spans(text)):
-                    seen = set()
-                    for entity, terms in _nearby(text, spans, rules.window):
-                        seen |= {(entity, None)} | {(entity, t) for t, _, _ in terms}
-                    rows += [(i, e, t) for e, t in seen]
-            for cut in range(0, len(rows), 100_000):
-                cols = zip(*rows[cut:cut + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "entity", "term"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text or not (spans := base_spans(text)):
+                    continue
+                entities = {e: own for e, own in _entities(text, spans).items() if wanted[e & (len(wanted) - 1)]}
+                if entities:
+                    hashes, _, _, near = _nearby(text, spans, entities, rules)
+                    for entity, places in near.items():
+                        terms = np.unique(hashes[places])
+                        if chosen is not None:
+                            terms = terms[chosen[(terms ^ np.int64(entity)) & np.int64(len(chosen) - 1)]]
+                        if len(terms):
+                            yield doc, entity, terms
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, entity long, term long")
+    def run(batches):
+        def out(rows):
+            size = [len(t) for *_, t in rows]
+            doc = pa.array([d for d, *_ in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), size)))
+            entity, term = np.repeat([e for _, e, _ in rows], size), np.concatenate([t for *_, t in rows])
+            if held.value[1] is not None:
+                return pa.RecordBatch.from_arrays([doc, pa.array(entity), pa.array(term), pa.array(np.ones(len(term), np.int64))], names)
+            sums = pa.table({"entity": entity, "term": term}).group_by(["entity", "term"]).aggregate([([], "count_all")]).combine_chunks()
+            columns = [sums[c].combine_chunks() for c in ("entity", "term", "count_all")]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.int64()), *columns], names)
+
+        rows, n = [], 0
+        for row in pairs(batches):
+            rows.append(row)
+            n += len(row[2])
+            if n > 200_000:
+                yield out(rows)
+                rows, n = [], 0
+        if rows:
+            yield out(rows)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, entity long, term long, n long")
 
 
 def term_frequencies(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -142,54 +210,63 @@ def term_frequencies(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, rules: DisclosureRules, bitmap: int = 1 << 20) -> DataFrame | None:
-    """``(entity, term, share)`` of the terms at or over ``generalise_at``; None if there is none.
+def disclosing_terms(docs: DataFrame, rules: DisclosureRules, bitmap: int = 1 << 20) -> tuple | None:
+    """``(entity, term, share)`` of the terms at or over ``generalise_at``, and the bitmap of the entities counted; None if there is none.
 
-    Counts are grouped with map-side sums.  The only thing that reaches the
-    driver is a bitmap of fixed size that tells a second scan which words may
-    be wanted; the exact match is a join.
+    Counts are grouped with map-side sums, those of the pairs only for entities
+    within the bounds.  The only things that reach the driver are bitmaps of
+    fixed size that tell the next scan what may be wanted; the exact matches
+    are joins.
     """
     total = docs.count()
     if not total:
         return None
-    entities = (found.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-                .where((F.col("n_entity") >= rules.min_documents) & (F.log2(F.lit(total) / F.col("n_entity")) >= rules.min_information)))
-    pairs = materialise(found.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    entities = materialise(entity_rows(docs).groupBy("entity").agg(F.sum("n").alias("n_entity"))
+                           .where((F.col("n_entity") >= rules.min_documents) & (F.log2(F.lit(total) / F.col("n_entity")) >= rules.min_information)), "entities")
+    entity_marks = _marks(entities, F.col("entity"), bitmap)
+    if not entity_marks.any():
+        return None
+    pairs = materialise(contexts(docs, rules, entity_marks).groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
                         .where(F.col("n_both") >= rules.min_documents).join(entities, "entity"), "pairs")
-    marks = pairs.select(F.col("term").bitwiseAND(F.lit(bitmap - 1)).alias("bit")).distinct().collect()
-    if not marks:
+    wanted = _marks(pairs, F.col("term"), bitmap)
+    if not wanted.any():
         return None
-    wanted = np.zeros(bitmap, bool)
-    wanted[[r[0] for r in marks]] = True
     scored = pairs.join(term_frequencies(docs, wanted), "term")
     n = F.lit(float(total))
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("df")))
     share = pmi / F.log2(n / F.col("n_entity"))
-    return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise_at)
+    return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise_at), entity_marks
 
 
-def _with_hints(docs: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``docs`` and a last column: the disclosing (entity, term, share) of each document that has some."""
-    found = materialise(contexts(docs, rules), "contexts")
-    terms = disclosing_terms(docs, found, rules)
-    kind = "array<struct<entity:bigint,term:bigint,share:double>>"
-    if terms is None:
+def _with_hints(docs: DataFrame, rules: DisclosureRules, bitmap: int = 1 << 20) -> DataFrame:
+    """``docs`` and a last column: the entities of each document that have disclosing terms in it, with the terms to remove and to generalise."""
+    kind = "array<struct<entity:bigint,removed:array<bigint>,generalised:array<bigint>>>"
+    found = disclosing_terms(docs, rules)
+    terms = materialise(found[0], "terms") if found else None
+    pair_marks = _marks(terms, F.col("entity").bitwiseXOR(F.col("term")), bitmap) if found else np.zeros(1, bool)
+    if not pair_marks.any():
         return docs.select("*", F.lit(None).cast(kind).alias("__hints"))
-    hints = materialise(found.join(terms, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"))
-                        .agg(F.collect_set(F.struct("entity", "term", "share")).alias("hints")), "hints")
+    remove = F.col("share") >= rules.remove_at
+    hints = materialise(contexts(docs, rules, found[1], pair_marks).join(terms, ["entity", "term"]).groupBy("doc_id", "entity")
+                        .agg(F.collect_set(F.when(remove, F.col("term"))).alias("removed"), F.collect_set(F.when(~remove, F.col("term"))).alias("generalised"))
+                        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("entity", "removed", "generalised")).alias("hints")), "hints")
     whole = docs.select(F.struct("*").alias("row"))  # keeps columns of any name apart from those joined
-    return whole.join(hints, F.col("row.doc_id").eqNullSafe(F.col("_id")), "left").select("row.*", F.col("hints").alias("__hints"))
+    # the hints grow with the documents: no broadcast at any size
+    return whole.join(hints.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("_id")), "left").select("row.*", F.col("hints").alias("__hints"))
 
 
 def method_spans(text: str, base: list, hints: list, rules: DisclosureRules) -> list:
-    """Spans of the terms near an entity that disclose it."""
-    share = {(h["entity"], h["term"]): h["share"] for h in hints}
-    best = {}
-    for entity, terms in _nearby(text, base, rules.window):
-        for term, start, end in terms:
-            if (s := share.get((entity, term))) is not None:
-                best[start, end] = max(best.get((start, end), 0.0), s)
-    return [(s, e, METHOD_KINDS[0] if v >= rules.remove_at else METHOD_KINDS[1]) for (s, e), v in sorted(best.items())]
+    """Spans of all occurrences of the terms that disclose an entity of the text."""
+    entities = _entities(text, base)
+    known = {h["entity"]: h for h in hints if h["entity"] in entities}
+    if not known:
+        return []
+    hashes, start, end, near = _nearby(text, base, {e: entities[e] for e in known}, rules)
+    removed, told = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    for entity, places in near.items():
+        for marks, name in ((removed, "removed"), (told, "generalised")):
+            marks[places[np.isin(hashes[places], np.array(known[entity][name], np.int64))]] = True
+    return [(int(start[k]), int(end[k]), METHOD_KINDS[0] if removed[k] else METHOD_KINDS[1]) for k in np.flatnonzero(removed | told)]
 
 
 def _joined(spans: list) -> str:

@@ -81,3 +81,22 @@ def test_tables_and_extra_columns(spark):
     odd = spark.createDataFrame([(1, "mail x@y.zz now", 4, "k", "h", "i")], "doc_id long, text string, n_chars int, entity string, hints string, _id string")
     assert [tuple(r) for r in sanitise_documents(odd).collect()] == [(1, "mail [EMAIL] now", 16, "k", "h", "i")]
     assert DisclosureRules().window == 10
+
+
+def test_terms_of_the_whole_text_are_hidden(spark):
+    filler = [f"common words in plain row number {i} of text" for i in range(200)]
+    gap = " common words in plain row of text" * 4
+    far = [f"Zaphod opens profile {i}{gap} write to zaph@hitch.org{gap} and zaphod signs" for i in range(5)]
+    rows = [*enumerate(filler + far), (300, far[0]), (None, far[1]), (400, "Zaphod stands alone"), (401, f"Zaphod{gap} other@mail.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitise_documents(docs).collect()}
+    for i in (200, 204, 300, None):
+        assert "zaphod" not in clean[i].lower() and "[EMAIL]" in clean[i] and "common words" in clean[i], clean[i]
+    assert clean[400] == "Zaphod stands alone" and clean[401] == f"Zaphod{gap} [EMAIL]"  # not a text of the entity
+    near = {r.doc_id: r.text for r in sanitise_documents(docs, DisclosureRules(whole_texts=False)).collect()}
+    assert near[200].startswith("Zaphod") and near[200].endswith("zaphod signs")
+    spans = {r.doc_id: r.spans for r in pii_report(docs).collect()}
+    for i, text in rows[200:206]:
+        want = [(m.start(), m.end()) for m in re.finditer("(?i)zaphod", text)]
+        got = [tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s.startswith("term")]
+        assert set(want) <= set(got)
