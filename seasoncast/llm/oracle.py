@@ -135,3 +135,21 @@ gone AS (SELECT r, sum(hi - lo) AS n, count(*) AS spans FROM spans GROUP BY r)
 SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
 FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
 """
+
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLE["op12_lexical_scan"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+size AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+wanted AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN wanted USING (term) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, size GROUP BY term, n_docs),
+gain AS (
+  SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * n_docs) // n_terms))) AS gain
+  FROM tf JOIN weight USING (term) JOIN d USING (r), size),
+scored AS (SELECT item_id, r, sum(gain)::BIGINT AS score FROM wanted JOIN gain USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored JOIN d USING (r) WHERE score > 0
+QUALIFY rank <= 50
+"""

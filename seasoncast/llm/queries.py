@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import (chat_snapshots, edit_decontam, line_quality, lm_hmm, lsh_forest_join, pii_disclosure, piece_nbest,
+from seasoncast.llm import (chat_snapshots, edit_decontam, lexical_scan, line_quality, lm_hmm, lsh_forest_join, pii_disclosure, piece_nbest,
                             suffix_dedup, toxicity_ordinal, url_reputation)
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
@@ -70,3 +70,8 @@ def op2(spark, sf_dir):
 @query("op5_suffix_dedup")
 def op5(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op12_lexical_scan")
+def op12(spark, sf_dir):
+    return lexical_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
