@@ -153,3 +153,23 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM scored JOIN d USING (r) WHERE score > 0
 QUALIFY rank <= 50
 """
+
+ORACLE["op11_source_schedule"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][sid % 3 + 1]::BIGINT AS weight, 3 * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS remaining,
+             (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weights FROM w
+      WINDOW o AS (ORDER BY cap::DOUBLE / weight::DOUBLE, sid)),
+f AS (SELECT *, cap::DOUBLE * weights::DOUBLE >= weight::DOUBLE * remaining::DOUBLE AS below FROM l),
+lv AS (SELECT max(remaining) FILTER (below) AS remaining_, max(weights) FILTER (below) AS weights_ FROM f),
+t AS (SELECT source, source_size, CASE WHEN below THEN (weight * remaining_)::DOUBLE / weights_::DOUBLE ELSE cap::DOUBLE END AS target FROM f, lv),
+p AS (SELECT *, floor(target + 0.5)::BIGINT AS take FROM t),
+placed AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d)
+SELECT doc_id, placed.source, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE (take // source_size) * size + least(greatest(take % source_size - first, 0), size) END::BIGINT AS taken
+FROM placed JOIN p ON placed.source IS NOT DISTINCT FROM p.source
+"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seasoncast.llm import (chat_snapshots, edit_decontam, lexical_scan, line_quality, lm_hmm, lsh_forest_join, pii_disclosure, piece_nbest,
-                            suffix_dedup, toxicity_ordinal, url_reputation)
+from seasoncast.llm import (chat_snapshots, edit_decontam, embedding_whitening, lexical_scan, line_quality, lm_hmm, lsh_forest_join,
+                            pii_disclosure, piece_nbest, source_schedule, suffix_dedup, toxicity_ordinal, url_reputation)
 from seasoncast.llm.oracle import ORACLE  # noqa: F401
 from seasoncast.sources.tables import table
 
@@ -75,3 +75,13 @@ def op5(spark, sf_dir):
 @query("op12_lexical_scan")
 def op12(spark, sf_dir):
     return lexical_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_source_schedule")
+def op11(spark, sf_dir):
+    return source_schedule.words_taken(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
