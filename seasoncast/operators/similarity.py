@@ -2,7 +2,7 @@
 
 Exact search is a blocked matrix product:
 
-* rows of each side are hash-assigned to blocks of about ``block_rows`` rows;
+* rows of each side are hash-assigned to blocks of some megabytes of vectors;
 * every query block is paired with every corpus block through an equi-join on
   the block keys (``cogroup``), so one task sees one query block and one corpus
   block — memory per task is bounded by the block size, never by the corpus;
@@ -15,8 +15,9 @@ Shuffle volume is |Q| x corpus_blocks + |C| x query_blocks vectors.  A small
 corpus (one block) is shipped once to each query block, like a broadcast join.
 Neighbours are ranked by the rounded similarity and then by id, in the task and
 in the merge, so equal vectors rank the same everywhere.  Vectors travel in
-their own type (float32 stays float32) and are widened inside the task.  (An LSH bucket join is deliberately not offered: it
-emits every pair inside a hash bucket, which a hot bucket turns quadratic.)
+their own type (float32 stays float32) and are widened inside the task.  For
+corpora where |Q| x |C| is too much, ``ann.CellIndex`` looks into the nearest
+cells only.
 """
 
 from __future__ import annotations
@@ -37,71 +38,91 @@ PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _block_topk(k: int, exclude_self: bool, digits: int | None):
+def _unit(vectors) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int = 16 << 20):
+    """Best ``k`` of a corpus block for every row of a query block, ties by id.
+
+    Query rows are scored some at a time, so the similarities held are
+    ``chunk_bytes`` whatever the block.  With the corpus in order of id, a row
+    takes all that beat its k-th similarity and then the first that equal it.
+    """
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"),
-                                 "similarity": pd.Series(dtype="float64")})
-        qv = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        cv = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        qn = np.linalg.norm(qv, axis=1, keepdims=True)
-        cn = np.linalg.norm(cv, axis=1, keepdims=True)
-        qv = np.divide(qv, qn, out=np.zeros_like(qv), where=qn > 0)
-        cv = np.divide(cv, cn, out=np.zeros_like(cv), where=cn > 0)
-        sim = qv @ cv.T
-        if digits is not None:
-            sim = np.round(sim, digits)
-        qid = q["id"].to_numpy(np.int64)
-        cid = c["id"].to_numpy(np.int64)
-        if exclude_self:
-            sim[qid[:, None] == cid[None, :]] = -np.inf
-        kk = min(k, sim.shape[1])
-        # k-th largest similarity per row; every candidate tying with it is kept,
-        # then one lexsort (row, similarity desc, id asc) and a rank cut give the
-        # exact per-row top-k without a Python loop over rows.
-        kth = np.partition(sim, sim.shape[1] - kk, axis=1)[:, sim.shape[1] - kk]
-        rows, cols = np.nonzero((sim >= kth[:, None]) & np.isfinite(sim))
-        vals = sim[rows, cols]
-        order = np.lexsort((cid[cols], -vals, rows))
-        rows, cols, vals = rows[order], cols[order], vals[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-        rank = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
-        keep = rank < kk
-        return pd.DataFrame({"query_id": qid[rows[keep]], "neighbor_id": cid[cols[keep]],
-                             "similarity": vals[keep]})
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(c):
+            c = c.sort_values("id", kind="stable")
+            qv, cv = _unit(q["vec"]), _unit(c["vec"])
+            qid, cid = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
+            kk, step = min(k, len(cid)), max(1, chunk_bytes // (8 * len(cid)))
+            for at in range(0, len(qid), step):
+                ids = qid[at:at + step]
+                sim = qv[at:at + step] @ cv.T
+                if digits is not None:
+                    np.round(sim, digits, out=sim)
+                if exclude_self:
+                    sim[ids[:, None] == cid[None, :]] = -np.inf
+                kth = np.partition(sim, len(cid) - kk, axis=1)[:, len(cid) - kk, None]
+                over = sim > kth
+                tied = sim == kth
+                tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= kk - over.sum(axis=1, keepdims=True)
+                rows, cols = np.nonzero((over | tied) & (sim > -np.inf))
+                found.append((ids[rows], cid[cols], sim[rows, cols]))
+        query, neighbor, similarity = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": query, "neighbor_id": neighbor, "similarity": similarity})
     return run
 
 
+def vectors_of(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, vec)`` of the rows that have a vector."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
+
+
+def best_pairs(candidates: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best candidates of every query, ties by id, with their ``rank`` from 1."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("neighbor_id"))
+    ranked = candidates.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "neighbor_id", "rank", "similarity")
+
+
+BLOCK_BYTES = 32 << 20  # vectors of one side of a block pair, as float64
+
+
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec",
-             exclude_self: bool = True, block_rows: int = 8192, sim_digits: int | None = 9) -> DataFrame:
+             exclude_self: bool = True, block_rows: int | None = None, sim_digits: int | None = 9) -> DataFrame:
     """Exact top-k cosine neighbours of every query row in ``corpus``.
 
     Returns ``(query_id, neighbor_id, rank, similarity)``; ``rank`` starts at 1.
+    Rows without a vector (null) neither ask nor answer; a vector of zeros is
+    0 alike to all.  Blocks hold ``block_rows`` rows, or as many as fit into
+    ``BLOCK_BYTES`` by the width of the vectors.
     """
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    nq, nc = q.count(), c.count()  # sizes pick the block counts (two cheap count jobs)
+    q, c = vectors_of(queries, id_col, vec_col), vectors_of(corpus, id_col, vec_col)
+    # Sizes pick the block counts (two cheap jobs).
+    (nq, dq), (nc, dc) = (df.agg(F.count("*"), F.max(F.size("vec"))).first() for df in (q, c))
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * max(dq or 1, dc or 1)))
     bq, bc = _blocks(nq, block_rows), _blocks(nc, block_rows)
     q = (q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
     c = (c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
     cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("neighbor_id"))
-    ranked = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "neighbor_id", "rank", "similarity")
+            .applyInPandas(block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA))
+    return best_pairs(cand, k)
 
 
 class KnnIndex:
     """Fit once, query many times (E9): the corpus is normalised to unit length,
     tagged with its targets and materialised in the shared checkpoint folder."""
 
-    def __init__(self, k: int = 10, id_col: str = "id", vec_col: str = "vec", block_rows: int = 4096):
+    def __init__(self, k: int = 10, id_col: str = "id", vec_col: str = "vec", block_rows: int | None = None):
         self.k, self.id_col, self.vec_col, self.block_rows = k, id_col, vec_col, block_rows
         self.corpus: DataFrame | None = None
 
