@@ -23,9 +23,11 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasoncast.session import materialise
+
 
 def exact_quantiles(df: DataFrame, targets: Sequence[tuple[str, float]], buckets: int = 4096,
                     settle_rows: int = 8192, persisted: bool = False) -> list[float | None]:
@@ -155,3 +157,62 @@ def _narrow(base: DataFrame, ranges, buckets: int) -> None:
 
 def exact_quantile(df: DataFrame, column: str, q: float, **kw) -> float | None:
     return exact_quantiles(df, [(column, q)], **kw)[0]
+
+
+def weighted_quantiles(df: DataFrame, group: Sequence[str], value: str, weight: str, q: float, buckets: int = 512,
+                       settle_rows: int = 4096, broadcast_groups: int = 10_000) -> DataFrame:
+    """Exact weighted quantile of every group (M5): ``group..., weight, quantile``.
+
+    The quantile is the least value whose cumulative weight, in order of value,
+    reaches ``q`` times the group's weight.  All groups are narrowed at once:
+    each pass sums weights by (group, cell of the group's own range), and a
+    group goes on with the cell in which the cumulative weight crosses; where at
+    most ``settle_rows`` rows are left in it, a window over just these ends the
+    search.  A value that many rows share fills a cell of its own and ends it at
+    once.  State is a row a group, in Spark.
+
+    Rows with a null or NaN value, or without a positive weight, don't count;
+    a null group is a group.  Infinities are values.  Groups without rows are absent.
+    """
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_g{i}") for i, g in enumerate(group)]
+    nulls = [F.col(g).isNull().alias(f"_n{i}") for i, g in enumerate(group)]
+    own = [f"_g{i}" for i in range(len(group))] + [f"_n{i}" for i in range(len(group))]
+    v, w = F.col("_v"), F.col("_w")
+    rows = (df.select(*keys, *nulls, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w"))
+            .where(v.isNotNull() & ~F.isnan("_v") & (w > 0)).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        finite = F.when(F.abs(v) < math.inf, v)
+        state = rows.groupBy(*own).agg(F.sum("_w").alias("total"), F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+        state = materialise(state.withColumn("below", F.lit(0).cast(rows.schema["_w"].dataType)), "weighted-quantiles")
+        n_groups, first, done = state.count(), True, None
+        small = (lambda t: F.broadcast(t)) if n_groups <= broadcast_groups else (lambda t: t)
+        reached = F.col("below") + F.col("upto") >= F.lit(q) * F.col("total")
+        while True:
+            open_ = state if first else state.where((F.col("n") > settle_rows) & (F.col("lo") < F.col("hi")))
+            closed = state.where(F.lit(False)) if first else state.where((F.col("n") <= settle_rows) | (F.col("lo") >= F.col("hi")))
+            done = closed if done is None else done.unionByName(closed)
+            if not first and open_.isEmpty():
+                break
+            share = F.when(F.col("hi") - F.col("lo") < math.inf, (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(
+                (v / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+            inner = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1))).otherwise(F.lit(0))
+            cell = F.when(v == -math.inf, F.lit(-1)).when(v == math.inf, F.lit(buckets)).otherwise(inner)
+            met = rows.join(small(open_), own)
+            met = met if first else met.where((v >= F.col("lo")) & (v <= F.col("hi")))
+            cells = (met.groupBy(*own, "total", "below", cell.alias("cell"))
+                     .agg(F.sum("_w").alias("_w"), F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+            along = Window.partitionBy(*own).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most buckets + 2 rows
+            crossed = (cells.withColumn("upto", F.sum("_w").over(along)).withColumn("last", F.max("cell").over(Window.partitionBy(*own)))
+                       .where(reached | (F.col("cell") == F.col("last"))))
+            nxt = crossed.groupBy(*own).agg(F.min_by(F.struct("total", (F.col("below") + F.col("upto") - w).alias("below"), "n", "lo", "hi"), "cell").alias("s"))
+            state, first = materialise(nxt.select(*own, "s.*"), "weighted-quantiles"), False
+        last = rows.join(small(done), own).where((v >= F.col("lo")) & (v <= F.col("hi")))
+        # Single-valued cells may hold any number of rows: a row a value first, then a window over the values.
+        values = last.groupBy(*own, "total", "below", "_v").agg(F.sum("_w").alias("_w"))
+        along = Window.partitionBy(*own).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        ended = (values.withColumn("upto", F.sum("_w").over(along)).groupBy(*own, "total")
+                 .agg(F.coalesce(F.min(F.when(reached, v)), F.max("_v")).alias("quantile")))
+        names = [F.when(~F.col(f"_n{i}"), F.col(f"_g{i}").cast(df.schema[g].dataType)).alias(g) for i, g in enumerate(group)]
+        return materialise(ended.select(*names, F.col("total").alias("weight"), "quantile"), "weighted-quantiles")
+    finally:
+        rows.unpersist()
