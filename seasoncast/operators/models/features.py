@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -64,15 +65,20 @@ class PCAProjection:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Project centred rows: ``(x - mean) @ components`` as ``array<double>``."""
-        arr = F.col(self.input_col).cast("array<double>")
-        centred = F.zip_with(arr, F.array(*[F.lit(float(m)) for m in self.mean]), lambda x, m: x - m)
-        comps = []
-        for j in range(self.components.shape[1]):
-            w = F.array(*[F.lit(float(x)) for x in self.components[:, j]])
-            comps.append(F.aggregate(F.zip_with(centred, w, lambda a, b: a * b), F.lit(0.0),
-                                     lambda acc, x: acc + x))
-        return df.withColumn(self.output_col, F.array(*comps))
+        """Project centred rows: ``(x - mean) @ components`` as ``array<double>``, a batch of rows at a time."""
+        held = df.sparkSession.sparkContext.broadcast((self.mean, self.components))  # d x (k + 1) numbers
+
+        @F.pandas_udf("array<double>")
+        def project(vectors: pd.Series) -> pd.Series:
+            mean, components = held.value
+            known = vectors.notna().to_numpy()
+            out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+            if known.any():
+                # Sums in the order of the dimensions, so a row's value does not depend on its batch.
+                x = np.stack(vectors[known].to_numpy()).astype(np.float64) - mean
+                out[known] = pd.Series(list(np.einsum("nd,dk->nk", x, components)), index=out.index[known])
+            return out
+        return df.withColumn(self.output_col, project(F.col(self.input_col).cast("array<double>")))
 
     def spec(self, spark: SparkSession) -> DataFrame:
         """The fitted projection as a table, a row per input dimension."""
