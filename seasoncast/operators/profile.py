@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seasoncast.functions.parse import fill_category
 from seasoncast.operators.aggregate import order_key
 from seasoncast.operators.quantile import exact_quantiles, value_columns
+from seasoncast.session import materialise
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -123,13 +125,17 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """Fixed-width histogram over [min, max] (part of the A10 report)."""
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    """Fixed-width histogram over [min, max] (part of the A10 report).
+
+    NaN counts as missing; infinities have no place on the axis and are left out."""
+    x = F.col(col).cast("double")
+    finite = df.select(F.when(F.abs(x) < float("inf"), x).alias("x")).where("x is not null")  # NaN is above infinity
+    lo, hi = finite.agg(F.min("x"), F.max("x")).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, n long")
     width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-    return df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+    return finite.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def correlations(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
@@ -141,6 +147,121 @@ def correlations(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFra
                     F.split_part("pair", F.lit("|"), F.lit(2)).alias("right"), "corr"))
 
 
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Ranks of all values of all columns, ties sharing their mean rank: ``side, value, n, rank`` (side = column).
+
+    Nulls and NaN have no rank."""
+    value = lambda c: F.col(c).cast("double")
+    pairs = df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(c) for c in cols]).unpivot([], list(cols), "side", "value")
+    return _weighted_ranks(pairs.where("value is not null").withColumn("n", F.lit(1).cast("long")))
+
+
+def _weighted_ranks(values: DataFrame) -> DataFrame:
+    """``side, value, n, rank`` of rows ``side, value, n`` that stand for n equal ones.
+
+    Values are counted first, so one that fills most rows is one row; the counts
+    are dealt by range, summed inside the ranges, and the ranges' totals give
+    the offsets - no task sorts a whole side.
+    """
+    counts = values.groupBy("side", "value").agg(F.sum("n").alias("n"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(counts.repartitionByRange(parts, "side", "value").withColumn("_pid", F.spark_partition_id()), "rank-ranges")
+    inside = Window.partitionBy("_pid", "side").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("side").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_pid", "side").agg(F.sum("n").alias("_n"))
+    offsets = totals.select("_pid", "side", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    below = F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return (ranged.join(F.broadcast(offsets), ["_pid", "side"])  # partitions x sides rows
+            .select("side", "value", "n", (below + (F.col("n") + 1) / 2).alias("rank")))
+
+
+def spearman(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+    """Rank correlation of every column pair over the rows that have both: ``left, right, spearman`` (A10 report).
+
+    Rows are grouped by their pair of values before ranks are joined on, so the
+    join sees distinct pairs, and hot values a row a partner.  A pair without
+    variation has none (null).
+    """
+    cols = list(cols)
+    value = lambda c: F.col(c).cast("double")
+    base = df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(c) for c in cols])
+    couples = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(cols) for b in cols[i + 1:]])
+    seen = (base.select(F.explode(couples).alias("p")).select("p.*").where("x is not null and y is not null")
+            .groupBy("left", "right", "x", "y").agg(F.count("*").alias("n")))
+    seen = materialise(seen, "value-pairs")
+    # Ranks inside the pair's own rows: the columns of a pair are ranked where both are known.
+    sides = seen.select(F.concat_ws("|", "left", "right", F.lit("x")).alias("side"), F.col("x").alias("value"), "n").unionByName(
+        seen.select(F.concat_ws("|", "left", "right", F.lit("y")).alias("side"), F.col("y").alias("value"), "n"))
+    ranks = _weighted_ranks(sides)
+    rank_x = ranks.select(F.col("side").alias("_sx"), F.col("value").alias("x"), F.col("rank").alias("rx"))
+    rank_y = ranks.select(F.col("side").alias("_sy"), F.col("value").alias("y"), F.col("rank").alias("ry"))
+    both = (seen.withColumns({"_sx": F.concat_ws("|", "left", "right", F.lit("x")), "_sy": F.concat_ws("|", "left", "right", F.lit("y"))})
+            .join(rank_x, ["_sx", "x"]).join(rank_y, ["_sy", "y"]))
+    # Ranks less their mean, (total + 1) / 2, which both sides share.
+    sums = both.groupBy("left", "right").agg(F.sum("n").alias("rows"))
+    centred = both.join(F.broadcast(sums), ["left", "right"]).withColumns({"dx": F.col("rx") - (F.col("rows") + 1) / 2, "dy": F.col("ry") - (F.col("rows") + 1) / 2})
+    out = centred.groupBy("left", "right").agg(*[F.sum(F.col("n") * F.col(a) * F.col(b)).alias(o) for a, b, o in (("dx", "dy", "xy"), ("dx", "dx", "xx"), ("dy", "dy", "yy"))])
+    ratio = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    return out.select("left", "right", F.round(ratio, digits).alias("spearman"))
+
+
+def cramers_v(df: DataFrame, cols: Sequence[str], digits: int = 6, missing_token: str = "NA") -> DataFrame:
+    """Association of every pair of categories by its contingency table: ``left, right, rows, chi2, cramers_v`` (A10 report).
+
+    Tables of all pairs are counted in one aggregate; a missing category is a
+    category.  A column with one category has no association (null).
+    """
+    cols = list(cols)
+    filled = df.select(*[fill_category(c, missing_token).alias(c) for c in cols])
+    couples = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(cols) for b in cols[i + 1:]])
+    cells = materialise(filled.select(F.explode(couples).alias("p")).select("p.*").groupBy("left", "right", "x", "y").agg(F.count("*").alias("n")), "contingency")
+    pair = ["left", "right"]
+    rows_ = cells.groupBy(*pair, "x").agg(F.sum("n").alias("nx"))
+    columns = cells.groupBy(*pair, "y").agg(F.sum("n").alias("ny"))
+    sizes = rows_.groupBy(*pair).agg(F.sum("nx").alias("rows"), F.count("*").alias("kx")).join(columns.groupBy(*pair).agg(F.count("*").alias("ky")), pair)
+    share = (cells.join(rows_, [*pair, "x"]).join(columns, [*pair, "y"]).groupBy(*pair)
+             .agg(F.sum(F.col("n") * F.col("n") / (F.col("nx").cast("double") * F.col("ny"))).alias("s")))
+    chi2 = F.col("rows") * (F.col("s") - 1)
+    least = F.least("kx", "ky") - 1
+    v = F.when(least > 0, F.sqrt(F.greatest(chi2, F.lit(0.0)) / (F.col("rows") * least)))
+    return sizes.join(share, pair).select(*pair, "rows", F.round(chi2, digits).alias("chi2"), F.round(v, digits).alias("cramers_v"))
+
+
+def sketch_profile(df: DataFrame, by: Sequence[str], cols: Sequence[str], numeric: Sequence[str] = (), lg_k: int = 12, k: int = 400) -> DataFrame:
+    """Mergeable profiles, a row a (part, column): ``by..., column, rows, missing, distinct_sketch, quantile_sketch``.
+
+    Distinct values go into an HLL sketch of ``2**lg_k`` registers, the numbers
+    of ``numeric`` columns into a KLL sketch of parameter ``k`` - both of bounded
+    size whatever the part.  Store the rows; :func:`merge_profiles` answers for any
+    set of parts without reading the data again.
+    """
+    by, numeric = list(by), set(numeric)
+    aggs, rows = [F.count("*").alias("_rows")], []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"_m{i}"), F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(f"_d{i}")]
+        if c in numeric:
+            aggs.append(F.kll_sketch_agg_double(F.when(~F.isnan(x), x), k).alias(f"_q{i}"))
+        rows.append(F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"_m{i}").alias("missing"), F.col(f"_d{i}").alias("distinct_sketch"),
+                             (F.col(f"_q{i}") if c in numeric else F.lit(None).cast("binary")).alias("quantile_sketch")))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*rows)).alias("s")).select(*by, "s.*")
+
+
+def merge_profiles(profiles: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), k: int = 400) -> DataFrame:
+    """Stored profiles of any parts as one: ``column, rows, missing, n_unique, q25, q50, q75``.
+
+    ``n_unique`` is within about 3 x 1.04 / sqrt(2**lg_k) of the truth (5 % at 12),
+    a quantile's rank within about 2 / k (0.5 % at 400).
+    """
+    merged = profiles.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("missing").alias("missing"),
+        F.hll_sketch_estimate(F.expr("hll_union_agg(distinct_sketch)")).alias("n_unique"),
+        F.expr(f"kll_merge_agg_double(quantile_sketch, {k})").alias("_q"))
+    empty = F.col("_q").isNull() | (F.kll_sketch_get_n_double("_q") == 0)
+    values = [F.when(~empty, F.kll_sketch_get_quantile_double(F.when(~empty, F.col("_q")), F.lit(float(p)))).alias(f"q{int(round(p * 100)):02d}") for p in quantiles]
+    return merged.select("column", "rows", "missing", "n_unique", *values)
+
+
 def key_sides(left: DataFrame, right: DataFrame, key: str = "ID") -> DataFrame:
     """One row per distinct key with flags for the sides it occurs on.
 

@@ -101,7 +101,7 @@ def train_test_keys(spark, sf_dir):
 
 @query("clean_panel")
 def q_clean_panel(spark, sf_dir):
-    return clean.clean_panel(panel(spark, sf_dir))
+    return clean.clean_panel(panel(spark, sf_dir), materialize=True)
 
 
 @query("value_counts")

@@ -6,6 +6,9 @@ folder named by ``spark.checkpoint.dir`` — never a machine-local folder.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +20,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, f"seasoncast-{name}")
 
 
+# Quotes inside a field are doubled, as spreadsheet and data-frame tools write them; blanks belong to the field.
+_FIELDS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                   sep: str = ";", header: bool = True) -> DataFrame:
-    """Delimited scan with an explicit schema (S1, S2); quote-aware, PERMISSIVE."""
-    r = (spark.read.option("sep", sep).option("header", header).option("quote", '"')
-         .option("mode", "PERMISSIVE"))
+                   sep: str = ";", header: bool = True, multi_line: bool = True, malformed: str = "FAILFAST") -> DataFrame:
+    """Delimited scan with an explicit schema.
+
+    Fields may be quoted, hold doubled quotes, separators and line breaks.  A
+    file is then one task; ``multi_line=False`` lets Spark split large files
+    that are known to have no line break in a field.  Rows that don't fit the
+    schema stop the read; ``malformed`` takes Spark's other modes.
+    """
+    r = spark.read.options(sep=sep, header=header, multiLine=multi_line, mode=malformed, **_FIELDS)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -29,8 +41,8 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", header: bool = True,
                     mode: str = "overwrite") -> str:
-    """CSV sink without an index column (S3); one file per partition."""
-    df.write.mode(mode).option("sep", sep).option("header", header).csv(path)
+    """CSV sink without an index column (S3); one file per partition, quoted where :func:`read_delimited` needs it."""
+    df.write.mode(mode).options(sep=sep, header=header, **_FIELDS).csv(path)
     return path
 
 
@@ -45,7 +57,7 @@ def read_forecasts(spark: SparkSession, path: str | list[str], sep: str = ",", k
     df = None
     for p in candidates:
         try:
-            df = spark.read.option("sep", sep).option("header", True).csv(p)
+            df = read_delimited(spark, p, sep=sep, multi_line=False)
             path = p
             break
         except AnalysisException:
@@ -59,6 +71,30 @@ def read_forecasts(spark: SparkSession, path: str | list[str], sep: str = ",", k
                      F.col(f"`{names[value.lower()]}`").cast("double").alias(value))
 
 
+def write_bucketed(df: DataFrame, path: str, key: str = "ID", buckets: int = 16) -> str:
+    """A table in ``buckets`` hash buckets of ``key``, sorted inside.
+
+    Tables written with the same key and number of buckets join and aggregate on
+    the key without an exchange.  The layout is stored beside the data.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", f"{path}/data").saveAsTable(name))
+    spark.sql(f"DROP TABLE {name}")  # an external table: the files stay
+    layout = [(key, buckets, df.schema.json())]
+    save_spec(spark.createDataFrame(layout, "key string, buckets int, schema string").coalesce(1), path, "layout")
+    return path
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of :func:`write_bucketed` with its layout, in any session."""
+    key, buckets, schema = load_spec(spark, path, "layout").first()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(schema)).fields)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}/data'")
+    return spark.table(name)
+
+
 def save_spec(spec: DataFrame, root: str, name: str) -> str:
     """Persist a fitted spec under its own name (S4, D10): Parquet, overwrite."""
     path = f"{root.rstrip('/')}/{name}"
