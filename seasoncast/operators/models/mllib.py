@@ -10,7 +10,9 @@ alpha-quantile of its training residuals so it leans towards over-production.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from seasoncast.operators.models.features import embedding_width
 from seasoncast.operators.quantile import exact_quantile
+from seasoncast.session import materialise
 
 
 def fit_gbt_squared(df: DataFrame, label: str = "label", features: str = "features", max_iter: int = 50,
@@ -108,13 +111,23 @@ def score(model, df: DataFrame, key: str = "ID", out: str = "Production", predic
 
 
 def trial_table(df: DataFrame, grid: Sequence[tuple[float, int]], label: str = "label",
-                features: str = "features", validation_col: str = "is_val", max_iter: int = 50) -> DataFrame:
-    """Hyper-parameter trials (M14): per (eta, depth) -> trees kept by early stop and validation MAE."""
-    rows = []
-    for eta, depth in grid:
-        m = fit_gbt_squared(df, label, features, max_iter=max_iter, max_depth=depth, step_size=eta,
-                            validation_col=validation_col)
-        mae = (m.transform(df.where(F.col(validation_col)))
-               .agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0])
-        rows.append((float(eta), int(depth), len(m.trees), float(mae) if mae is not None else None))
-    return df.sparkSession.createDataFrame(rows, "eta double, depth int, n_trees int, val_mae double")
+                features: str = "features", validation_col: str = "is_val", max_iter: int = 50, parallelism: int = 4) -> DataFrame:
+    """Hyper-parameter trials (M14): per (eta, depth) -> trees kept by early stop and validation MAE.
+
+    Trials share one written copy of the features and run ``parallelism`` at a
+    time, so the small jobs of one fill the gaps of the others.
+    """
+    rows = materialise(df.select(features, F.col(label).alias("_label"), F.col(validation_col).alias("_val")), "trials").persist()
+
+    def trial(setting):
+        eta, depth = setting
+        model = fit_gbt_squared(rows, "_label", features, max_iter=max_iter, max_depth=depth, step_size=eta, validation_col="_val")
+        mae = model.transform(rows.where("_val")).agg(F.avg(F.abs(F.col("_label") - F.col("prediction")))).first()[0]
+        return float(eta), int(depth), len(model.trees), float(mae) if mae is not None else None
+
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            results = list(pool.map(inheritable_thread_target(df.sparkSession)(trial), list(grid)))
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(results, "eta double, depth int, n_trees int, val_mae double")

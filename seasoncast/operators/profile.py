@@ -54,29 +54,36 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
             .groupBy("column").agg(F.count("_v").alias("n_unique")))
 
 
+def _extremes_per_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """A row a key with ``(low, multi)`` of every column: its least value, and whether there is another one."""
+    return df.groupBy(F.col(key).alias("_key")).agg(*[F.struct(F.min(c).alias("low"), (F.min(c) != F.max(c)).alias("multi")).alias(c) for c in cols])
+
+
+def _constant(per_key: DataFrame, cols: Sequence[str]) -> DataFrame:
+    wide = per_key.agg(*[(~F.bool_or(F.coalesce(F.col(f"`{c}`.multi"), F.lit(False)))
+                          & F.bool_or(F.col(f"`{c}`.low").isNotNull())).alias(c) for c in cols])
+    return wide.unpivot([], list(cols), "column", "is_constant_per_ID")
+
+
 def constant_per_key(df: DataFrame, key: str = "ID", cols: Sequence[str] | None = None) -> DataFrame:
     """Is every column constant inside each key?
 
     "max over keys of the distinct count == 1" holds exactly when no key has
     two different non-null values (min != max) and some key has a value, so
-    one min/max/count aggregate per key replaces per-column distinct counts
+    one min/max aggregate per key replaces per-column distinct counts
     (no row expansion, fully partial-aggregated)."""
-    cols = [c for c in (cols or df.columns)]
-    per_key = df.groupBy(F.col(key).alias("_key")).agg(
-        *[F.struct((F.min(c) != F.max(c)).alias("multi"), (F.count(c) > 0).alias("seen")).alias(c)
-          for c in cols])
-    wide = per_key.agg(*[(~F.bool_or(F.coalesce(F.col(f"`{c}`.multi"), F.lit(False)))
-                          & F.bool_or(F.col(f"`{c}`.seen"))).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "is_constant_per_ID")
+    cols = list(cols or df.columns)
+    return _constant(_extremes_per_key(df, key, cols), cols)
 
 
 def column_profile(df: DataFrame, key: str = "ID", order: Sequence[str] = ("year", "num_week_iso")) -> DataFrame:
     """dtype, missing, unique, first non-null example and constant-per-key flag.
 
-    Three aggregates — plain (missing, example), distinct counts, per-key
-    constancy — joined on the column name (one row per column each).  Kept
-    apart on purpose: fused, the distinct rewrite would replicate the plain
-    aggregates' buffers once per distinct column."""
+    One min/max aggregate per key is written first; it tells which columns are
+    constant per key, and the distinct values of those are counted on it.  Only
+    the other columns are counted on all rows.  The parts are joined on the
+    column name (one row per column each); fused, the distinct rewrite would
+    replicate the plain aggregates' buffers once per distinct column."""
     cols = df.columns
     ok = order_key(tuple(order) + (key,))  # total order: the first row of the table
     plain = df.agg(*[F.struct(
@@ -85,8 +92,16 @@ def column_profile(df: DataFrame, key: str = "ID", order: Sequence[str] = ("year
         F.min_by(F.col(f.name).cast("string"), F.when(F.col(f.name).isNotNull(), ok)).alias("example"),
     ).alias(f.name) for f in df.schema.fields])
     long = plain.unpivot([], cols, "column", "s").select("column", "s.dtype", "s.missing", "s.example")
-    uniq = distinct_counts(df, cols).withColumnRenamed("n_unique", "unique")
-    return (long.join(uniq, "column").join(constant_per_key(df, key, cols), "column")
+    per_key = materialise(_extremes_per_key(df, key, cols), "extremes")
+    constant = _constant(per_key, cols)
+    flags = constant.collect()  # a row a column
+    fixed = [r["column"] for r in flags if r["is_constant_per_ID"]]
+    others = [c for c in cols if c not in fixed]
+    uniq = distinct_counts(per_key.select(*[F.col(f"`{c}`.low").alias(c) for c in fixed]), fixed) if fixed else None
+    more = distinct_counts(df, others) if others else None
+    uniq = uniq.unionAll(more) if uniq is not None and more is not None else uniq if more is None else more
+    known = df.sparkSession.createDataFrame([tuple(r) for r in flags], constant.schema)
+    return (long.join(uniq.withColumnRenamed("n_unique", "unique"), "column").join(F.broadcast(known), "column")
             .select("column", "dtype", "missing", "unique", "example", "is_constant_per_ID"))
 
 

@@ -101,13 +101,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "
 
     Returns ``(query_id, neighbor_id, rank, similarity)``; ``rank`` starts at 1.
     Rows without a vector (null) neither ask nor answer; a vector of zeros is
-    0 alike to all.  Blocks hold ``block_rows`` rows, or as many as fit into
-    ``BLOCK_BYTES`` by the width of the vectors.
+    0 alike to all.  Blocks hold ``block_rows`` rows, or so many that every core
+    has a pair of blocks, at most what fits into ``BLOCK_BYTES`` by the width of
+    the vectors.
     """
     q, c = vectors_of(queries, id_col, vec_col), vectors_of(corpus, id_col, vec_col)
     # Sizes pick the block counts (two cheap jobs).
     (nq, dq), (nc, dc) = (df.agg(F.count("*"), F.max(F.size("vec"))).first() for df in (q, c))
-    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * max(dq or 1, dc or 1)))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    spread = max(1024, math.ceil(max(nq, nc) / (2 * math.sqrt(cores))))
+    block_rows = block_rows or min(spread, max(1, BLOCK_BYTES // (8 * max(dq or 1, dc or 1))))
     bq, bc = _blocks(nq, block_rows), _blocks(nc, block_rows)
     q = (q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))

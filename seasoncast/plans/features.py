@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seasoncast.functions.parse import parse_vector
 from seasoncast.operators import aggregate as agg
 from seasoncast.operators import ann, blend, clean, encode, profile, sequence, similarity
-from seasoncast.operators.models import boosting, mllib
+from seasoncast.operators.models import boosting, mllib, stacking
 from seasoncast.operators.models.features import PCAProjection, assemble
 from seasoncast.operators.models.mixed_net import MixedNet
 from seasoncast.operators.quantile import weighted_quantiles
@@ -336,3 +336,48 @@ def q_train_store_score(spark, sf_dir):
     loaded = boosting.QuantileBoostingModel.load(f"{root}/model")
     forecast = mllib.score(loaded, prepared(got), clip_zero=True)
     return io.read_forecasts(spark, io.write_delimited(forecast, io.scratch_path(spark, "forecast"), sep=","))
+
+
+def _three_bases():
+    def squared(train):
+        m = mllib.fit_gbt_squared(train, max_iter=10, max_depth=4)
+        return lambda x: m.transform(x)
+
+    def quantile(train):
+        m = boosting.fit_quantile_boosting(train, alpha=0.5, n_rounds=5, max_depth=4, learning_rate=0.3, patience=None)
+        return lambda x: m.transform(x)
+
+    def categories(train):
+        spec = encode.target_stats_spec(train, MODEL_CATS, "label")
+        inputs = [*NUMBERS, *[f"{c}_ts" for c in MODEL_CATS]]
+        rows = encode.ordered_target_stats(train, MODEL_CATS, "label")
+        m = mllib.fit_gbt_squared(assemble(rows, inputs, out="_ordered"), features="_ordered", max_iter=10, max_depth=4)
+        drop = ["_ordered", *[f"{c}_ts" for c in MODEL_CATS]]
+        return lambda x: m.transform(assemble(encode.apply_target_stats(x, spec, MODEL_CATS), inputs, out="_ordered")).drop(*drop)
+
+    return {"squared": squared, "quantile": quantile, "categories": categories}
+
+
+def _level_one(spark, sf_dir):
+    pt = products(spark, sf_dir, materialize=True).withColumn("is_val", ~F.col("is_train")).withColumn("label", F.col("target_demand"))
+    frame = materialise(assemble(pt, NUMBERS).select("ID", "label", "is_val", "features", *MODEL_CATS, *NUMBERS), "stack-frame")
+    bases = _three_bases()
+    return frame, bases, stacking.level_one(frame, bases)
+
+
+@query("stack_comparison")
+def q_stack_comparison(spark, sf_dir):
+    """Three trained bases and the ridge over them on held-out products."""
+    _, bases, level1 = _level_one(spark, sf_dir)
+    return stacking.compare_stack(level1, bases)
+
+
+@query("stack_invariants")
+def q_stack_invariants(spark, sf_dir):
+    """What holds for any bases: the ridge leaves no mean residual and is no worse than the best base where it was fitted (M8)."""
+    _, bases, level1 = _level_one(spark, sf_dir)
+    table = stacking.compare_stack(level1, bases, alpha=1e-9)
+    stacked = F.col("model") == "stacked"
+    out = table.agg(F.max(F.when(stacked, F.col("n"))).alias("n"), F.max(F.when(stacked, F.abs(F.col("bias")))).alias("bias"),
+                    (F.max(F.when(stacked, F.col("rmse"))) <= F.min(F.when(~stacked, F.col("rmse"))) + 1e-6).alias("no_worse"))
+    return out

@@ -126,3 +126,4 @@ SELECT vec_id, round(sum((x - mean) * (x - mean)), 6) AS squared FROM v JOIN m U
 ORACLE["booster_scores"] = products_ctes() + """
 SELECT "ID", round(800.0::DOUBLE + 0.1::DOUBLE * CASE WHEN price <= 2000 THEN CASE WHEN life_cycle_length <= 150 THEN 12.5 ELSE -3.25 END ELSE 40.0 END
                  + 0.1::DOUBLE * CASE WHEN num_sizes <= 3 THEN 8.0 WHEN num_stores <= 1 THEN -6.0 ELSE 2.0 END, 6) AS "Production" FROM pt"""
+ORACLE["stack_invariants"] = products_ctes() + "SELECT count(*) AS n, 0.0::DOUBLE AS bias, TRUE AS no_worse FROM pt WHERE NOT is_train"

@@ -382,7 +382,7 @@ SELECT o_orderkey,
   CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day
 FROM orders"""
 ORACLE["parse_vectors"] = """
-SELECT vec_id, CAST(len(embedding) + 1 AS INTEGER) AS n, TRUE AS last_is_null, TRUE AS first_is_same FROM embeddings"""
+SELECT vec_id, CAST(len(embedding) + 1 AS INTEGER) AS n, TRUE AS last_is_null, CAST(len(embedding) AS INTEGER) AS n_same FROM embeddings"""
 ORACLE["cosine_pairs"] = """
 SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
@@ -407,7 +407,7 @@ ORACLE["prepared_test_table"] = (
   CAST(coalesce(date_diff('day', (SELECT min(phase_in) FROM pt WHERE is_train), phase_in), 0) AS DOUBLE) AS phase_in,
   CAST(coalesce(date_diff('day', (SELECT min(phase_out) FROM pt WHERE is_train), phase_out), 0) AS DOUBLE) AS phase_out,
   price, num_stores, CAST(has_plus_sizes AS INTEGER) AS has_plus_sizes,
-  CAST(round(embedding[1], 3) AS DOUBLE) AS image_first
+  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS image_sum
 FROM pt JOIN embeddings USING (vec_id) WHERE NOT is_train AND id_season = 1""")
 
 ORACLE["zscore_stored"] = ORACLE["zscore"]

@@ -465,7 +465,7 @@ def q_pca_embedding(spark, sf_dir):
 
 @query("trial_table")
 def q_trial_table(spark, sf_dir):
-    return mllib.trial_table(model_frame(spark, sf_dir), [(0.05, 3), (0.1, 5)], max_iter=20)
+    return mllib.trial_table(model_frame(spark, sf_dir), [(0.05, 3), (0.05, 5), (0.1, 3), (0.1, 5)], max_iter=20)
 
 
 @query("stacked")
@@ -555,9 +555,9 @@ def q_parse_vectors(spark, sf_dir):
     """Vector texts with a broken last element back to arrays."""
     text = F.concat(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "), F.lit(",n/a"))
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", parse_vector(text).alias("vec"))
-    last = F.element_at("vec", -1)
-    return emb.select("vec_id", F.size("vec").alias("n"), last.isNull().alias("last_is_null"),
-                      (to_float32(F.element_at("vec", 1)) == F.element_at("embedding", 1)).alias("first_is_same"))
+    same = F.zip_with("embedding", F.slice("vec", 1, F.size("embedding")), lambda x, y: to_float32(y).eqNullSafe(x))
+    return emb.select("vec_id", F.size("vec").alias("n"), F.element_at("vec", -1).isNull().alias("last_is_null"),
+                      F.size(F.filter(same, lambda x: x)).alias("n_same"))
 
 
 @query("cosine_pairs")
@@ -629,11 +629,11 @@ def q_prepared_test_table(spark, sf_dir):
     dim = io.load_spec(spark, root, "width").first()["width"]
     if clean.check_vector_width(got, "image", dim).limit(1).count():
         raise ValueError(f"vectors of the test table are not all {dim} wide")
-    first = F.round(to_float32(F.element_at("image", 1)), 3).cast("double").alias("image_first")
+    total = F.round(F.aggregate("image", F.lit(0.0), lambda acc, x: acc + to_float32(x).cast("double")), 6).alias("image_sum")
     got = encode.apply_label_dictionary(got, io.load_spec(spark, root, "labels"), cats, policy="clamp")
     got = encode.apply_date_origins(got, io.load_spec(spark, root, "dates"), DATES)
     assert clean.column_difference(got, shape) == ["id_season", "image"]
-    return got.select(*order, first)
+    return got.select(*order, total)
 
 
 # --- ensembles of trained models -----------------------------------------------------
