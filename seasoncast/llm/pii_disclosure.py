@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seasoncast.llm.bitmaps import key_filter, passes
 from seasoncast.llm.textvec import pieces, small
 from seasoncast.session import materialise
 
@@ -134,45 +135,40 @@ def entity_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lambda b: run(small(b)), "entity long, n long")
 
 
-def _marks(table: DataFrame, code, bitmap: int) -> np.ndarray:
-    """Bitmap of the low bits of ``code``, of fixed size whatever the table holds."""
-    marks = np.zeros(bitmap, bool)
-    marks[[r[0] for r in table.select(code.bitwiseAND(F.lit(bitmap - 1))).distinct().collect()]] = True
-    return marks
+def contexts(docs: DataFrame, rules: DisclosureRules, wanted: np.ndarray, chosen: np.ndarray | None = None) -> DataFrame:
+    """``(row, entity, term, n)`` over the wanted entities and the terms told with them, once a document row.
 
-
-def contexts(docs: DataFrame, rules: DisclosureRules, entity_marks: np.ndarray, pair_marks: np.ndarray | None = None) -> DataFrame:
-    """``(doc_id, entity, term, n)`` over the marked entities and the terms told with them, once a document row.
-
-    Without ``pair_marks`` doc_id is null and ``n`` counts the rows of many
-    documents; with it, the marked pairs of each document are returned.
+    Without ``chosen`` row is null and ``n`` counts many documents; with it, the
+    chosen pairs of each document are returned by the row's digest.
     """
-    held = docs.sparkSession.sparkContext.broadcast((entity_marks, pair_marks))
-    names = ["doc_id", "entity", "term", "n"]
+    held = docs.sparkSession.sparkContext.broadcast((wanted, chosen))
+    names = ["row", "entity", "term", "n"]
 
     def pairs(batches):
         wanted, chosen = held.value
         for batch in small(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or not (spans := base_spans(text)):
                     continue
-                entities = {e: own for e, own in _entities(text, spans).items() if wanted[e & (len(wanted) - 1)]}
+                entities = _entities(text, spans)
+                codes = np.array(list(entities), np.int64)
+                entities = {e: entities[e] for e in codes[passes(wanted, codes)].tolist()}
                 if entities:
                     hashes, _, _, near = _nearby(text, spans, entities, rules)
                     for entity, places in near.items():
                         terms = np.unique(hashes[places])
                         if chosen is not None:
-                            terms = terms[chosen[(terms ^ np.int64(entity)) & np.int64(len(chosen) - 1)]]
+                            terms = terms[passes(chosen, terms ^ np.int64(entity))]
                         if len(terms):
-                            yield doc, entity, terms
+                            yield row, entity, terms
 
     def run(batches):
         def out(rows):
             size = [len(t) for *_, t in rows]
-            doc = pa.array([d for d, *_ in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), size)))
+            row = pa.array([d for d, *_ in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), size)))
             entity, term = np.repeat([e for _, e, _ in rows], size), np.concatenate([t for *_, t in rows])
             if held.value[1] is not None:
-                return pa.RecordBatch.from_arrays([doc, pa.array(entity), pa.array(term), pa.array(np.ones(len(term), np.int64))], names)
+                return pa.RecordBatch.from_arrays([row, pa.array(entity), pa.array(term), pa.array(np.ones(len(term), np.int64))], names)
             sums = pa.table({"entity": entity, "term": term}).group_by(["entity", "term"]).aggregate([([], "count_all")]).combine_chunks()
             columns = [sums[c].combine_chunks() for c in ("entity", "term", "count_all")]
             return pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.int64()), *columns], names)
@@ -187,72 +183,101 @@ def contexts(docs: DataFrame, rules: DisclosureRules, entity_marks: np.ndarray,
         if rows:
             yield out(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, entity long, term long, n long")
+    return docs.select(_row_digest().alias("row"), "text").mapInArrow(run, "row long, entity long, term long, n long")
+
+
+def _row_digest():
+    """Key of a document row: null and repeated ids with texts of their own stay apart."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _summed(counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``(keys, n)`` parts by key."""
+    keys, n = (np.concatenate(c) for c in zip(*counts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
 
 
-def term_frequencies(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``(term, df)`` over all documents for the terms whose low bits are marked in the bitmap ``wanted``."""
-    marks = docs.sparkSession.sparkContext.broadcast(wanted)
+def term_frequencies(docs: DataFrame, hold: int = 1 << 20) -> DataFrame:
+    """``(term, df)``: the documents that hold each word of three or more bytes, over all documents.
 
+    A task sums its texts' words and sends a sum when it holds ``hold`` terms, or ends.
+    """
     def run(batches):
-        keep = marks.value
+        held, size = [], 0
+
+        def send():
+            keys, n = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["term", "df"])
+
         for batch in batches:
-            count = Counter()
             for piece in pieces(batch.column(0), fold=True):
                 start, end, doc = piece.words()
-                hashes = piece.hasher(start, end)
-                hit = keep[(hashes & np.uint64(len(keep) - 1)).astype(np.int64)]
-                pairs = np.unique(np.stack([hashes[hit], doc[hit].astype(np.uint64)], axis=1), axis=0)
-                terms, n = np.unique(pairs[:, 0].view(np.int64), return_counts=True)
-                count.update(dict(zip(terms.tolist(), n.tolist())))
-            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], ["term", "df"])
+                long = end - start >= 3
+                if not long.any():
+                    continue
+                hashes, doc = piece.hasher(start[long], end[long]), doc[long]
+                order = np.argsort(hashes, kind="stable")  # documents stay in order inside a term
+                hashes, doc = hashes[order], doc[order]
+                once = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
+                held.append(_summed([(hashes[once], np.ones(int(once.sum()), np.int64))]))
+                size += len(held[-1][0])
+                if size > hold:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if size > hold // 2:
+                        yield send()
+                        size = 0
+        if held:
+            held = [_summed(held)]
+            yield send()
 
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing_terms(docs: DataFrame, rules: DisclosureRules, bitmap: int = 1 << 20) -> tuple | None:
-    """``(entity, term, share)`` of the terms at or over ``generalise_at``, and the bitmap of the entities counted; None if there is none.
+def disclosing_terms(docs: DataFrame, rules: DisclosureRules) -> tuple | None:
+    """``(entity, term, share)`` of the terms at or over ``generalise_at``, and the filter of the entities counted; None if there is none.
 
-    Counts are grouped with map-side sums, those of the pairs only for entities
-    within the bounds.  The only things that reach the driver are bitmaps of
-    fixed size that tell the next scan what may be wanted; the exact matches
-    are joins.
+    Counts are summed in the tasks and grouped by Spark, those of the pairs only
+    for entities within the bounds, and joined exactly.  Only filters, sized by
+    what they hold, reach the driver.
     """
     total = docs.count()
     if not total:
         return None
     entities = materialise(entity_rows(docs).groupBy("entity").agg(F.sum("n").alias("n_entity"))
                            .where((F.col("n_entity") >= rules.min_documents) & (F.log2(F.lit(total) / F.col("n_entity")) >= rules.min_information)), "entities")
-    entity_marks = _marks(entities, F.col("entity"), bitmap)
-    if not entity_marks.any():
+    wanted = key_filter(entities, F.col("entity"))
+    if wanted is None:
         return None
-    pairs = materialise(contexts(docs, rules, entity_marks).groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
+    pairs = materialise(contexts(docs, rules, wanted).groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
                         .where(F.col("n_both") >= rules.min_documents).join(entities, "entity"), "pairs")
-    wanted = _marks(pairs, F.col("term"), bitmap)
-    if not wanted.any():
+    if pairs.isEmpty():
         return None
-    scored = pairs.join(term_frequencies(docs, wanted), "term")
+    scored = pairs.join(term_frequencies(docs).where(F.col("df") >= rules.min_documents), "term")
     n = F.lit(float(total))
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("df")))
     share = pmi / F.log2(n / F.col("n_entity"))
-    return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise_at), entity_marks
+    return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise_at), wanted
 
 
-def _with_hints(docs: DataFrame, rules: DisclosureRules, bitmap: int = 1 << 20) -> DataFrame:
+def _with_hints(docs: DataFrame, rules: DisclosureRules) -> DataFrame:
     """``docs`` and a last column: the entities of each document that have disclosing terms in it, with the terms to remove and to generalise."""
     kind = "array<struct<entity:bigint,removed:array<bigint>,generalised:array<bigint>>>"
     found = disclosing_terms(docs, rules)
     terms = materialise(found[0], "terms") if found else None
-    pair_marks = _marks(terms, F.col("entity").bitwiseXOR(F.col("term")), bitmap) if found else np.zeros(1, bool)
-    if not pair_marks.any():
+    chosen = key_filter(terms, F.col("entity").bitwiseXOR(F.col("term"))) if found else None
+    if chosen is None:
         return docs.select("*", F.lit(None).cast(kind).alias("__hints"))
     remove = F.col("share") >= rules.remove_at
-    hints = materialise(contexts(docs, rules, found[1], pair_marks).join(terms, ["entity", "term"]).groupBy("doc_id", "entity")
+    hints = materialise(contexts(docs, rules, found[1], chosen).join(terms, ["entity", "term"]).groupBy("row", "entity")
                         .agg(F.collect_set(F.when(remove, F.col("term"))).alias("removed"), F.collect_set(F.when(~remove, F.col("term"))).alias("generalised"))
-                        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("entity", "removed", "generalised")).alias("hints")), "hints")
-    whole = docs.select(F.struct("*").alias("row"))  # keeps columns of any name apart from those joined
+                        .groupBy(F.col("row").alias("_of")).agg(F.collect_list(F.struct("entity", "removed", "generalised")).alias("hints")), "hints")
+    whole = docs.select(F.struct("*").alias("row"), _row_digest().alias("_id"))  # keeps columns of any name apart from those joined
     # the hints grow with the documents: no broadcast at any size
-    return whole.join(hints.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("_id")), "left").select("row.*", F.col("hints").alias("__hints"))
+    return whole.join(hints.hint("merge"), F.col("_id") == F.col("_of"), "left").select("row.*", F.col("hints").alias("__hints"))
 
 
 def method_spans(text: str, base: list, hints: list, rules: DisclosureRules) -> list:

@@ -100,3 +100,35 @@ def test_terms_of_the_whole_text_are_hidden(spark):
         want = [(m.start(), m.end()) for m in re.finditer("(?i)zaphod", text)]
         got = [tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s.startswith("term")]
         assert set(want) <= set(got)
+
+
+def test_rows_without_ids_keep_their_own_hints_and_directories_their_pairs(spark):
+    filler = [f"common words in plain row number {i} of text" for i in range(400)]
+    people = {n: [f"{n} opens profile {i} and writes to {n}@hitch.org common words" for i in range(4)] for n in ("zaphod", "trillian", "marvin")}
+    page = " ".join(f"person{i} lives at street{i} mail person{i}@book.net" for i in range(150))
+    pages = [page + f" edition{k} common words" for k in range(3)]
+    rows = [(None, t) for own in people.values() for t in own] + list(enumerate(filler)) + [(7, t) for t in pages]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = [r.text for r in sanitise_documents(docs).collect()]
+    assert len(clean) == len(rows)
+    for name in people:
+        assert sum(f"[EMAIL] common words" in t for t in clean) >= 12 and not any(name in t for t in clean)
+    whole = [t for t in clean if "edition" in t]
+    assert len(whole) == 3 and all("person" not in t and "street" not in t and t.count("[EMAIL]") == 150 for t in whole)
+
+
+def test_document_frequencies_count_every_text(spark):
+    from collections import Counter
+
+    from seasoncast.llm.pii_disclosure import term_frequencies
+    from seasoncast.llm.textvec import pieces
+    import pyarrow as pa
+    rng = random.Random(6)
+    texts = [" ".join(f"word{min(int(rng.paretovariate(0.6)), 900)}" for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "ab c", "word1 WORD1 word1."]
+    want = Counter(w for t in texts for w in set(re.findall("[a-z0-9]{3,}", (t or "").lower())))
+    (piece,) = pieces(pa.array([" ".join(want)]), fold=True)
+    start, end, _ = piece.words()
+    name = dict(zip(piece.hasher(start, end).view("int64").tolist(), want))
+    for hold in (1 << 20, 50):
+        got = term_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), hold).collect()
+        assert {name[r.term]: r.df for r in got} == dict(want)
