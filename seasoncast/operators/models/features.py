@@ -66,7 +66,8 @@ class PCAProjection:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Project centred rows: ``(x - mean) @ components`` as ``array<double>``, a batch of rows at a time."""
-        held = df.sparkSession.sparkContext.broadcast((self.mean, self.components))  # d x (k + 1) numbers
+        # d x (k + 1) numbers, in one order of memory, on which the order of the sums depends
+        held = df.sparkSession.sparkContext.broadcast((np.ascontiguousarray(self.mean), np.ascontiguousarray(self.components)))
 
         @F.pandas_udf("array<double>")
         def project(vectors: pd.Series) -> pd.Series:
