@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from seasoncast.llm.line_quality import LineRules
-from tests.llm.test_edit_decontam import fold, plain_best
+from tests.llm.test_edit_decontam import fold, plain_whole
 from tests.llm.test_line_quality import plain as plain_quality
 from tests.llm.test_line_quality import plain_line_fails
 from tests.llm.test_lsh_forest_join import plain as plain_classes
@@ -11,6 +11,12 @@ from tests.llm.test_pii_disclosure import plain as plain_spans
 SF = "/root/testdata/sf0.001"
 
 
+def holds(doc, item):
+    """Whether a run of words of any length is within a fifth of the item's words of it; a run that is holds most of them."""
+    allowed = int(0.2 * len(item) + 1e-9)
+    return len(item) >= 5 and len(set(item) & set(doc)) >= len(set(item)) - allowed and plain_whole(doc, item) <= allowed
+
+
 def test_pipeline_matches_plain_stages(spark):
     rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     texts = {}
@@ -24,7 +30,7 @@ def test_pipeline_matches_plain_stages(spark):
             texts[i] = "\n".join(x for x, b in zip(lines, bad) if not b) if any(bad) else r.text
     keep = {d for d, c, *_ in plain_classes(sorted(texts.items())) if d == c}
     items = [fold(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    keep = {d for d in keep if all(plain_best(fold(texts[d]), i) is None for i in items)}
+    keep = {d for d in keep if not any(holds(fold(texts[d]), i) for i in items)}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == keep
     for d, r in got.items():
