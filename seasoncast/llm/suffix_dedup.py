@@ -194,8 +194,35 @@ def occurrences(keyed: DataFrame, counts: DataFrame, rules: RepeatRules) -> Data
     return keyed.mapInArrow(run, OCCURRENCES)
 
 
+def _rivals(rows: list, rules: RepeatRules) -> np.ndarray:
+    """Which contexts ``(off, raw)`` may share a window with another one.
+
+    A window holds its anchor, so its core of whole blocks has the block before
+    the anchor and the one at it, or the two before it, or the two from it on;
+    a context none of whose three pairs of blocks is another's has no partner.
+    """
+    data = np.frombuffer(b"".join(r for _, r in rows), np.uint8)
+    length = np.array([len(r) for _, r in rows])
+    base = np.cumsum(length) - length
+    off, hashes = np.array([o for o, _ in rows]), Hasher(data)
+    found = np.zeros(len(rows), bool)
+    for back in (0, 1, 2):  # blocks of the pair that lie before the anchor
+        start = off - back * rules.block
+        fits = np.flatnonzero((start >= 0) & (start + 2 * rules.block <= length))
+        at = base[fits] + start[fits]
+        _, which, times = np.unique(hashes(at, at + 2 * rules.block), return_inverse=True, return_counts=True)
+        found[fits[times[which] > 1]] = True
+    return found
+
+
 def _repeating(rows: list, rules: RepeatRules):
     """Windows of some contexts ``(off, raw)`` that are met in more than one: ``(context, first, last window)`` runs."""
+    kept = np.flatnonzero(_rivals(rows, rules)).tolist()
+    return [(kept[c], a, b) for c, a, b in _sorted_repeats([rows[i] for i in kept], rules)] if len(kept) > 1 else []
+
+
+def _sorted_repeats(rows: list, rules: RepeatRules):
+    """:func:`_repeating` of contexts that may be partners, by the suffix array of all of them."""
     size, block, core = rules.length, rules.block, rules.length // rules.block - 1
     data = np.frombuffer(b"".join(r for _, r in rows), np.uint8)
     length = np.array([len(r) for _, r in rows])
