@@ -7,8 +7,12 @@ segmentations best first.  No piece spans a word start or a line end, so the
 lattice falls apart into units (a word with the spaces before it, a run of
 spaces, a line end): equal units are searched once a worker, and the N best of
 the text are combined from the units' own by the same kind of search.
+Segmentations 2 to N differ from the best one in at most N - 1 units; they are
+given as edits of it, the ids that take the place of some of its own.
 Scores are integers (millionths), so ties are exact and results the same
-everywhere.
+everywhere.  Of equal scores the best one is the one that the forward search
+meets first, the others follow in the order of the search; both depend on the
+text alone.  Texts of any length are segmented whole.
 """
 
 from __future__ import annotations
@@ -275,18 +279,21 @@ class Segmenter:
                 gap = near
         return _HEAD.pack(score, gap) + np.array(ids, "<i4").tobytes()
 
-    def _alternatives(self, unit: str) -> list:
+    def _alternatives(self, unit: str, best: list) -> list:
+        """The n best of a unit, ``(score, ids)``; ``best``, which may be one of several as good, first."""
         if unit not in self.lists:
             if len(self.lists) > self.most // 4:
                 self.lists = {}
             found = n_best(self.model.lattice(unit), self.n)
+            if found[0][1] != best:
+                found = [(found[0][0], best), *(f for f in found if f[1] != best)][:self.n]
             if len(unit) > 64:
                 return found
             self.lists[unit] = found
         return self.lists[unit]
 
     def segment(self, text: str):
-        """``(ids, scores)``: the best segmentation, and the scores of the n best."""
+        """``(ids, scores, others)``: the best segmentation, the scores of the n best, and the edits that give the others."""
         return self.segment_units(self.learn([text])[0])
 
     def segment_units(self, units: list):
@@ -305,11 +312,17 @@ class Segmenter:
             limit = np.partition(gap[open_], self.n - 2)[self.n - 2] if self.n > 1 else -1
             open_ = open_[gap[open_] <= limit]
             open_ = open_[np.argsort(gap[open_], kind="stable")[:self.n - 1]]
-        choices = [[s for s, _ in self._alternatives(units[k])] for k in open_]
-        return ids, self._combine(int(scores.sum()), choices)
+        if not len(open_):
+            return ids, [int(scores.sum())], []
+        length = np.diff(np.append(start, len(words))) - _HEAD.size // 4
+        place = np.cumsum(length) - length
+        ways = [self._alternatives(units[k], ids[place[k]:place[k] + length[k]].tolist()) for k in open_]
+        found = self._combine(int(scores.sum()), [[s for s, _ in w] for w in ways])
+        others = [sorted((int(place[k]), int(length[k]), w[p][1]) for k, w, p in zip(open_, ways, pick) if p) for _, pick in found[1:]]
+        return ids, [s for s, _ in found], others
 
     def segment_all(self, texts: list, size: int = 2_000_000):
-        """Yield ``(ids, scores)`` for each text, about ``size`` characters at a time; None for a null text."""
+        """Yield ``(ids, scores, others)`` for each text, about ``size`` characters at a time; None for a null text."""
         at = 0
         while at < len(texts):
             stop, chars = at, 0
@@ -321,23 +334,36 @@ class Segmenter:
             at = stop
 
     def _combine(self, best: int, choices: list) -> list:
-        """The n best sums of one score from each unit; each step worsens one unit, never an earlier one."""
+        """The n best sums of one score from each unit, with the places taken; each step worsens one unit, never an earlier one."""
         heap, out = [(-best, (0,) * len(choices), 0)], []
         while heap and len(out) < self.n:
             low, pick, frm = heapq.heappop(heap)
-            out.append(-low)
+            out.append((-low, pick))
             for k in range(frm, len(choices)):
                 if pick[k] + 1 < len(choices[k]):
                     worse = choices[k][pick[k]] - choices[k][pick[k] + 1]
                     heapq.heappush(heap, (low + worse, pick[:k] + (pick[k] + 1,) + pick[k + 1:], k))
         return out
 
-    def decode(self, ids) -> str:
-        """Text of a segmentation, without the space put before it."""
+    def raw(self, ids) -> bytes:
+        """Bytes of some pieces."""
         ids = np.asarray(ids, np.int64)
         size = self.size[ids]
         spot = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.flat[spot].tobytes()[1:].decode("utf-8", "surrogatepass")
+        return self.flat[spot].tobytes()
+
+    def decode(self, ids) -> str:
+        """Text of a segmentation, without the space put before it."""
+        return self.raw(ids)[1:].decode("utf-8", "surrogatepass")
+
+
+def edited(ids: np.ndarray, edits: list) -> np.ndarray:
+    """Another of the n best: ``ids`` with some of them replaced, ``(at, size, new ids)`` in order."""
+    parts, last = [], 0
+    for at, size, new in edits:
+        parts += [ids[last:at], np.asarray(new, ids.dtype)]
+        last = at + size
+    return np.concatenate([*parts, ids[last:]])
 
 
 _segmenters: dict = {}
@@ -360,26 +386,34 @@ def _model(docs: DataFrame, path: str):
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, n: int = 4) -> DataFrame:
-    """``docs`` with ``ids`` (best segmentation) and ``scores`` (log-scores of the ``n`` best).
+    """``docs`` with ``ids`` (best segmentation), ``scores`` (log-scores of the ``n`` best) and ``others``.
 
-    A null text has null ids and scores, an empty one the lone space piece; extra columns stay.
-    Existing columns ``ids`` or ``scores`` are replaced.
+    ``others`` gives segmentations 2 to n as edits of the best: each a list of
+    ``(at, size, ids)``, ids in place of ``size`` ids from ``at`` on.  A null
+    text has nulls, an empty one the lone space piece; extra columns stay.
+    Existing columns of the three names are replaced.
     """
-    model, names = _model(docs, path), [c for c in docs.columns if c not in ("ids", "scores")]
+    model, names = _model(docs, path), [c for c in docs.columns if c not in ("ids", "scores", "others")]
+    edit = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
     at = names.index("text")
 
     def run(batches):
         for batch in small(batches):
             own = _segmenter(model, n)
-            ids, scores = [], []  # ids of one Arrow batch at a time
+            ids, scores, others = [], [], []  # ids of one Arrow batch at a time
             for found in own.segment_all(batch.column(at).to_pylist()):
-                best, values = found or (None, None)
+                best, values, edits = found or (None, None, None)
                 ids.append(best)
                 scores.append(values and [v / SCALE for v in values])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64()))], [*names, "ids", "scores"])
+                others.append(edits and [[{"at": a, "size": n, "ids": new} for a, n, new in way] for way in edits])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(others, edit)],
+                                             [*names, "ids", "scores", "others"])
 
     kept = docs.select(*[f"`{c}`" for c in names])
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType()))]))
+    whole = T.ArrayType(T.IntegerType())
+    way = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("ids", whole)]))
+    more = [T.StructField("ids", whole), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(way))]
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *more]))
 
 
 def decode_ids(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -398,24 +432,28 @@ def decode_ids(rows: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def segmentation_report(docs: DataFrame, path: str = MODEL, n: int = 4) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, score, scores, ids_sha256, roundtrip``.
+    """One row per input row: ``doc_id, n_tokens, score, scores, ids_sha256, n_best_sha256, roundtrip``.
 
     ``ids_sha256`` is over the little-endian 32-bit ids of the best
-    segmentation; ``roundtrip`` says that decoding them gives the text again.
+    segmentation, ``n_best_sha256`` has the digests of all n; ``roundtrip`` says
+    that decoding each of them gives the text again.
     Null texts count as empty; extra columns are ignored; an empty table gives no rows.
     """
     model = _model(docs, path)
-    names = ["doc_id", "n_tokens", "score", "scores", "ids_sha256", "roundtrip"]
+    names = ["doc_id", "n_tokens", "score", "scores", "ids_sha256", "n_best_sha256", "roundtrip"]
+    digest = lambda ids: hashlib.sha256(ids.tobytes()).hexdigest()
 
     def run(batches):
         for batch in small(batches):
             own = _segmenter(model, n)
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for text, (raw, scores) in zip(texts, own.segment_all(texts)):
-                rows.append((len(raw), scores[0] / SCALE, [s / SCALE for s in scores], hashlib.sha256(raw.tobytes()).hexdigest(), own.decode(raw) == text))
-            cols = list(zip(*rows)) or [()] * 5
-            types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_())
+            for text, (ids, scores, others) in zip(texts, own.segment_all(texts)):
+                digests = [digest(ids), *(digest(edited(ids, way)) for way in others)]
+                same = own.decode(ids) == text and all(own.raw(new) == own.raw(ids[a:a + n]) for way in others for a, n, new in way)
+                rows.append((len(ids), scores[0] / SCALE, [s / SCALE for s in scores], digests[0], digests, same))
+            cols = list(zip(*rows)) or [()] * 6
+            types = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double, scores array<double>, ids_sha256 string, roundtrip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double, scores array<double>, ids_sha256 string, n_best_sha256 array<string>, roundtrip boolean")
