@@ -36,7 +36,7 @@ class HmmRules:
     start_tokens: int = 4_000_000  # training tokens, about, on which the start of the rounds is found
     symbols: int = 8191       # most frequent tokens with emissions of their own
     head: int = 1 << 18       # most frequent tokens whose counts every task holds; the rest is joined
-    batch_tokens: int = 300_000
+    batch_tokens: int = 600_000
     held_tokens: int = 3_000_000  # tokens of a task sorted by length at once
     seed: int = 8
 
@@ -92,10 +92,39 @@ class Vocabulary:
         return np.where(held, self.c[at], 0), np.where(held, self.symbol[at], self.n_symbols).astype(np.uint16), held
 
 
+def _head(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most frequent tokens, END first, ties by token, and few others: what a sort has to look at.
+
+    The least count that gets in is read off the counts' histogram: by powers of
+    two, then inside the power where the head ends (some ``most`` counts at the
+    utmost).  Of the tokens with just that count, which may be most of all, the
+    ones needed are taken by a cut in their hash, with room to spare.
+    """
+    power = F.length(F.bin("c"))
+    room, cut = most, None
+    for r in counts.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
+        if r["count"] >= room:
+            cut = r["power"]
+            break
+        room -= r["count"]
+    if cut is None:
+        return counts
+    least = None
+    for r in counts.where(power == cut).groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
+        least, ties = r["c"], r["count"]
+        if ties >= room:
+            break
+        room -= ties
+    low, span = -(1 << 63), 1 << 64
+    share = min(1.0, (room + 6 * room ** 0.5 + 64) / ties)  # hashes are spread evenly
+    edge = min(low + int(share * span), (1 << 63) - 1)
+    return counts.where((F.col("c") > least) | (F.col("token") == END) | ((F.col("c") == least) & (F.col("token") <= edge)))
+
+
 def vocabulary(counts: DataFrame, rules: HmmRules) -> Vocabulary:
     """Only the head, ``rules.head`` rows at most, and the totals reach the driver."""
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy((F.col("token") != END), F.col("c").desc(), "token").limit(rules.head).toArrow()
+    top = (_head(counts, rules.head).orderBy((F.col("token") != END), F.col("c").desc(), "token").limit(rules.head).toArrow())
     return Vocabulary(top["token"].to_numpy(), top["c"].to_numpy(), total[0] or 0, total[1], rules.symbols)
 
 
@@ -167,12 +196,13 @@ class Hmm:
         """Scaled forward recursion over rows sorted by falling length; ``alive[t]`` rows reach step t.
 
         Returns the natural log-likelihoods, and with ``keep`` the scaled
-        forward probabilities (step, state, row) and the scales.
+        forward probabilities (step, state, row) and the scales.  Numbers have
+        the type of ``emit``; logarithms are doubles.
         """
-        n, steps = rows.shape
+        n, steps, kind = *rows.shape, self.emit.dtype
         seen, emit, move = np.ascontiguousarray(rows.T), np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
-        alphas = np.empty((steps, len(emit), n)) if keep else None
-        scales, a = np.ones((steps, n)), None
+        alphas = np.empty((steps, len(emit), n), kind) if keep else None
+        scales, a = np.ones((steps, n), kind), None
         for t in range(steps):
             k = alive[t]
             a = np.repeat(self.start[:, None], k, axis=1) if a is None else move @ a[:, :k]
@@ -180,33 +210,37 @@ class Hmm:
             a /= np.add.reduce(a, axis=0, out=scales[t, :k])
             if keep:
                 alphas[t, :, :k] = a
-        return np.log(scales).sum(axis=0), alphas, scales
+        return np.log(scales, dtype=np.float64).sum(axis=0), alphas, scales
 
     def expect(self, rows: np.ndarray, alive: np.ndarray, counts: np.ndarray) -> float:
-        """Add the expected counts of some sequences to ``counts``; returns their log-likelihood."""
+        """Add the expected counts of some sequences to ``counts`` (doubles); returns their log-likelihood."""
         log, alphas, scales = self.forward(rows, alive, keep=True)
-        n, steps = len(self.start), rows.shape[1]
+        n, steps, kind = len(self.start), rows.shape[1], self.emit.dtype
         seen, emit = np.ascontiguousarray(rows.T), np.ascontiguousarray(self.emit.T)
         used = np.concatenate([seen[t, :alive[t]] for t in range(steps)])
         cuts = np.append(0, np.cumsum(alive))
-        gamma, moves, back = np.empty((n, len(used))), np.zeros((n, n)), None
+        gamma, moves, back = np.empty((n, len(used)), kind), np.zeros((n, n)), None
         for t in range(steps - 1, -1, -1):
             k, m = alive[t], alive[t + 1] if t + 1 < steps else 0
-            now = np.ones((n, k))
+            now = np.ones((n, k), kind)
             if m:
                 ahead = emit.take(seen[t + 1, :m], axis=1)
                 ahead *= back
                 ahead /= scales[t + 1, :m]
                 moves += alphas[t, :, :m] @ ahead.T
-                now[:, :m] = self.move @ ahead
+                np.matmul(self.move, ahead, out=now[:, :m])
             np.multiply(alphas[t, :, :k], now, out=gamma[:, cuts[t]:cuts[t + 1]])
             back = now
-        counts[0] += gamma[:, :alive[0]].sum(axis=1)
+        counts[0] += gamma[:, :alive[0]].sum(axis=1, dtype=np.float64)
         counts[1:n + 1] += self.move * moves
         for s in range(n):
             counts[n + 1:, s] += np.bincount(used, gamma[s], minlength=len(counts) - n - 1)
         return float(log.sum())
 
+    def narrow(self) -> Hmm:
+        """The same model in single precision: half the memory traffic of the rounds."""
+        return Hmm(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def sequences(column, most: int):
     """Group the symbol sequences of a column by length: ``(positions, rows, alive)`` of about ``most`` tokens each."""
@@ -243,7 +277,7 @@ def expected_counts(training: DataFrame, model: Hmm, size: int, rules: HmmRules)
     A task emits one row for each symbol and state of the model, whatever it
     has read; sums over the partitions are Spark's.
     """
-    held, names = training.sparkSession.sparkContext.broadcast(model), [f"s{s}" for s in range(rules.states)]
+    held, names = training.sparkSession.sparkContext.broadcast(model.narrow()), [f"s{s}" for s in range(rules.states)]
 
     def run(batches):
         counts, log, read = np.zeros((size, rules.states)), 0.0, 0

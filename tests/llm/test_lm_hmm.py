@@ -87,3 +87,36 @@ def test_rounds_end_only_when_converged(spark):
     steps = [.095, .0013, .0014, .0016, .002, .03, .02, .004, .0005]
     log = list(-5.6 + np.cumsum([0, *steps]))
     assert [n for n in range(len(log) + 1) if lm_hmm.converged(log[:n], 5e-4)] == [len(log)]
+
+
+def test_head_is_the_sorted_head(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seasoncast.llm.lm_hmm import END, _head, vocabulary, HmmRules
+    rng = random.Random(4)
+    for kind in ("zipf", "flat", "few"):
+        n = 3000 if kind != "few" else 20
+        rows = [(rng.randrange(-2 ** 63, 2 ** 63), 1 if kind == "flat" else 1 + int(3000 / (i + 1))) for i in range(n)] + [(END, 2)]
+        counts = spark.createDataFrame(rows, "token long, c long").repartition(5)
+        want = sorted(rows, key=lambda r: (r[0] != END, -r[1], r[0]))[:200]
+        near = _head(counts, 200)
+        assert near.count() <= 200 + 6 * 200 ** 0.5 + 200
+        got = near.orderBy((F.col("token") != END), F.col("c").desc(), "token").limit(200).collect()
+        assert [tuple(r) for r in got] == want
+        v = vocabulary(counts, HmmRules(head=200, symbols=50))
+        assert sorted(v.token.tolist()) == sorted(t for t, _ in want) and v.total == sum(c for _, c in rows) and v.distinct == len(rows)
+
+
+def test_narrow_rounds_count_alike():
+    import numpy as np
+
+    from seasoncast.llm.lm_hmm import Hmm
+    rng = np.random.default_rng(3)
+    emit, move = rng.random((30, 4)), rng.random((4, 4))
+    model = Hmm(np.full(4, 0.25), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    rows, alive = rng.integers(0, 30, (50, 700)), np.full(700, 50)
+    wide, narrow = np.zeros((35, 4)), np.zeros((35, 4))
+    a, b = model.expect(rows, alive, wide), model.narrow().expect(rows, alive, narrow)
+    assert abs(a / b - 1) < 1e-6 and np.allclose(wide, narrow, rtol=1e-4)
