@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.operators.similarity import PAIR_SCHEMA, best_pairs, block_topk, knn_join, vectors_of
+from seasoncast.operators.similarity import PAIR_SCHEMA, best_pairs, block_topk, deal_to_rows, equal_vectors, knn_join, unique_ids, vectors_of
 from seasoncast.session import materialise, path_exists, scratch_folder
 
 _SHARE = 1 << 30
@@ -186,6 +186,21 @@ class CellIndex:
         if not len(self.centres):
             return spark.createDataFrame([], PAIR_SCHEMA).selectExpr("query_id", "neighbor_id", "cast(0 as int) as rank", "similarity")
         q = vectors_of(queries, id_col, vec_col)
+        cells = self.cells.select("id", "vec", "cell", "part")
+        if not unique_ids(q, cells):
+            return best_pairs(self._probe(q, cells, k, probes, exclude_self, sim_digits), k)
+        # Equal vectors lie in one cell and are compared once, as in the exact join.
+        width = k + int(exclude_self)
+        asked = materialise(equal_vectors(q, 1).select("id", "vec"), "ann-asked")
+        known = materialise(equal_vectors(cells, width, "cell"), "ann-known")
+        parts = F.broadcast(self.sizes.select("cell", "parts"))
+        placed = known.join(parts, "cell").select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+        near = best_pairs(self._probe(asked, placed, width, probes, False, sim_digits), width)
+        return deal_to_rows(near, q, asked, known, k, exclude_self)
+
+    def _probe(self, q: DataFrame, cells: DataFrame, k: int, probes: int | None, exclude_self: bool, sim_digits: int | None) -> DataFrame:
+        """The best ``k`` of every part of the probed cells for every query row."""
+        spark = q.sparkSession
         held = spark.sparkContext.broadcast(self.centres)
         probed = q.mapInArrow(_into_cells(held, min(probes or self.probes or 8, len(self.centres))), f"id long, vec {q.schema['vec'].dataType.simpleString()}, cell int, probe int")
         probed = materialise(probed.drop("probe"), "ann-probes")
@@ -195,11 +210,10 @@ class CellIndex:
         sides = F.broadcast(plan)
         q = (probed.join(sides, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "block", "id", "vec"))
-        c = (self.cells.join(sides, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        c = (cells.join(sides, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("cell", "part", "block", "id", "vec"))
         key = ["cell", "part", "block"]
-        found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA)
-        return best_pairs(found, k)
+        return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

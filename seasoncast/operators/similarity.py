@@ -11,8 +11,14 @@ Exact search is a blocked matrix product:
 * a ``row_number() <= k`` window merges the candidates (Spark plans a partial
   ``WindowGroupLimit`` before the shuffle).
 
-Shuffle volume is |Q| x corpus_blocks + |C| x query_blocks vectors.  A small
-corpus (one block) is shipped once to each query block, like a broadcast join.
+Rows with equal vectors are compared once: a vector stands for the rows that
+have it, and of a corpus vector the first k + 1 ids are kept, more of them
+cannot be among any row's k nearest.  The neighbours of a vector are then dealt
+to its rows.  Tables whose ids repeat are compared row by row.
+
+Shuffle volume is |Q| x corpus_blocks + |C| x query_blocks different vectors.  A
+small corpus (one block) is shipped once to each query block, like a broadcast
+join.
 Neighbours are ranked by the rounded similarity and then by id, in the task and
 in the merge, so equal vectors rank the same everywhere.  Vectors travel in
 their own type (float32 stays float32) and are widened inside the task.  For
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seasoncast.session import materialise
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -44,12 +51,31 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+def _narrow(sim: np.ndarray, kk: int, slack: float):
+    """``(rows, columns)`` of all that can be among a row's best ``kk``, in order; None if they are most of a block.
+
+    The ``kk``-th largest of the maxima of slices of a row is a lower bound of
+    its ``kk``-th similarity, found without ordering the row.
+    """
+    n = sim.shape[1]
+    width = min(64, n // (4 * kk))
+    if width < 2:
+        return None
+    whole = n - n % width
+    tops = sim[:, :whole].reshape(len(sim), -1, width).max(axis=2)
+    bound = np.partition(tops, tops.shape[1] - kk, axis=1)[:, tops.shape[1] - kk]
+    close = ~(sim < (bound - slack)[:, None])
+    return np.nonzero(close) if np.count_nonzero(close) <= sim.size // 8 else None
+
+
 def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int = 16 << 20):
     """Best ``k`` of a corpus block for every row of a query block, ties by id.
 
     Query rows are scored some at a time, so the similarities held are
     ``chunk_bytes`` whatever the block.  With the corpus in order of id, a row
     takes all that beat its k-th similarity and then the first that equal it.
+    Only what can be among the best is rounded and ordered, unless ties or odd
+    numbers make that most of the block.
     """
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -58,13 +84,27 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
             qv, cv = _unit(q["vec"]), _unit(c["vec"])
             qid, cid = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
             kk, step = min(k, len(cid)), max(1, chunk_bytes // (8 * len(cid)))
+            slack = 0.0 if digits is None else 2.0 * 10.0 ** -digits
+            plain = np.isfinite(qv).all() and np.isfinite(cv).all()
             for at in range(0, len(qid), step):
                 ids = qid[at:at + step]
                 sim = qv[at:at + step] @ cv.T
-                if digits is not None:
-                    np.round(sim, digits, out=sim)
                 if exclude_self:
                     sim[ids[:, None] == cid[None, :]] = -np.inf
+                near = _narrow(sim, kk, slack) if plain else None
+                if near is not None:
+                    rows, cols = near
+                    value = sim[rows, cols]
+                    if digits is not None:
+                        value = np.round(value, digits)
+                    order = np.lexsort((cols, -value, rows))
+                    rows, cols, value = rows[order], cols[order], value[order]
+                    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    keep = (nth < kk) & (value > -np.inf)
+                    found.append((ids[rows[keep]], cid[cols[keep]], value[keep]))
+                    continue
+                if digits is not None:
+                    np.round(sim, digits, out=sim)
                 kth = np.partition(sim, len(cid) - kk, axis=1)[:, len(cid) - kk, None]
                 over = sim > kth
                 tied = sim == kth
@@ -88,6 +128,44 @@ def best_pairs(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "neighbor_id", "rank", "similarity")
 
 
+def unique_ids(*frames: DataFrame) -> bool:
+    """Whether no frame has an ``id`` twice, or a row without one."""
+    for df in frames:
+        more = df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+        if more.limit(1).count():
+            return False
+    return True
+
+
+def equal_vectors(rows: DataFrame, keep: int, *by: str) -> DataFrame:
+    """A row for each vector of ``(id, vec)``: the least ``id`` that has it, the vector, and its ``keep`` least ids in order.
+
+    Equal vectors agree in the columns ``by``.  Ids over ``keep`` go before the
+    shuffle, so a vector that many rows have makes no large group.
+    """
+    order = Window.partitionBy(*by, "vec").orderBy("id")
+    least = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
+    return least.groupBy(*by, "vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def deal_to_rows(near: DataFrame, rows: DataFrame, asked: DataFrame, known: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """``(query_id, neighbor_id, rank, similarity)`` of all ``rows`` from the nearest vectors (by their least ids) of each vector.
+
+    ``near`` has the best ``k`` of the ``known`` vectors for each that is
+    ``asked`` for, one more if rows are not their own neighbours.
+    """
+    width = k + int(exclude_self)
+    found = (near.select("query_id", F.col("neighbor_id").alias("id"), "similarity").join(known.select("id", "ids"), "id")
+             .select("query_id", "similarity", F.explode("ids").alias("neighbor_id")))
+    best = (best_pairs(found, width).groupBy("query_id")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "similarity"))).alias("best")))
+    best = best.join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id").select("vec", "best")
+    mine = rows.select(F.col("id").alias("query_id"), "vec").join(best, "vec")
+    others = F.filter("best", lambda x: x["neighbor_id"] != F.col("query_id")) if exclude_self else F.col("best")
+    return (mine.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "b"))
+            .select("query_id", "b.neighbor_id", (F.col("at") + 1).cast("int").alias("rank"), "b.similarity"))
+
+
 BLOCK_BYTES = 32 << 20  # vectors of one side of a block pair, as float64
 
 
@@ -101,14 +179,25 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "
 
     Returns ``(query_id, neighbor_id, rank, similarity)``; ``rank`` starts at 1.
     Rows without a vector (null) neither ask nor answer; a vector of zeros is
-    0 alike to all.  Blocks hold ``block_rows`` rows, or so many that every core
+    0 alike to all.  Blocks hold ``block_rows`` vectors, or so many that every core
     has a pair of blocks, at most what fits into ``BLOCK_BYTES`` by the width of
     the vectors.
     """
     q, c = vectors_of(queries, id_col, vec_col), vectors_of(corpus, id_col, vec_col)
+    if not unique_ids(q, c):
+        return best_pairs(_block_pairs(q, c, k, exclude_self, block_rows, sim_digits), k)
+    width = k + int(exclude_self)
+    asked = materialise(equal_vectors(q, 1).select("id", "vec"), "knn-asked")
+    known = materialise(equal_vectors(c, width), "knn-known")
+    near = best_pairs(_block_pairs(asked, known.select("id", "vec"), width, False, block_rows, sim_digits), width)
+    return deal_to_rows(near, q, asked, known, k, exclude_self)
+
+
+def _block_pairs(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, block_rows: int | None, sim_digits: int | None) -> DataFrame:
+    """The best ``k`` of every corpus block for every query row, as ``PAIR_SCHEMA``."""
     # Sizes pick the block counts (two cheap jobs).
     (nq, dq), (nc, dc) = (df.agg(F.count("*"), F.max(F.size("vec"))).first() for df in (q, c))
-    cores = queries.sparkSession.sparkContext.defaultParallelism
+    cores = q.sparkSession.sparkContext.defaultParallelism
     spread = max(1024, math.ceil(max(nq, nc) / (2 * math.sqrt(cores))))
     block_rows = block_rows or min(spread, max(1, BLOCK_BYTES // (8 * max(dq or 1, dc or 1))))
     bq, bc = _blocks(nq, block_rows), _blocks(nc, block_rows)
@@ -116,9 +205,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
     c = (c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
+    return (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
             .applyInPandas(block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA))
-    return best_pairs(cand, k)
 
 
 class KnnIndex:

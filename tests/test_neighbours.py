@@ -96,3 +96,47 @@ def test_index_on_odd_tables(spark):
     # the start is drawn from a bounded share; every row is indexed
     share = ann.CellIndex.fit(spark.createDataFrame(clusters(600), VECTORS), train_rows=50, centre_bytes=8 * 16 * 12)
     assert len(share.centres) == 12 and share.cells.count() == 600
+
+
+def test_rows_with_one_vector_are_compared_once(spark, monkeypatch):
+    """A pair of vectors is scored once, whatever the number of their rows; every row gets its own neighbours."""
+    rng = np.random.default_rng(4)
+    base = [rng.integers(-2, 3, 5).astype(float).tolist() for _ in range(12)]
+    rows = [(i, base[int(rng.integers(12))]) for i in range(300)]
+    df = spark.createDataFrame(rows, VECTORS)
+    seen, plain_pairs = [], similarity._block_pairs
+
+    def counted(q, c, *more):
+        seen.append((q.count(), c.count()))
+        return plain_pairs(q, c, *more)
+
+    monkeypatch.setattr(similarity, "_block_pairs", counted)
+    assert rows_of(similarity.knn_join(df, df.where("id % 3 > 0"), k=6)) == plain(rows, [r for r in rows if r[0] % 3], 6)
+    assert rows_of(similarity.knn_join(df, df, k=6, exclude_self=False)) == plain(rows, rows, 6, False)
+    distinct = len({tuple(v) for _, v in rows})
+    assert max(max(n) for n in seen) == distinct
+    index = ann.CellIndex.fit(df, n_cells=4, part_rows=20)
+    assert rows_of(index.search(df, 6, probes=99, exclude_self=True)) == plain(rows, rows, 6)
+
+
+def test_repeated_ids_are_compared_row_by_row(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted((r.query_id, r.neighbor_id, r["rank"]) for r in similarity.knn_join(df, df, k=2).collect())
+    assert got == [(1, 3, 1), (1, 3, 2), (2, 1, 1), (2, 1, 2), (3, 1, 1), (3, 1, 2)]
+
+
+@pytest.mark.parametrize("digits", [9, 1, None])
+def test_narrowed_blocks_keep_the_best(digits):
+    """Few candidates of a block are ordered; ties by rounding and rows left out do not change what is found."""
+    rng = np.random.default_rng(5)
+    side = pd.DataFrame({"id": rng.permutation(3000), "vec": list(rng.standard_normal((3000, 8)))})
+    asked = side.iloc[:40]
+    got = similarity.block_topk(5, True, digits)(None, asked, side)
+    unit = similarity._unit(side["vec"])
+    sim = similarity._unit(asked["vec"]) @ unit.T
+    sim = sim if digits is None else np.round(sim, digits)
+    for n, qid in enumerate(asked["id"]):
+        best = sorted((-s, i) for s, i in zip(sim[n], side["id"]) if i != qid)[:5]
+        mine = got[got["query_id"] == qid]
+        assert sorted(zip(-mine["similarity"], mine["neighbor_id"])) == best
