@@ -4,8 +4,9 @@ Documents with equal shingle sets are one text.  Each trie of the forest orders
 texts by its own run of MinHash values; texts that share a prefix are
 candidates.  A prefix starts at full depth and is shortened until the recall
 target is met at the threshold similarity; where a short prefix is shared by
-too many texts, that bucket alone keeps deeper prefixes, and the leaders of the
-deeper buckets are matched at the short one.  Candidates by signature are
+too many texts, deeper prefixes and the leaders of the deeper buckets are
+matched first, and then all pairs of the short one that these left in different
+groups, block by block.  Candidates by signature are
 joined to groups, and all pairs within a group are verified on the whole
 shingle sets, block by block, inside the tasks: only counts and spanning edges
 leave a task, never the pairs.
@@ -37,7 +38,7 @@ class ForestRules:
     values: int = 125
     deepest: int = 16
     floor: float = 0.62       # signature similarity of candidates: five standard errors below the threshold
-    bucket: int = 1500        # texts of a bucket that are compared with one another
+    bucket: int = 1500        # texts of a bucket that one task compares with one another
     block: int = 1500         # texts of a group that one task compares with another such block
     seed: int = 2
 
@@ -125,16 +126,21 @@ def prefix_keys(texts: DataFrame, rules: ForestRules, depths: tuple) -> DataFram
     return texts.select("id", "sig").mapInArrow(run, "id long, short long, deep long")
 
 
-def buckets(texts: DataFrame, rules: ForestRules) -> DataFrame:
+def shared_prefixes(texts: DataFrame, rules: ForestRules) -> DataFrame:
+    """``(short, id, deep, n)`` of the short prefixes that ``n`` texts share, two or more."""
+    depth = shortest_prefix(rules)
+    keys = materialise(prefix_keys(texts, rules, (depth, max(depth + 1, rules.deepest))), "prefixes")
+    many = keys.groupBy("short").agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(keys.join(many, "short"), "shared")
+
+
+def buckets(shared: DataFrame, rules: ForestRules) -> DataFrame:
     """``(bucket, id)`` of all prefixes that texts share, no bucket over about ``rules.bucket``.
 
     A short prefix shared by more is replaced by its deep ones (salted where
-    even those are too many) and by buckets of the leaders of these.
+    even those are too many) and by buckets of the leaders of these; the pairs
+    that this leaves out are those of :func:`remaining_edges`.
     """
-    depth = shortest_prefix(rules)
-    keys = materialise(prefix_keys(texts, rules, (depth, max(depth + 1, rules.deepest))), "prefixes")
-    many = keys.groupBy("short").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(keys.join(many, "short"), "shared")
     small = shared.where(F.col("n") <= rules.bucket).select(F.col("short").alias("bucket"), "id")
     parts = lambda n: F.ceil(F.col(n) / F.lit(rules.bucket * 2 // 3))
     hot = shared.where(F.col("n") > rules.bucket)
@@ -180,18 +186,22 @@ def _groups(batches, n_keys: int):
         yield last, pa.Table.from_batches(held)
 
 
-def candidate_edges(texts: DataFrame, rules: ForestRules) -> DataFrame:
-    """Spanning edges ``(a, b)`` of the signature-similar texts of each bucket."""
-    short = F.col("sig")
-    placed = buckets(texts, rules).groupBy("id").agg(F.collect_list("bucket").alias("places"))  # a few a trie at most
-    rows = (placed.join(texts.select("id", short), "id").select(F.explode("places").alias("bucket"), "id", "sig"))
-
-    def small_sig(batches):
+def _low(rules: ForestRules):
+    """Signatures, the last column, cut to a byte a value."""
+    def run(batches):
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, rules.values)
+                sig = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint32).reshape(batch.num_rows, rules.values)
                 low = np.ascontiguousarray((sig >> np.uint32(7)).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in low], pa.binary())], ["bucket", "id", "sig"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in low], pa.binary())], batch.schema.names)
+    return run
+
+
+def candidate_edges(texts: DataFrame, rules: ForestRules) -> DataFrame:
+    """Edges ``(a, b)`` that span the signature-similar texts of every short prefix."""
+    shared = shared_prefixes(texts, rules)
+    placed = buckets(shared, rules).groupBy("id").agg(F.collect_list("bucket").alias("places"))  # a few a trie at most
+    rows = (placed.join(texts.select("id", "sig"), "id").select(F.explode("places").alias("bucket"), "id", "sig"))
 
     def match(batches):
         for _, rows in _groups(batches, 1):
@@ -209,8 +219,53 @@ def candidate_edges(texts: DataFrame, rules: ForestRules) -> DataFrame:
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
-    return (rows.mapInArrow(small_sig, "bucket long, id long, sig binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-            .mapInArrow(match, "a long, b long").distinct())
+    edges = (rows.mapInArrow(_low(rules), "bucket long, id long, sig binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+             .mapInArrow(match, "a long, b long").distinct())
+    hot = shared.where(F.col("n") > rules.bucket).select("short", "id")
+    if hot.isEmpty():
+        return edges
+    edges = materialise(edges, "edges")
+    return edges.union(remaining_edges(texts, hot, edges, rules)).distinct()
+
+
+def remaining_edges(texts: DataFrame, hot: DataFrame, edges: DataFrame, rules: ForestRules) -> DataFrame:
+    """``(a, b)`` edges that the texts of the ``hot`` prefixes lack: all pairs of one prefix in different groups of ``edges`` are compared.
+
+    A prefix whose texts are one group has none.  The others are cut into blocks
+    by a hash of the id, and each block meets each other in a task of its own.
+    """
+    placed = hot.join(components(edges), "id", "left").select("short", "id", F.coalesce("component", "id").alias("component"))
+    placed = materialise(placed, "hot")
+    parted = (placed.groupBy("short").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+              .where("low < high").select("short", F.ceil(F.col("n") / rules.block).alias("blocks")))
+    cut = (placed.join(parted, "short").join(texts.select("id", "sig"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+           .select("short", "id", "component", "own", "blocks", "sig")
+           .mapInArrow(_low(rules), "short long, id long, component long, own long, blocks long, sig binary"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = met.select("short", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+                      "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "sig")
+    values, least = rules.values, rules.floor * rules.values
+
+    def match(batches):
+        for (_, left, right), rows in _groups(batches, 3):
+            ids, component, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), values)
+            links = component[:, None] == component
+            if links.all():
+                continue
+            first = np.flatnonzero(side == 0)
+            second = first if left == right else np.flatnonzero(side == 1)
+            other = sig[second]
+            for i in first:
+                near = second[(other == sig[i]).sum(axis=1) >= least]
+                links[i, near] = links[near, i] = True
+            root = _forest(links)
+            own = np.flatnonzero(component[root] != component)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
+
+    keys = ["short", "left", "right"]
+    return (rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(match, "a long, b long").distinct())
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, rules: ForestRules, bitmap: int = 1 << 20) -> DataFrame:

@@ -3,7 +3,11 @@
 import random
 import re
 
-from seasoncast.llm.lsh_forest_join import ForestRules, jaccard_classes, one_of_each, shortest_prefix
+import numpy as np
+from pyspark.sql import functions as F
+
+from seasoncast.llm.components import components
+from seasoncast.llm.lsh_forest_join import ForestRules, candidate_edges, jaccard_classes, one_of_each, remaining_edges, shortest_prefix
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +116,16 @@ def test_recall_in_a_crowded_family(spark):
         got = {r.doc_id: r for r in jaccard_classes(docs, rules).collect()}
         assert sum(got[2000 + k].class_id == k and got[k].n_text_links == 1 for k in range(200)) >= 180
         assert sum(r.n_text_links for r in got.values()) <= 400
+
+
+def test_cut_buckets_lose_no_pair(spark):
+    """One prefix that all texts share, deep prefixes that none do: similar signatures meet although the bucket takes six."""
+    rng = np.random.default_rng(21)
+    sig = rng.integers(0, 1 << 32, (80, 125), dtype=np.uint32)
+    sig[:, 0] = 7
+    sig[40:, 31:] = sig[:40, 31:]  # 95 of 125 values of the text 40 rows before
+    texts = spark.createDataFrame([(i + 1, bytearray(r.tobytes())) for i, r in enumerate(sig)], "id long, sig binary").repartition(3)
+    for rules in (ForestRules(tries=1, bucket=6, block=13), ForestRules(tries=1, bucket=1000)):
+        got = {r.id: r.component for r in components(candidate_edges(texts, rules)).collect()}
+        assert got == {i + 1: i % 40 + 1 for i in range(80)}
+    assert remaining_edges(texts, texts.select(F.lit(1).cast("long").alias("short"), "id"), candidate_edges(texts, ForestRules(tries=1)), ForestRules()).count() == 0
