@@ -193,31 +193,41 @@ def _weighted_ranks(values: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Rank correlation of every column pair over the rows that have both: ``left, right, spearman`` (A10 report).
 
-    Rows are grouped by their pair of values before ranks are joined on, so the
-    join sees distinct pairs, and hot values a row a partner.  A pair without
-    variation has none (null).
+    Equal rows are counted first.  A column is ranked once for all partners that
+    are known where it is, and once more for each partner that misses some of
+    its rows; the ranks are joined to the rows, a join a ranking, and all pairs
+    are summed in one aggregate.  A pair without variation has none (null).
     """
     cols = list(cols)
     value = lambda c: F.col(c).cast("double")
-    base = df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(c) for c in cols])
-    couples = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(cols) for b in cols[i + 1:]])
-    seen = (base.select(F.explode(couples).alias("p")).select("p.*").where("x is not null and y is not null")
-            .groupBy("left", "right", "x", "y").agg(F.count("*").alias("n")))
-    seen = materialise(seen, "value-pairs")
-    # Ranks inside the pair's own rows: the columns of a pair are ranked where both are known.
-    sides = seen.select(F.concat_ws("|", "left", "right", F.lit("x")).alias("side"), F.col("x").alias("value"), "n").unionByName(
-        seen.select(F.concat_ws("|", "left", "right", F.lit("y")).alias("side"), F.col("y").alias("value"), "n"))
-    ranks = _weighted_ranks(sides)
-    rank_x = ranks.select(F.col("side").alias("_sx"), F.col("value").alias("x"), F.col("rank").alias("rx"))
-    rank_y = ranks.select(F.col("side").alias("_sy"), F.col("value").alias("y"), F.col("rank").alias("ry"))
-    both = (seen.withColumns({"_sx": F.concat_ws("|", "left", "right", F.lit("x")), "_sy": F.concat_ws("|", "left", "right", F.lit("y"))})
-            .join(rank_x, ["_sx", "x"]).join(rank_y, ["_sy", "y"]))
-    # Ranks less their mean, (total + 1) / 2, which both sides share.
-    sums = both.groupBy("left", "right").agg(F.sum("n").alias("rows"))
-    centred = both.join(F.broadcast(sums), ["left", "right"]).withColumns({"dx": F.col("rx") - (F.col("rows") + 1) / 2, "dy": F.col("ry") - (F.col("rows") + 1) / 2})
-    out = centred.groupBy("left", "right").agg(*[F.sum(F.col("n") * F.col(a) * F.col(b)).alias(o) for a, b, o in (("dx", "dy", "xy"), ("dx", "dx", "xx"), ("dy", "dy", "yy"))])
-    ratio = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
-    return out.select("left", "right", F.round(ratio, digits).alias("spearman"))
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(x) for c, x in zip(cols, names)])
+    rows = materialise(rows.groupBy(*names).agg(F.count("*").alias("n")), "value-rows")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    both = lambda i, j: F.col(names[i]).isNotNull() & F.col(names[j]).isNotNull()
+    turned = pairs + [(j, i) for i, j in pairs]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, spearman double")
+    missed = rows.agg(*[F.coalesce(F.bool_or(F.col(names[i]).isNotNull() & F.col(names[j]).isNull()), F.lit(False)) for i, j in turned]).first()
+    side = {(i, j): f"{i}|{j}" if m else f"{i}" for (i, j), m in zip(turned, missed)}
+    sides = {s: F.when(both(i, j), F.col(names[i])) for (i, j), s in side.items()}  # a partner that misses no row changes nothing
+    of = {s: i for (i, _), s in side.items()}
+    values = (rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), v.alias("value"), "n") for s, v in sides.items()])).alias("v"))
+              .select("v.*").where("value is not null"))
+    totals = {r["side"]: r["n"] for r in values.groupBy("side").agg(F.sum("n").alias("n")).collect()}  # at most a row an ordered pair
+    ranks = _weighted_ranks(values)
+    for s, i in of.items():
+        own = ranks.where(F.col("side") == s).select(F.col("value").alias("_v"), F.col("rank").alias(f"r{s}"))
+        rows = rows.join(own, F.col(names[i]) == F.col("_v"), "left").drop("_v")
+    # Ranks less their mean, (total + 1) / 2, which both sides of a pair share.
+    off = lambda i, j: F.when(both(i, j), F.col(f"r{side[i, j]}") - (totals.get(side[i, j], 0) + 1) / 2)
+    sums = rows.agg(*[F.sum(F.col("n") * x * y).alias(f"{name}{i}|{j}") for i, j in pairs
+                      for name, x, y in (("xy", off(i, j), off(j, i)), ("xx", off(i, j), off(i, j)), ("yy", off(j, i), off(j, i)))])
+    ratio = lambda xy, xx, yy: F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
+    out = sums.select(F.explode(F.array(*[
+        F.struct(F.lit(cols[i]).alias("left"), F.lit(cols[j]).alias("right"), F.col(f"xx{i}|{j}").isNotNull().alias("any"),
+                 F.round(ratio(*[F.col(f"{x}{i}|{j}") for x in ("xy", "xx", "yy")]), digits).alias("spearman")) for i, j in pairs])).alias("p"))
+    return out.select("p.*").where("any").drop("any")
 
 
 def cramers_v(df: DataFrame, cols: Sequence[str], digits: int = 6, missing_token: str = "NA") -> DataFrame:

@@ -114,6 +114,28 @@ def test_rank_correlation_and_association(spark):
     assert profile.spearman(df.where("p < 0"), ["p", "q"]).count() == 0 and profile.cramers_v(df.where("p < 0"), ["a", "b"]).count() == 0
 
 
+def test_rank_correlation_ranks_a_column_once(spark, monkeypatch):
+    """Columns without gaps are ranked once, not once a partner; a partner with gaps has a ranking of its own."""
+    rng = random.Random(6)
+    rows = [(rng.choice([1.0, 2.0, rng.random()]), rng.choice([3.0, rng.random()]), rng.choice([-0.0, 0.0, rng.random()]), rng.choice([None, math.nan, 3.0, rng.random()])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "n double, q double, r1 double, `c0` double").repartition(3)
+    ranked, weighted = [], profile._weighted_ranks
+
+    def counted(values):
+        ranked.append(values.select("side").distinct().count())
+        return weighted(values)
+
+    monkeypatch.setattr(profile, "_weighted_ranks", counted)
+    pdf = pd.DataFrame(rows, columns=["n", "q", "r1", "c0"])
+    for cols, sides in ((["n", "q", "r1"], 3), (["n", "q", "r1", "c0"], 7)):
+        got = {(r.left, r.right): r.spearman for r in profile.spearman(df, cols).collect()}
+        assert len(got) == len(cols) * (len(cols) - 1) // 2
+        for (a, b), x in got.items():
+            both = pdf[[a, b]].dropna().rank()
+            assert math.isclose(x, both[a].corr(both[b]), abs_tol=2e-6)
+        assert ranked.pop() == sides and not ranked
+
+
 def test_merged_sketches_answer_for_the_union(spark):
     df = spark.range(60_000).select((F.col("id") % 7).alias("part"), (F.col("id") * 37 % 50_021).cast("double").alias("x"),
                                     F.when(F.col("id") % 5 > 0, (F.col("id") % 11).cast("string")).alias("c"))
