@@ -20,6 +20,8 @@ from seasoncast.session import materialise
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+PROFILE_COLUMNS = 3  # columns profiled in one aggregate: the code of many more is too long to be compiled
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per value (A4); partial aggregation handles a hot value."""
@@ -120,7 +122,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None,
     base = value_columns(df, cols)
     try:
         qv = exact_quantiles(base, [(c, q) for c in cols for q in quantiles], persisted=True)
-        stats = base.agg(*[F.struct(
+        moments = lambda c: F.struct(
             F.count(c).alias("count"),
             F.count_if(F.col(c).isNull()).alias("missing"),
             F.round(F.avg(c), digits).alias("mean"),
@@ -129,7 +131,11 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None,
             F.max(c).alias("max"),
             F.count_if(F.col(c) == 0).alias("zeros"),
             F.count_if(F.col(c) < 0).alias("negatives"),
-        ).alias(c) for c in cols]).first()
+        ).alias(c)
+        stats = {}
+        for at in range(0, len(cols), PROFILE_COLUMNS):
+            some = cols[at:at + PROFILE_COLUMNS]
+            stats.update(base.agg(*[moments(c) for c in some]).first().asDict())
     finally:
         base.unpersist()
     qnames = [f"q{int(round(q * 100)):02d}" for q in quantiles]

@@ -3,6 +3,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,44 @@ def test_projection_from_its_stored_table_is_the_same(spark):
     a, b = ({r.vec_id: r.pca for r in p.transform(emb).collect()} for p in (fitted, again))
     assert a == b
     assert q.q_pca_boost(spark, SF).count() == q.products(spark, SF).count()
+
+
+def test_numeric_profile_of_many_columns(spark):
+    """Histogram entries become rows by compiled projections, moments a few columns at a time; the values are exact."""
+    from seasoncast.operators import profile
+    from seasoncast.operators.quantile import _long
+
+    plan = _long(spark.range(3), [F.when(F.col("id") > i, F.struct(F.lit(i).alias("r"), F.col("id").alias("x"))) for i in range(2)])
+    assert sorted((r["e"]["r"], r["e"]["x"]) for r in plan.collect()) == [(0, 1), (0, 2), (1, 2)]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in text and "lambda" not in text
+
+    n, columns = 20_000, [f"c{i}" for i in range(2 * profile.PROFILE_COLUMNS + 1)]
+    x = F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("double")
+    rows = spark.range(n).select(*[F.when(F.col("id") % 7 != i, x * (i + 1) - 1000).alias(c) for i, c in enumerate(columns)])
+    data = rows.toPandas()
+    found = {r["column"]: r for r in profile.numeric_profile(rows).collect()}
+    assert list(found) == columns
+    for c in columns:
+        v, r = data[c].dropna().to_numpy(), found[c]
+        assert (r["count"], r["missing"], r["negatives"], r["zeros"]) == (len(v), n - len(v), (v < 0).sum(), (v == 0).sum())
+        assert [r["min"], r["q25"], r["q50"], r["q75"], r["max"]] == np.quantile(v, [0, 0.25, 0.5, 0.75, 1]).tolist()
+        assert abs(r["mean"] - v.mean()) < 1e-5 and abs(r["std"] - v.std()) < 1e-5
+
+
+@pytest.mark.parametrize("name", ["gbt_categorical", "gbt_weighted"])
+def test_trained_queries_roll_the_lines_up_once(spark, name, monkeypatch):
+    """Fits and scoring read the written product table, not the order lines again."""
+    import __spark_entry__ as ent
+
+    calls, roll_up = [], q.product_week_panel
+    monkeypatch.setattr(q, "product_week_panel", lambda *a: calls.append(1) or roll_up(*a))
+    out = ent.queries()[name](spark, SF)
+    assert len(calls) == 1
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_panel_deals_weekly_rows_before_they_are_widened(spark):
+    """The exchange by product comes below the join, so it doesn't carry the attributes of the product."""
+    plan = product_week_panel(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("RepartitionByExpression")
