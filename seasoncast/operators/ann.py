@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.operators.similarity import PAIR_SCHEMA, best_pairs, block_topk, deal_to_rows, equal_vectors, knn_join, unique_ids, vectors_of
+from seasoncast.operators.similarity import PAIR_SCHEMA, best_pairs, block_topk, deal_to_rows, first_of_equals, knn_join, unique_ids, vectors_of
 from seasoncast.session import materialise, path_exists, scratch_folder
 
 _SHARE = 1 << 30
@@ -191,12 +191,12 @@ class CellIndex:
             return best_pairs(self._probe(q, cells, k, probes, exclude_self, sim_digits), k)
         # Equal vectors lie in one cell and are compared once, as in the exact join.
         width = k + int(exclude_self)
-        asked = materialise(equal_vectors(q, 1).select("id", "vec"), "ann-asked")
-        known = materialise(equal_vectors(cells, width, "cell"), "ann-known")
+        asked, asking = first_of_equals(q, "ann-asked")
+        known, answering = first_of_equals(cells.select("id", "vec", "cell"), "ann-known", "cell")
         parts = F.broadcast(self.sizes.select("cell", "parts"))
         placed = known.join(parts, "cell").select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
         near = best_pairs(self._probe(asked, placed, width, probes, False, sim_digits), width)
-        return deal_to_rows(near, q, asked, known, k, exclude_self)
+        return deal_to_rows(near, asking, answering, k, exclude_self)
 
     def _probe(self, q: DataFrame, cells: DataFrame, k: int, probes: int | None, exclude_self: bool, sim_digits: int | None) -> DataFrame:
         """The best ``k`` of every part of the probed cells for every query row."""

@@ -52,20 +52,27 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _narrow(sim: np.ndarray, kk: int, slack: float):
-    """``(rows, columns)`` of all that can be among a row's best ``kk``, in order; None if they are most of a block.
+    """``(rows, columns)`` of all that can be among a row's best ``kk``, in any order; None if they are most of a block.
 
     The ``kk``-th largest of the maxima of slices of a row is a lower bound of
-    its ``kk``-th similarity, found without ordering the row.
+    its ``kk``-th similarity, found without ordering the row; only slices whose
+    maximum reaches it are looked into.
     """
     n = sim.shape[1]
     width = min(64, n // (4 * kk))
     if width < 2:
         return None
     whole = n - n % width
-    tops = sim[:, :whole].reshape(len(sim), -1, width).max(axis=2)
-    bound = np.partition(tops, tops.shape[1] - kk, axis=1)[:, tops.shape[1] - kk]
-    close = ~(sim < (bound - slack)[:, None])
-    return np.nonzero(close) if np.count_nonzero(close) <= sim.size // 8 else None
+    slices = sim[:, :whole].reshape(len(sim), -1, width)
+    tops = slices.max(axis=2)
+    bound = np.partition(tops, tops.shape[1] - kk, axis=1)[:, tops.shape[1] - kk] - slack
+    row, at = np.nonzero(tops >= bound[:, None])
+    if 2 * len(row) > tops.size:
+        return None
+    hit, within = np.nonzero(slices[row, at] >= bound[row, None])
+    last, over = np.nonzero(sim[:, whole:] >= bound[:, None])
+    rows, cols = np.concatenate([row[hit], last]), np.concatenate([at[hit] * width + within, whole + over])
+    return (rows, cols) if len(rows) <= sim.size // 8 else None
 
 
 def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int = 16 << 20):
@@ -75,7 +82,9 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
     ``chunk_bytes`` whatever the block.  With the corpus in order of id, a row
     takes all that beat its k-th similarity and then the first that equal it.
     Only what can be among the best is rounded and ordered, unless ties or odd
-    numbers make that most of the block.
+    numbers make that most of the block.  If similarities are rounded, single
+    precision finds what can be among the best, by more than its error, and
+    that is scored in double precision.
     """
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -86,23 +95,36 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
             kk, step = min(k, len(cid)), max(1, chunk_bytes // (8 * len(cid)))
             slack = 0.0 if digits is None else 2.0 * 10.0 ** -digits
             plain = np.isfinite(qv).all() and np.isfinite(cv).all()
-            for at in range(0, len(qid), step):
-                ids = qid[at:at + step]
-                sim = qv[at:at + step] @ cv.T
+            single = plain and digits is not None
+            if single:
+                slack += 2 * (qv.shape[1] + 4) * 2.0 ** -23  # twice the error of a single-precision product of unit vectors, at most half of this
+                q4, c4 = qv.astype(np.float32), cv.astype(np.float32)
+
+            def scored(a, b, at, ids):
+                sim = a[at:at + step] @ b.T
                 if exclude_self:
                     sim[ids[:, None] == cid[None, :]] = -np.inf
+                return sim
+
+            for at in range(0, len(qid), step):
+                ids = qid[at:at + step]
+                sim = scored(q4, c4, at, ids) if single else scored(qv, cv, at, ids)
                 near = _narrow(sim, kk, slack) if plain else None
                 if near is not None:
                     rows, cols = near
                     value = sim[rows, cols]
-                    if digits is not None:
-                        value = np.round(value, digits)
+                    if single:
+                        kept = value > -np.inf  # not the row itself
+                        rows, cols = rows[kept], cols[kept]
+                        value = np.round(np.einsum("nd,nd->n", qv[at + rows], cv[cols]), digits)
                     order = np.lexsort((cols, -value, rows))
                     rows, cols, value = rows[order], cols[order], value[order]
                     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
                     keep = (nth < kk) & (value > -np.inf)
                     found.append((ids[rows[keep]], cid[cols[keep]], value[keep]))
                     continue
+                if single:
+                    sim = scored(qv, cv, at, ids)
                 if digits is not None:
                     np.round(sim, digits, out=sim)
                 kth = np.partition(sim, len(cid) - kk, axis=1)[:, len(cid) - kk, None]
@@ -137,36 +159,55 @@ def unique_ids(*frames: DataFrame) -> bool:
     return True
 
 
-def equal_vectors(rows: DataFrame, keep: int, *by: str) -> DataFrame:
-    """A row for each vector of ``(id, vec)``: the least ``id`` that has it, the vector, and its ``keep`` least ids in order.
+def first_of_equals(rows: DataFrame, name: str, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The different vectors of ``(id, vec)`` as ``(id, vec)`` with the least ``id`` that has each, and ``(id, first)`` of all rows.
 
-    Equal vectors agree in the columns ``by``.  Ids over ``keep`` go before the
-    shuffle, so a vector that many rows have makes no large group.
+    Equal vectors that differ in the columns ``by`` are different ones.  A
+    vector as a sort or join key is brought into normal form at every
+    comparison, so rows look for their vector by its hash and then compare.
+    """
+    keyed = rows.withColumn("hash", F.xxhash64("vec"))
+    firsts = materialise(keyed.groupBy(*by, "hash", "vec").agg(F.min("id").alias("id")), f"{name}-vectors")
+    a, b = keyed.alias("a"), firsts.alias("b")
+    met = F.col("a.hash") == F.col("b.hash")
+    for c in by:
+        met &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    same = ~(F.col("a.vec") < F.col("b.vec")) & ~(F.col("a.vec") > F.col("b.vec"))  # `=` would make the vectors a join key
+    members = a.join(b, met & same).select("a.id", F.col("b.id").alias("first"))
+    return firsts.select("id", "vec", *by), materialise(members, f"{name}-members")
+
+
+def least_ids(members: DataFrame, keep: int) -> DataFrame:
+    """``(id, ids)``: the ``keep`` least ids, in order, of the rows that share the first row ``id``.
+
+    Ids over ``keep`` go before the shuffle, so a vector that many rows have
+    makes no large group.
     """
-    order = Window.partitionBy(*by, "vec").orderBy("id")
-    least = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
-    return least.groupBy(*by, "vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
+    order = Window.partitionBy("first").orderBy("id")
+    least = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
+    return least.groupBy(F.col("first").alias("id")).agg(F.sort_array(F.collect_list(least["id"])).alias("ids"))
 
 
-def deal_to_rows(near: DataFrame, rows: DataFrame, asked: DataFrame, known: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """``(query_id, neighbor_id, rank, similarity)`` of all ``rows`` from the nearest vectors (by their least ids) of each vector.
+def deal_to_rows(near: DataFrame, asking: DataFrame, known: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """``(query_id, neighbor_id, rank, similarity)`` of all rows from the nearest vectors (by their least ids) of each vector.
 
-    ``near`` has the best ``k`` of the ``known`` vectors for each that is
-    ``asked`` for, one more if rows are not their own neighbours.
+    ``near`` has the best ``k`` vectors for each that is asked for, one more if
+    rows are not their own neighbours; ``asking`` and ``known`` are the rows of
+    both sides with their ``first``.
     """
     width = k + int(exclude_self)
-    found = (near.select("query_id", F.col("neighbor_id").alias("id"), "similarity").join(known.select("id", "ids"), "id")
+    found = (near.select("query_id", F.col("neighbor_id").alias("id"), "similarity").join(least_ids(known, width), "id")
              .select("query_id", "similarity", F.explode("ids").alias("neighbor_id")))
-    best = (best_pairs(found, width).groupBy("query_id")
+    best = (best_pairs(found, width).groupBy(F.col("query_id").alias("first"))
             .agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "similarity"))).alias("best")))
-    best = best.join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id").select("vec", "best")
-    mine = rows.select(F.col("id").alias("query_id"), "vec").join(best, "vec")
+    mine = asking.select(F.col("id").alias("query_id"), "first").join(best, "first")
     others = F.filter("best", lambda x: x["neighbor_id"] != F.col("query_id")) if exclude_self else F.col("best")
     return (mine.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "b"))
             .select("query_id", "b.neighbor_id", (F.col("at") + 1).cast("int").alias("rank"), "b.similarity"))
 
 
 BLOCK_BYTES = 32 << 20  # vectors of one side of a block pair, as float64
+MOST_PARTS = 4096       # partitions that block pairs are dealt over
 
 
 def _blocks(n: int, block_rows: int) -> int:
@@ -187,10 +228,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "
     if not unique_ids(q, c):
         return best_pairs(_block_pairs(q, c, k, exclude_self, block_rows, sim_digits), k)
     width = k + int(exclude_self)
-    asked = materialise(equal_vectors(q, 1).select("id", "vec"), "knn-asked")
-    known = materialise(equal_vectors(c, width), "knn-known")
-    near = best_pairs(_block_pairs(asked, known.select("id", "vec"), width, False, block_rows, sim_digits), width)
-    return deal_to_rows(near, q, asked, known, k, exclude_self)
+    asked, asking = first_of_equals(q, "knn-asked")
+    known, answering = first_of_equals(c, "knn-known")
+    near = best_pairs(_block_pairs(asked, known, width, False, block_rows, sim_digits), width)
+    return deal_to_rows(near, asking, answering, k, exclude_self)
 
 
 def _block_pairs(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, block_rows: int | None, sim_digits: int | None) -> DataFrame:
@@ -205,6 +246,9 @@ def _block_pairs(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, block_r
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
     c = (c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    # Few and costly pairs: by their bytes they would be put together until some cores have none.
+    parts = min(4 * bq * bc, MOST_PARTS)
+    q, c = q.repartition(parts, "qb", "cb"), c.repartition(parts, "qb", "cb")
     return (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
             .applyInPandas(block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA))
 

@@ -1,10 +1,12 @@
 """The kNN kernel on ties, nulls and equal vectors; the cell index on clusters, uneven cells and odd tables."""
 
+import math
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from seasoncast.operators import ann, similarity
 
@@ -140,3 +142,35 @@ def test_narrowed_blocks_keep_the_best(digits):
         best = sorted((-s, i) for s, i in zip(sim[n], side["id"]) if i != qid)[:5]
         mine = got[got["query_id"] == qid]
         assert sorted(zip(-mine["similarity"], mine["neighbor_id"])) == best
+
+
+def test_vectors_are_no_sort_or_join_keys(spark):
+    """Zeros of both signs and odd numbers are one vector, found by its hash; no plan brings vectors into normal form to sort by them."""
+    rows = [(0, [0.0, 1.0]), (1, [-0.0, 1.0]), (2, [math.nan, 1.0]), (3, [math.nan, 1.0]), (4, [1.0, 2.0]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, VECTORS)
+    vectors, members = similarity.first_of_equals(df, "test")
+    assert sorted(r.id for r in vectors.collect()) == [0, 2, 4]
+    assert sorted((r["id"], r["first"]) for r in members.collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0)]
+    assert "normalizenanandzero" not in similarity.knn_join(df, df, k=2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_single_precision_only_narrows():
+    """Neighbours whose similarities agree in single precision are told apart by nine digits."""
+    angle = np.arange(2000) * 2e-4
+    side = pd.DataFrame({"id": np.random.default_rng(6).permutation(2000), "vec": list(np.stack([np.cos(angle), np.sin(angle)], axis=1))})
+    asked = side.iloc[::50]
+    got = similarity.block_topk(4, True, 9)(None, asked, side)
+    sim = np.round(similarity._unit(asked["vec"]) @ similarity._unit(side["vec"]).T, 9)
+    for n, qid in enumerate(asked["id"]):
+        best = sorted((-s, i) for s, i in zip(sim[n], side["id"]) if i != qid)[:4]
+        mine = got[got["query_id"] == qid]
+        assert sorted(zip(-mine["similarity"], mine["neighbor_id"])) == best
+
+
+def test_block_pairs_are_not_put_together(spark):
+    """Many small block pairs stay apart, so that every core has some."""
+    df = spark.createDataFrame(clusters(400), VECTORS)
+    sides = [similarity.vectors_of(df, "id", "vec") for _ in range(2)]
+    pairs = similarity._block_pairs(*sides, 3, True, 100, 9)
+    used = pairs.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= 6 and pairs.count() == 400 * 4 * 3
