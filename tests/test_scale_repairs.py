@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seasoncast.operators import encode
+from seasoncast.operators import aggregate, encode
 from seasoncast.operators.models import boosting
 from seasoncast.operators.quantile import exact_quantiles
 from seasoncast.plans import queries as q
@@ -156,3 +156,15 @@ def test_panel_deals_weekly_rows_before_they_are_widened(spark):
     """The exchange by product comes below the join, so it doesn't carry the attributes of the product."""
     plan = product_week_panel(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("RepartitionByExpression")
+
+
+def test_product_table_orders_by_one_number(spark):
+    """No struct of year and week a row and column; weeks with a null come first and nulls are skipped, as before."""
+    rows = [(1, 2000, 5, "b"), (1, 1999, 52, None), (1, 2000, 4, "a"), (1, 2001, 1, "c"), (2, None, 7, "x"), (2, 1990, 1, "y"),
+            (3, None, None, "n"), (3, None, 3, "m"), (4, 1990, None, "p"), (4, 1990, -2, "q"), (5, -3, 1, "r"), (5, 3, 1, "s")]
+    df = spark.createDataFrame(rows, "ID long, year int, num_week_iso int, family string").withColumn("weekly_demand", F.lit(1.0))
+    table = aggregate.product_table(df)
+    assert {r["ID"]: r["family"] for r in table.collect()} == {1: "a", 2: "x", 3: "n", 4: "p", 5: "r"}
+    assert table.columns == ["ID", "family", "target_demand"]
+    assert {r["ID"]: r["family"] for r in aggregate.product_first(df).collect()} == {1: "a", 2: "x", 3: "n", 4: "p", 5: "r"}
+    assert "struct(year" not in table._jdf.queryExecution().executedPlan().toString()
