@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.operators.similarity import PAIR_SCHEMA, best_pairs, block_topk, deal_to_rows, first_of_equals, knn_join, unique_ids, vectors_of
+from seasoncast.operators.similarity import MOST_PARTS, PAIR_SCHEMA, best_pairs, block_size, block_topk, deal_to_rows, first_of_equals, knn_join, unique_ids, vectors_of
 from seasoncast.session import materialise, path_exists, scratch_folder
 
 _SHARE = 1 << 30
@@ -82,6 +82,49 @@ def _into_cells(held, probes: int):
     return run
 
 
+def _into_bins(held, probes: int):
+    """A row for each row and bin that holds some of its probed cells: ``id, vec, bin, cells``."""
+    def run(batches):
+        centres, first, last = held.value
+        for batch in _batched(batches):
+            cells = _nearest(_units(batch.column(1)), centres, probes)
+            row, cell = np.repeat(np.arange(batch.num_rows), cells.shape[1]), cells.ravel()
+            n = last[cell] - first[cell] + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, cell, into = np.repeat(row, n), np.repeat(cell, n), np.repeat(first[cell], n) + at
+            order = np.lexsort((cell, into, row))
+            row, cell, into = row[order], cell[order], into[order]
+            new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(into, prepend=-1) != 0))
+            ends = pa.array(np.append(new, len(row)).astype(np.int32))
+            source = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(source), batch.column(1).take(source), pa.array(into[new].astype(np.int32)),
+                                              pa.ListArray.from_arrays(ends, pa.array(cell.astype(np.int32)))], ["id", "vec", "bin", "cells"])
+    return run
+
+
+def _bin_topk(k: int, exclude_self: bool, digits: int | None):
+    """Best ``k`` of a bin's rows for every query, each query in the cells that it names only; no names, all cells."""
+    best = block_topk(k, exclude_self, digits)
+
+    def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c) or q["cells"].iloc[0] is None:
+            return best(key, q, c)
+        n = q["cells"].str.len().to_numpy()
+        row, cell = np.repeat(np.arange(len(q)), n), np.concatenate(q["cells"].to_numpy())
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        found = []
+        for name, rows in c.groupby("cell"):
+            asking = row[np.searchsorted(cell, name):np.searchsorted(cell, name, side="right")]
+            if len(asking):
+                found.append(best(key, q.iloc[asking], rows))
+        if len(found) < 2:
+            return found[0] if found else best(key, q.iloc[:0], c)
+        out = pd.concat(found).sort_values(["query_id", "similarity", "neighbor_id"], ascending=[True, False, True])
+        return out.groupby("query_id").head(k)
+    return run
+
+
 class CellIndex:
     """A fitted index: ``cells`` (written table ``id, vec, cell, part``), ``sizes`` (``cell, n, parts``) and the centres."""
 
@@ -199,21 +242,43 @@ class CellIndex:
         return deal_to_rows(near, asking, answering, k, exclude_self)
 
     def _probe(self, q: DataFrame, cells: DataFrame, k: int, probes: int | None, exclude_self: bool, sim_digits: int | None) -> DataFrame:
-        """The best ``k`` of every part of the probed cells for every query row."""
+        """The best ``k`` of every bin for every query row, from the probed cells alone.
+
+        The parts of the cells are packed into bins of a block's size, and a query
+        goes to a bin once, with the numbers of the cells that it probes there.
+        """
         spark = q.sparkSession
-        held = spark.sparkContext.broadcast(self.centres)
-        probed = q.mapInArrow(_into_cells(held, min(probes or self.probes or 8, len(self.centres))), f"id long, vec {q.schema['vec'].dataType.simpleString()}, cell int, probe int")
-        probed = materialise(probed.drop("probe"), "ann-probes")
-        asked = probed.groupBy("cell").agg(F.ceil(F.count("*") / self.part_rows).cast("int").alias("blocks"))
-        plan = self.sizes.select("cell", "parts").join(asked, "cell").collect()  # at most a row a centre
-        plan = spark.createDataFrame([tuple(r) for r in plan], "cell int, parts int, blocks int")
-        sides = F.broadcast(plan)
-        q = (probed.join(sides, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "block", "id", "vec"))
-        c = (cells.join(sides, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("cell", "part", "block", "id", "vec"))
-        key = ["cell", "part", "block"]
-        return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(block_topk(k, exclude_self, sim_digits), PAIR_SCHEMA)
+        probes = min(probes or self.probes or 8, len(self.centres))
+        nq, dq = q.agg(F.count("*"), F.max(F.size("vec"))).first()
+        held_in = cells.groupBy("cell").agg(F.count("*").alias("n")).join(self.sizes.select("cell", "parts"), "cell").orderBy("cell").collect()  # at most a row a centre
+        if not nq or not held_in:
+            return spark.createDataFrame([], PAIR_SCHEMA)
+        rows = block_size(spark, nq, sum(r["n"] for r in held_in), max(dq, self.centres.shape[1]))
+        start = np.cumsum([0] + [r["n"] for r in held_in]).tolist()
+        table = [(r["cell"], at, r["n"], r["parts"]) for r, at in zip(held_in, start)]
+        bins = (start[-1] - 1) // rows + 1
+        first, last = np.zeros(len(self.centres), np.int64), np.full(len(self.centres), -1, np.int64)  # a cell that holds nothing: no bin
+        for cell, at, n, parts in table:
+            first[cell], last[cell] = at // rows, (at + (parts - 1) * n // parts) // rows
+        vec = q.schema["vec"].dataType.simpleString()
+        if probes == len(self.centres):
+            asked = q.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(None).cast("array<int>").alias("cells"))
+            blocks = spark.createDataFrame([(b, math.ceil(nq / rows)) for b in range(bins)], "bin int, blocks int")
+        else:
+            held = spark.sparkContext.broadcast((self.centres, first, last))
+            asked = materialise(q.mapInArrow(_into_bins(held, probes), f"id long, vec {vec}, bin int, cells array<int>"), "ann-probes")
+            counts = asked.groupBy("bin").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")).collect()  # at most a row a bin
+            blocks = spark.createDataFrame([tuple(r) for r in counts], "bin int, blocks int")
+        places = spark.createDataFrame(table, "cell int, start long, n long, parts long")
+        c = (cells.join(F.broadcast(places), "cell").withColumn("bin", F.expr(f"(start + (part * n) div parts) div {rows}").cast("int"))
+             .join(F.broadcast(blocks), "bin").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bin", "block", "cell", "id", "vec"))
+        a = (asked.join(F.broadcast(blocks), "bin").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .select("bin", "block", "cells", "id", "vec"))
+        key = ["bin", "block"]
+        parts = min(4 * bins * math.ceil(nq / rows), MOST_PARTS)  # dealt as in the exact join
+        a, c = a.repartition(parts, *key), c.repartition(parts, *key)
+        return a.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(_bin_topk(k, exclude_self, sim_digits), PAIR_SCHEMA)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

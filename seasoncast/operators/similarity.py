@@ -32,7 +32,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,6 +214,12 @@ def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+def block_size(spark: SparkSession, nq: int, nc: int, width: int) -> int:
+    """Vectors of a block: so many that every core has a pair of blocks, at most what ``BLOCK_BYTES`` hold."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(max(1024, math.ceil(max(nq, nc) / (2 * math.sqrt(cores)))), max(1, BLOCK_BYTES // (8 * width)))
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec",
              exclude_self: bool = True, block_rows: int | None = None, sim_digits: int | None = 9) -> DataFrame:
     """Exact top-k cosine neighbours of every query row in ``corpus``.
@@ -238,9 +244,7 @@ def _block_pairs(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, block_r
     """The best ``k`` of every corpus block for every query row, as ``PAIR_SCHEMA``."""
     # Sizes pick the block counts (two cheap jobs).
     (nq, dq), (nc, dc) = (df.agg(F.count("*"), F.max(F.size("vec"))).first() for df in (q, c))
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    spread = max(1024, math.ceil(max(nq, nc) / (2 * math.sqrt(cores))))
-    block_rows = block_rows or min(spread, max(1, BLOCK_BYTES // (8 * max(dq or 1, dc or 1))))
+    block_rows = block_rows or block_size(q.sparkSession, nq, nc, max(dq or 1, dc or 1))
     bq, bc = _blocks(nq, block_rows), _blocks(nc, block_rows)
     q = (q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))

@@ -174,3 +174,35 @@ def test_block_pairs_are_not_put_together(spark):
     pairs = similarity._block_pairs(*sides, 3, True, 100, 9)
     used = pairs.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used >= 6 and pairs.count() == 400 * 4 * 3
+
+
+def test_queries_go_once_to_a_bin_of_cells(spark, monkeypatch):
+    """Not a row for each probed cell: with all cells probed nothing is written, with some a row for each bin at most."""
+    rows = clusters(3000)
+    df = spark.createDataFrame(rows, VECTORS).repartition(4).cache()
+    index = ann.CellIndex.fit(df, part_rows=40)
+    exact = rows_of(similarity.knn_join(df, df, 5))
+    sent, plain_write = [], ann.materialise
+
+    def counted(frame, name="table"):
+        out = plain_write(frame, name)
+        if name == "ann-probes":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "materialise", counted)
+    monkeypatch.setattr(ann, "block_size", lambda *sizes: 700)
+    cells = len(index.centres)
+    assert rows_of(index.search(df, 5, probes=cells, exclude_self=True)) == exact and not sent
+    assert rows_of(index.search(df, 5, probes=cells - 1, exclude_self=True)) == exact and sent == [3000 * 5]
+    # a few cells: only what lies in them is found
+    probes = 3
+    units = lambda f: {r.id: np.array(r.vec) / np.linalg.norm(r.vec) for r in f.collect()}
+    vectors, lies = units(df), {r.id: r.cell for r in index.cells.collect()}
+    want = set()
+    for r in df.where("id % 100 = 7").collect():
+        probed = set(np.argsort(-np.round(index.centres @ vectors[r.id], 9), kind="stable")[:probes])
+        best = sorted((-round(float(vectors[r.id] @ vectors[i]), 9), i) for i in vectors if i != r.id and lies[i] in probed)[:5]
+        want |= {(r.id, i) for _, i in best}
+    got = index.search(df.where("id % 100 = 7"), 5, probes=probes, exclude_self=True)
+    assert {(r.query_id, r.neighbor_id) for r in got.collect()} == want and sent[-1] <= 30 * probes
