@@ -62,16 +62,16 @@ def _narrow(sim: np.ndarray, kk: int, slack: float):
     width = min(64, n // (4 * kk))
     if width < 2:
         return None
-    whole = n - n % width
-    slices = sim[:, :whole].reshape(len(sim), -1, width)
-    tops = slices.max(axis=2)
-    bound = np.partition(tops, tops.shape[1] - kk, axis=1)[:, tops.shape[1] - kk] - slack
+    step = n // width
+    slices = sim[:, :step * width].reshape(len(sim), width, step)  # a slice is every ``step``-th column: its maximum runs along rows
+    tops = slices.max(axis=1)
+    bound = np.partition(tops, step - kk, axis=1)[:, step - kk] - slack
     row, at = np.nonzero(tops >= bound[:, None])
     if 2 * len(row) > tops.size:
         return None
-    hit, within = np.nonzero(slices[row, at] >= bound[row, None])
-    last, over = np.nonzero(sim[:, whole:] >= bound[:, None])
-    rows, cols = np.concatenate([row[hit], last]), np.concatenate([at[hit] * width + within, whole + over])
+    hit, within = np.nonzero(slices[row, :, at] >= bound[row, None])
+    last, over = np.nonzero(sim[:, step * width:] >= bound[:, None])
+    rows, cols = np.concatenate([row[hit], last]), np.concatenate([within * step + at[hit], step * width + over])
     return (rows, cols) if len(rows) <= sim.size // 8 else None
 
 
@@ -164,15 +164,19 @@ def first_of_equals(rows: DataFrame, name: str, *by: str) -> tuple[DataFrame, Da
 
     Equal vectors that differ in the columns ``by`` are different ones.  A
     vector as a sort or join key is brought into normal form at every
-    comparison, so rows look for their vector by its hash and then compare.
+    comparison, so rows look for their vector by its hash, and compare if a hash
+    has more than one.
     """
     keyed = rows.withColumn("hash", F.xxhash64("vec"))
     firsts = materialise(keyed.groupBy(*by, "hash", "vec").agg(F.min("id").alias("id")), f"{name}-vectors")
-    a, b = keyed.alias("a"), firsts.alias("b")
+    if firsts.groupBy(*by, "hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        a, b = keyed.alias("a"), firsts.alias("b")
+        same = ~(F.col("a.vec") < F.col("b.vec")) & ~(F.col("a.vec") > F.col("b.vec"))  # `=` would make the vectors a join key
+    else:  # a hash names one vector, so the vectors need not move
+        a, b, same = keyed.drop("vec").alias("a"), firsts.drop("vec").alias("b"), F.lit(True)
     met = F.col("a.hash") == F.col("b.hash")
     for c in by:
         met &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    same = ~(F.col("a.vec") < F.col("b.vec")) & ~(F.col("a.vec") > F.col("b.vec"))  # `=` would make the vectors a join key
     members = a.join(b, met & same).select("a.id", F.col("b.id").alias("first"))
     return firsts.select("id", "vec", *by), materialise(members, f"{name}-members")
 

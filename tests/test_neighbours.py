@@ -206,3 +206,22 @@ def test_queries_go_once_to_a_bin_of_cells(spark, monkeypatch):
         want |= {(r.id, i) for _, i in best}
     got = index.search(df.where("id % 100 = 7"), 5, probes=probes, exclude_self=True)
     assert {(r.query_id, r.neighbor_id) for r in got.collect()} == want and sent[-1] <= 30 * probes
+
+
+def test_vectors_stay_where_they_are_unless_hashes_meet(spark, monkeypatch):
+    """Members are joined by hash alone if a hash names one vector; vectors that share a hash are still told apart."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, VECTORS)
+    joins, plain_write = [], similarity.materialise
+
+    def watched(frame, name="table"):
+        joins.extend(x for x in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+        return plain_write(frame, name)
+
+    monkeypatch.setattr(similarity, "materialise", watched)
+    members = {(r["id"], r["first"]) for r in similarity.first_of_equals(df, "test")[1].collect()}
+    assert members == {(i, i % 7) for i in range(50)}
+    assert joins and not any("vec" in x for x in joins)
+    monkeypatch.setattr(similarity.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    vectors, members = similarity.first_of_equals(df, "test")
+    assert vectors.count() == 7 and {(r["id"], r["first"]) for r in members.collect()} == {(i, i % 7) for i in range(50)}
