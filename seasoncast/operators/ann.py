@@ -5,8 +5,8 @@
   centre, whatever their rows.  It may fit on a bounded share of the corpus,
   chosen by a hash of the id; every row is indexed.
 * The corpus is written once, in folders by cell.  A cell of over ``part_rows``
-  rows is split into parts, so no task sees more than a part and ``part_rows``
-  queries, however uneven the cells are.
+  rows is split into parts.  A search packs parts into bins of a block's size,
+  so no task sees more than a bin and about a block of queries, however uneven the cells are.
 * :meth:`CellIndex.calibrate` finds how many cells have to be probed: for some
   rows the exact neighbours are computed, and the places of their cells among
   the row's nearest ones tell the share that any number of probes finds.
