@@ -29,6 +29,7 @@ from seasoncast.operators.similarity import MOST_PARTS, PAIR_SCHEMA, best_pairs,
 from seasoncast.session import materialise, path_exists, scratch_folder
 
 _SHARE = 1 << 30
+_HELD = 1 << 20  # similarities of rows and centres held at once
 
 
 def _units(column: pa.ListArray) -> np.ndarray:
@@ -47,7 +48,9 @@ def _nearest(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-sim, axis=1, kind="stable")[:, :probes]
 
 
-def _batched(batches, rows: int = 2048):
+def _batched(batches, centres: np.ndarray):
+    """Slices of so many rows that their similarities to all centres stay bounded."""
+    rows = max(1, min(2048, _HELD // max(len(centres), 1)))
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -57,7 +60,7 @@ def _cell_sums(held):
     def run(batches):
         centres = held.value
         total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
-        for batch in _batched(batches):
+        for batch in _batched(batches, centres):
             units = _units(batch.column(0))
             cell = _nearest(units, centres, 1)[:, 0]
             order = np.argsort(cell, kind="stable")
@@ -69,16 +72,26 @@ def _cell_sums(held):
     return run
 
 
-def _into_cells(held, probes: int):
-    """A row for each row and probed cell: ``id, vec, cell, probe``."""
+def _into_cells(held):
+    """Every row with its nearest cell: ``id, vec, cell``."""
     def run(batches):
         centres = held.value
-        for batch in _batched(batches):
-            cells = _nearest(_units(batch.column(1)), centres, probes)
+        for batch in _batched(batches, centres):
+            cell = _nearest(_units(batch.column(1)), centres, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32))], ["id", "vec", "cell"])
+    return run
+
+
+def _places(held):
+    """A row for each row and cell, without the vector: ``id, cell, probe``."""
+    def run(batches):
+        centres = held.value
+        probe = np.arange(len(centres), dtype=np.int32)
+        for batch in _batched(batches, centres):
+            cells = _nearest(_units(batch.column(1)), centres, len(centres))
             row = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(cells.ravel().astype(np.int32)),
-                                              pa.array(np.tile(np.arange(cells.shape[1], dtype=np.int32), batch.num_rows))],
-                                             ["id", "vec", "cell", "probe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(cells.ravel().astype(np.int32)), pa.array(np.tile(probe, batch.num_rows))],
+                                             ["id", "cell", "probe"])
     return run
 
 
@@ -86,7 +99,7 @@ def _into_bins(held, probes: int):
     """A row for each row and bin that holds some of its probed cells: ``id, vec, bin, cells``."""
     def run(batches):
         centres, first, last = held.value
-        for batch in _batched(batches):
+        for batch in _batched(batches, centres):
             cells = _nearest(_units(batch.column(1)), centres, probes)
             row, cell = np.repeat(np.arange(batch.num_rows), cells.shape[1]), cells.ravel()
             n = last[cell] - first[cell] + 1
@@ -107,21 +120,9 @@ def _bin_topk(k: int, exclude_self: bool, digits: int | None):
     best = block_topk(k, exclude_self, digits)
 
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c) or q["cells"].iloc[0] is None:
-            return best(key, q, c)
-        n = q["cells"].str.len().to_numpy()
-        row, cell = np.repeat(np.arange(len(q)), n), np.concatenate(q["cells"].to_numpy())
-        order = np.argsort(cell, kind="stable")
-        row, cell = row[order], cell[order]
-        found = []
-        for name, rows in c.groupby("cell"):
-            asking = row[np.searchsorted(cell, name):np.searchsorted(cell, name, side="right")]
-            if len(asking):
-                found.append(best(key, q.iloc[asking], rows))
-        if len(found) < 2:
-            return found[0] if found else best(key, q.iloc[:0], c)
-        out = pd.concat(found).sort_values(["query_id", "similarity", "neighbor_id"], ascending=[True, False, True])
-        return out.groupby("query_id").head(k)
+        if len(q) and q["cells"].iloc[0] is not None:
+            q = q.iloc[np.argsort([x[0] for x in q["cells"]], kind="stable")]  # rows that name the same cells are scored together
+        return best(key, q, c)
     return run
 
 
@@ -144,7 +145,7 @@ class CellIndex:
         drawn = materialise(self.cells.select("id", "vec").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(queries), "ann-queries")
         exact = knn_join(drawn, self.cells, k=k)
         held = spark.sparkContext.broadcast(self.centres)
-        places = drawn.mapInArrow(_into_cells(held, len(self.centres)), f"id long, vec {drawn.schema['vec'].dataType.simpleString()}, cell int, probe int")
+        places = drawn.mapInArrow(_places(held), "id long, cell int, probe int")
         near = exact.join(self.cells.select(F.col("id").alias("neighbor_id"), "cell"), "neighbor_id")
         met = near.join(places.select(F.col("id").alias("query_id"), "cell", "probe"), ["query_id", "cell"])
         needed = met.groupBy("probe").count().orderBy("probe").collect()  # at most a row a centre
@@ -189,7 +190,7 @@ class CellIndex:
                     centres[r["cell"]] = total / np.linalg.norm(total)
         held = spark.sparkContext.broadcast(centres)
         vec = rows.schema["vec"].dataType.simpleString()
-        placed = materialise(rows.mapInArrow(_into_cells(held, 1), f"id long, vec {vec}, cell int, probe int").drop("probe"), "ann-placed")
+        placed = materialise(rows.mapInArrow(_into_cells(held), f"id long, vec {vec}, cell int"), "ann-placed")
         sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
         sizes.write.parquet(f"{path}/sizes")
         sizes = spark.read.parquet(f"{path}/sizes")

@@ -56,7 +56,7 @@ def _narrow(sim: np.ndarray, kk: int, slack: float):
 
     The ``kk``-th largest of the maxima of slices of a row is a lower bound of
     its ``kk``-th similarity, found without ordering the row; only slices whose
-    maximum reaches it are looked into.
+    maximum reaches it are looked into.  What may not be met is below all others.
     """
     n = sim.shape[1]
     width = min(64, n // (4 * kk))
@@ -65,7 +65,7 @@ def _narrow(sim: np.ndarray, kk: int, slack: float):
     step = n // width
     slices = sim[:, :step * width].reshape(len(sim), width, step)  # a slice is every ``step``-th column: its maximum runs along rows
     tops = slices.max(axis=1)
-    bound = np.partition(tops, step - kk, axis=1)[:, step - kk] - slack
+    bound = np.maximum(np.partition(tops, step - kk, axis=1)[:, step - kk], -2) - slack
     row, at = np.nonzero(tops >= bound[:, None])
     if 2 * len(row) > tops.size:
         return None
@@ -85,6 +85,10 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
     numbers make that most of the block.  If similarities are rounded, single
     precision finds what can be among the best, by more than its error, and
     that is scored in double precision.
+
+    If the query rows name ``cells``, each meets the corpus rows of these only:
+    what no row of a chunk names is not scored, and the rest is left out by row,
+    so no candidates are held for each row and cell.
     """
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -92,7 +96,7 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
             c = c.sort_values("id", kind="stable")
             qv, cv = _unit(q["vec"]), _unit(c["vec"])
             qid, cid = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
-            kk, step = min(k, len(cid)), max(1, chunk_bytes // (8 * len(cid)))
+            step, every = max(1, chunk_bytes // (8 * len(cid))), np.arange(len(cid))
             slack = 0.0 if digits is None else 2.0 * 10.0 ** -digits
             plain = np.isfinite(qv).all() and np.isfinite(cv).all()
             single = plain and digits is not None
@@ -100,19 +104,42 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
                 slack += 2 * (qv.shape[1] + 4) * 2.0 ** -23  # twice the error of a single-precision product of unit vectors, at most half of this
                 q4, c4 = qv.astype(np.float32), cv.astype(np.float32)
 
-            def scored(a, b, at, ids):
-                sim = a[at:at + step] @ b.T
+            named = q["cells"].to_numpy() if "cells" in q and q["cells"].iloc[0] is not None else None
+            if named is not None:
+                names, place = np.unique(c["cell"].to_numpy(), return_inverse=True)
+
+            def open_to(at):
+                """The corpus rows that some query row of a chunk may meet, and those of them that each may not."""
+                asked = named[at:at + step]
+                row, name = np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked)
+                found = np.minimum(np.searchsorted(names, name), len(names) - 1)
+                here = names[found] == name
+                shut = np.ones((len(asked), len(names)), bool)
+                shut[row[here], found[here]] = False
+                met = np.flatnonzero(~shut.all(axis=0)[place])
+                met = met if 2 * len(met) < len(cid) else slice(None)
+                return met, np.take(shut, place[met], axis=1)
+
+            def scored(a, b, at, ids, met, shut):
+                sim = a[at:at + step] @ b[met].T
                 if exclude_self:
-                    sim[ids[:, None] == cid[None, :]] = -np.inf
+                    sim[ids[:, None] == cid[None, met]] = -np.inf
+                if shut is not None:
+                    np.copyto(sim, -np.inf, where=shut)
                 return sim
 
             for at in range(0, len(qid), step):
                 ids = qid[at:at + step]
-                sim = scored(q4, c4, at, ids) if single else scored(qv, cv, at, ids)
+                met, shut = open_to(at) if named is not None else (slice(None), None)
+                here = every[met]
+                if not len(here):
+                    continue
+                kk = min(k, len(here))
+                sim = scored(q4, c4, at, ids, met, shut) if single else scored(qv, cv, at, ids, met, shut)
                 near = _narrow(sim, kk, slack) if plain else None
                 if near is not None:
                     rows, cols = near
-                    value = sim[rows, cols]
+                    value, cols = sim[rows, cols], here[cols]
                     if single:
                         kept = value > -np.inf  # not the row itself
                         rows, cols = rows[kept], cols[kept]
@@ -124,15 +151,15 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
                     found.append((ids[rows[keep]], cid[cols[keep]], value[keep]))
                     continue
                 if single:
-                    sim = scored(qv, cv, at, ids)
+                    sim = scored(qv, cv, at, ids, met, shut)
                 if digits is not None:
                     np.round(sim, digits, out=sim)
-                kth = np.partition(sim, len(cid) - kk, axis=1)[:, len(cid) - kk, None]
+                kth = np.partition(sim, len(here) - kk, axis=1)[:, len(here) - kk, None]
                 over = sim > kth
                 tied = sim == kth
                 tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= kk - over.sum(axis=1, keepdims=True)
                 rows, cols = np.nonzero((over | tied) & (sim > -np.inf))
-                found.append((ids[rows], cid[cols], sim[rows, cols]))
+                found.append((ids[rows], cid[here[cols]], sim[rows, cols]))
         query, neighbor, similarity = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"query_id": query, "neighbor_id": neighbor, "similarity": similarity})
     return run

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,51 @@ def test_vectors_stay_where_they_are_unless_hashes_meet(spark, monkeypatch):
     monkeypatch.setattr(similarity.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     vectors, members = similarity.first_of_equals(df, "test")
     assert vectors.count() == 7 and {(r["id"], r["first"]) for r in members.collect()} == {(i, i % 7) for i in range(50)}
+
+
+@pytest.mark.parametrize("digits", [9, None])
+def test_bins_hold_the_best_not_so_many_of_each_cell(digits):
+    """A row that names many cells of a bin keeps its best alone; ties, cells not named and cells that lie elsewhere do not change what is found."""
+    rng = np.random.default_rng(8)
+    n, cells = 4000, 200
+    vectors = rng.integers(-3, 4, (n, 8)).astype(float)
+    c = pd.DataFrame({"cell": rng.integers(0, cells, n), "id": rng.permutation(n), "vec": list(vectors)})
+    named = [np.sort(rng.choice(cells + 5, 120, replace=False)) for _ in range(n - 3)] + [np.array([7]), np.array([cells + 1]), np.array([3, cells + 4])]
+    q = pd.DataFrame({"id": c["id"], "vec": c["vec"], "cells": named})
+    tracemalloc.start()
+    got = ann._bin_topk(10, True, digits)(None, q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # ten of each named cell are 115 MB
+    unit = similarity._unit(c["vec"])
+    for at in [*range(0, n, 400), n - 3, n - 2, n - 1]:
+        sim = unit @ unit[at]
+        sim = sim if digits is None else np.round(sim, digits)
+        open_to = np.isin(c["cell"], named[at]) & (c["id"] != q["id"][at])
+        best = sorted((-s, i) for s, i in zip(sim[open_to], c["id"][open_to]))[:10]
+        mine = got[got["query_id"] == q["id"][at]].sort_values(["similarity", "neighbor_id"], ascending=[False, True])
+        assert np.allclose(mine["similarity"], [-s for s, _ in best], rtol=0, atol=1e-12)
+        assert digits is None or mine["neighbor_id"].tolist() == [i for _, i in best]
+
+
+def test_calibration_sends_no_vector_for_each_cell(spark, monkeypatch):
+    """The places of a row's cells go without its vector, and rows meet all centres some at a time."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.standard_normal(64).tolist()) for i in range(300)], VECTORS)
+    index = ann.CellIndex.fit(df, n_cells=200, rounds=1)
+    ran, plain_map = [], type(df).mapInArrow
+
+    def seen(self, run, *more, **named):
+        ran.append(run)
+        return plain_map(self, run, *more, **named)
+
+    monkeypatch.setattr(type(df), "mapInArrow", seen)
+    assert index.calibrate(3, queries=50) <= len(index.centres)
+    asked = pa.RecordBatch.from_pydict({"id": list(range(100)), "vec": rng.standard_normal((100, 64)).tolist()})
+    places, = ran
+    sent = list(places([asked]))
+    assert sum(b.num_rows for b in sent) == 100 * len(index.centres)
+    assert sum(b.nbytes for b in sent) <= 24 * 100 * len(index.centres)
+    many = pa.RecordBatch.from_pydict({"id": list(range(5000))})
+    assert [b.num_rows for b in ann._batched([many], np.zeros((2000, 1)))] == [524] * 9 + [284]
+    assert [b.num_rows for b in ann._batched([many], np.zeros((10, 1)))] == [2048, 2048, 904]
