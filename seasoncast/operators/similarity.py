@@ -46,11 +46,27 @@ PAIR_SCHEMA = T.StructType([
 
 
 def _unit(vectors) -> np.ndarray:
-    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    v = (vectors if isinstance(vectors, np.ndarray) else np.stack(vectors.to_numpy())).astype(np.float64)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+def _single(v: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Unit vectors in single precision, made some rows at a time."""
+    out = np.empty(v.shape, np.float32)
+    for at in range(0, len(v), rows):
+        out[at:at + rows] = _unit(v[at:at + rows])
+    return out
+
+
+def _scored(units: np.ndarray, rows: np.ndarray, vectors: np.ndarray, cols: np.ndarray, pairs: int = 1 << 14) -> np.ndarray:
+    """Cosines of pairs of a unit vector and a vector in double precision, some at a time."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), pairs):
+        out[at:at + pairs] = np.einsum("nd,nd->n", units[rows[at:at + pairs]], _unit(vectors[cols[at:at + pairs]]))
+    return out
+
+
 def _narrow(sim: np.ndarray, kk: int, slack: float):
     """``(rows, columns)`` of all that can be among a row's best ``kk``, in any order; None if they are most of a block.
 
@@ -84,7 +100,8 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
     Only what can be among the best is rounded and ordered, unless ties or odd
     numbers make that most of the block.  If similarities are rounded, single
     precision finds what can be among the best, by more than its error, and
-    that is scored in double precision.
+    that is scored in double precision; a block is widened as a whole only if
+    it has to be scored so.
 
     If the query rows name ``cells``, each meets the corpus rows of these only:
     what no row of a chunk names is not scored, and the rest is left out by row,
@@ -94,38 +111,42 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(c):
             c = c.sort_values("id", kind="stable")
-            qv, cv = _unit(q["vec"]), _unit(c["vec"])
+            qv, cv = np.stack(q["vec"].to_numpy()), np.stack(c["vec"].to_numpy())
             qid, cid = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
             step, every = max(1, chunk_bytes // (8 * len(cid))), np.arange(len(cid))
             slack = 0.0 if digits is None else 2.0 * 10.0 ** -digits
-            plain = np.isfinite(qv).all() and np.isfinite(cv).all()
+            q4, c4, whole = _single(qv), _single(cv), []
+            plain = np.isfinite(q4).all() and np.isfinite(c4).all()
             single = plain and digits is not None
             if single:
                 slack += 2 * (qv.shape[1] + 4) * 2.0 ** -23  # twice the error of a single-precision product of unit vectors, at most half of this
-                q4, c4 = qv.astype(np.float32), cv.astype(np.float32)
 
             named = q["cells"].to_numpy() if "cells" in q and q["cells"].iloc[0] is not None else None
             if named is not None:
                 names, place = np.unique(c["cell"].to_numpy(), return_inverse=True)
 
             def open_to(at):
-                """The corpus rows that some query row of a chunk may meet, and those of them that each may not."""
+                """The corpus rows that some query row of a chunk may meet; of them, at minus infinity those that each may not."""
                 asked = named[at:at + step]
                 row, name = np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked)
                 found = np.minimum(np.searchsorted(names, name), len(names) - 1)
                 here = names[found] == name
-                shut = np.ones((len(asked), len(names)), bool)
-                shut[row[here], found[here]] = False
-                met = np.flatnonzero(~shut.all(axis=0)[place])
+                shut = np.full((len(asked), len(names)), -np.inf, np.float32)
+                shut[row[here], found[here]] = 0
+                met = np.flatnonzero((shut == 0).any(axis=0)[place])
                 met = met if 2 * len(met) < len(cid) else slice(None)
                 return met, np.take(shut, place[met], axis=1)
 
-            def scored(a, b, at, ids, met, shut):
-                sim = a[at:at + step] @ b[met].T
+            def scored(at, ids, met, shut, double):
+                if double and not whole:
+                    whole.append(_unit(cv))
+                sim = _unit(qv[at:at + step]) @ whole[0][met].T if double else q4[at:at + step] @ c4[met].T
                 if exclude_self:
                     sim[ids[:, None] == cid[None, met]] = -np.inf
-                if shut is not None:
-                    np.copyto(sim, -np.inf, where=shut)
+                if shut is not None and plain:
+                    sim += shut
+                elif shut is not None:  # odd numbers would stay
+                    sim[shut < 0] = -np.inf
                 return sim
 
             for at in range(0, len(qid), step):
@@ -135,7 +156,7 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
                 if not len(here):
                     continue
                 kk = min(k, len(here))
-                sim = scored(q4, c4, at, ids, met, shut) if single else scored(qv, cv, at, ids, met, shut)
+                sim = scored(at, ids, met, shut, not single)
                 near = _narrow(sim, kk, slack) if plain else None
                 if near is not None:
                     rows, cols = near
@@ -143,7 +164,7 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
                     if single:
                         kept = value > -np.inf  # not the row itself
                         rows, cols = rows[kept], cols[kept]
-                        value = np.round(np.einsum("nd,nd->n", qv[at + rows], cv[cols]), digits)
+                        value = np.round(_scored(_unit(qv[at:at + step]), rows, cv, cols), digits)
                     order = np.lexsort((cols, -value, rows))
                     rows, cols, value = rows[order], cols[order], value[order]
                     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -151,7 +172,7 @@ def block_topk(k: int, exclude_self: bool, digits: int | None, chunk_bytes: int
                     found.append((ids[rows[keep]], cid[cols[keep]], value[keep]))
                     continue
                 if single:
-                    sim = scored(qv, cv, at, ids, met, shut)
+                    sim = scored(at, ids, met, shut, True)
                 if digits is not None:
                     np.round(sim, digits, out=sim)
                 kth = np.partition(sim, len(here) - kk, axis=1)[:, len(here) - kk, None]
@@ -237,7 +258,7 @@ def deal_to_rows(near: DataFrame, asking: DataFrame, known: DataFrame, k: int, e
             .select("query_id", "b.neighbor_id", (F.col("at") + 1).cast("int").alias("rank"), "b.similarity"))
 
 
-BLOCK_BYTES = 32 << 20  # vectors of one side of a block pair, as float64
+BLOCK_BYTES = 16 << 20  # vectors of one side of a block pair, as float64
 MOST_PARTS = 4096       # partitions that block pairs are dealt over
 
 
